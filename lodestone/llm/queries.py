@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.bitpack import token_id_output
 from lodestone.llm.packing import best_fit_packing
 from lodestone.llm.shared import table
+from lodestone.llm.simhash import near_duplicates
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +24,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_token_id_output, op9_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_simhash_near_dedup, op8_token_id_output, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
