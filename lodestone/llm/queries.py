@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.bitpack import token_id_output
+from lodestone.llm.decontaminate import find_leaks
 from lodestone.llm.media import media_columns
 from lodestone.llm.packing import best_fit_packing
 from lodestone.llm.secrets import secret_scan
 from lodestone.llm.shared import table
+from lodestone.llm.sharding import shard_by_bytes
 from lodestone.llm.simhash import near_duplicates
+from lodestone.llm.toxicity import toxicity
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +29,18 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_output(table(spark, sf_dir, "documents"))
 
@@ -34,5 +49,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op3_secret_scan, op4_simhash_near_dedup, op8_token_id_output, op9_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op3_secret_scan, op4_simhash_near_dedup, op5_sharding, op6_benchmark_decontamination, op7_toxicity, op8_token_id_output, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
