@@ -10,6 +10,7 @@ from lodestone.llm.bitpack import token_id_output
 from lodestone.llm.decontaminate import find_leaks
 from lodestone.llm.media import media_columns
 from lodestone.llm.packing import best_fit_packing
+from lodestone.llm.resampling import resample
 from lodestone.llm.secrets import secret_scan
 from lodestone.llm.shared import table
 from lodestone.llm.sharding import shard_by_bytes
@@ -49,5 +50,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op3_secret_scan, op4_simhash_near_dedup, op5_sharding, op6_benchmark_decontamination, op7_toxicity, op8_token_id_output, op9_best_fit_packing)}
+def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op3_secret_scan, op4_simhash_near_dedup, op5_sharding, op6_benchmark_decontamination, op7_toxicity, op8_token_id_output, op9_best_fit_packing, op10_quality_resampling)}
 ORACLE_SQL: dict[str, str] = {}
