@@ -33,7 +33,7 @@ def tokenizer_path(path: str | None = None) -> str:
 class WordEncoder:
     """``encode(texts)`` gives each text's ids as bytes. ``limit`` bounds the words kept."""
 
-    def __init__(self, path: str | None = None, limit: int = 500_000):
+    def __init__(self, path: str | None = None, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,7 +50,7 @@ class WordEncoder:
         self.ends_word[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
         self.limit = limit
         self.words: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
 
     def encode(self, texts: Iterable[str | None], group: int = 200) -> list[bytes]:
         out: list[bytes] = []
@@ -67,36 +67,44 @@ class WordEncoder:
         return out
 
     def _learn(self, unknown: set[bytes]) -> None:
-        pairs, odd, stems = [], [], set()
+        words, stems, odd, later, new = self.words, self.stems, [], [], set()
         for word in unknown:
             raw = word.rstrip(TAIL)
-            stem = raw.decode()
-            # Lower case letter by letter: a whole word's may depend on the neighbours.
-            stem = stem.lower() if stem.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", stem)))
-            if stem.isalpha() and raw.decode().isalpha():
-                tail = word[len(raw) :].decode()
-                pairs.append((word, stem, tail))
-                stems.add(stem)
-                if tail and tail not in self.stems:
-                    self.stems[tail] = self._alone([tail])[0]
+            if raw.isalpha():  # ASCII letters
+                stem = raw.lower()
             else:
-                odd.append(word)
-        if new := [s for s in stems if s not in self.stems]:
-            self.stems.update(zip(new, self._joined(new), strict=True))
-        for word, stem, tail in pairs:
-            self.words[word] = self.stems[stem] + self.stems[tail] if tail else self.stems[stem]
+                text = unicodedata.normalize("NFC", raw.decode())
+                # The tokenizer lower-cases letter by letter; of all letters, a sigma's lower case depends on its neighbours.
+                text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+                if not text.isalpha() or not raw.decode().isalpha():
+                    odd.append(word)
+                    continue
+                stem = text.encode()
+            tail = word[len(raw) :]
+            if tail and tail not in stems:
+                stems[tail] = self._alone([tail.decode()])[0]
+            if (ids := stems.get(stem)) is None:
+                new.add(stem)
+                later.append((word, stem, tail))
+            else:
+                words[word] = ids + stems[tail] if tail else ids
+        if new:
+            ordered = list(new)
+            stems.update(zip(ordered, self._joined(ordered), strict=True))
+            for word, stem, tail in later:
+                words[word] = stems[stem] + stems[tail] if tail else stems[stem]
         if odd:
-            self.words.update(zip(odd, self._alone([w.decode() for w in odd]), strict=True))
+            words.update(zip(odd, self._alone([w.decode() for w in odd]), strict=True))
 
     def _alone(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=ID).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _joined(self, stems: list[str]) -> list[bytes]:
+    def _joined(self, stems: list[bytes]) -> list[bytes]:
         """Ids of stems of letters alone: each is one pre-token, so its last id is the only one that ends a word."""
-        ids = np.array(self.plain.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0].ids, dtype=ID)
+        ids = np.array(self.plain.encode_batch_fast([b" ".join(stems).decode()], add_special_tokens=False)[0].ids, dtype=ID)
         ends = np.flatnonzero(self.ends_word[ids]) + 1
         if len(ends) != len(stems):
-            return self._alone(stems)
+            return self._alone([s.decode() for s in stems])
         raw, cuts = ids.tobytes(), [0, *(ends * ID.itemsize).tolist()]
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
