@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm import line_dedup
 from lodestone.llm.bitpack import token_id_output
 from lodestone.llm.decontaminate import find_leaks
 from lodestone.llm.media import media_columns
@@ -22,6 +23,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
@@ -54,5 +59,5 @@ def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op3_secret_scan, op4_simhash_near_dedup, op5_sharding, op6_benchmark_decontamination, op7_toxicity, op8_token_id_output, op9_best_fit_packing, op10_quality_resampling)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_secret_scan, op4_simhash_near_dedup, op5_sharding, op6_benchmark_decontamination, op7_toxicity, op8_token_id_output, op9_best_fit_packing, op10_quality_resampling)}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
