@@ -127,19 +127,41 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     back as they are, repeated rows have rows of their own, other columns are ignored; an empty benchmark or table
     gives no rows.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(chars / block_chars))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # about block_chars
-        listed = [(r.item_id, t) for r in rows if (t := normal(r.text))]
+    for listed in _item_blocks(benchmark, block_chars):
         more = source.mapInArrow(_searcher(listed, error_rate), LEAKS)
         found = more if found is None else found.unionByName(more)
     return found
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no item occurs."""
+    at = docs.columns.index("text")
+
+    def without(listed: list[tuple[int | None, str]]):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = ItemMatcher(listed, error_rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.find(normal(t.as_py())) for t in batch.column(at)], pa.bool_()))
+
+        return keep
+
+    for listed in _item_blocks(benchmark, block_chars):
+        docs = docs.mapInArrow(without(listed), docs.schema)
+    return docs
+
+
+def _item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The normalized items that aren't blank, about ``block_chars`` characters at a time; one block at least."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(chars / block_chars))
+    for block in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
+        yield [(r.item_id, t) for r in rows if (t := normal(r.text))]
+
+
 def _searcher(listed: list[tuple[int | None, str]], error_rate: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = ItemMatcher(listed, error_rate)

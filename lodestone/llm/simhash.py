@@ -50,14 +50,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``(doc_id, fp)`` for each row of ``docs(doc_id, text)``, fp the fingerprint as a signed long."""
+    """``(doc_id, text_hash, fp)`` for each row of ``docs(doc_id, text)``, fp the fingerprint as a signed long."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(hashed, "doc_id long, text_hash long, fp long")
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -127,6 +127,18 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return near.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
 
 
+def _grouped(docs: DataFrame, bits: int, shingle: int, seed: int) -> DataFrame:
+    """``(doc_id, text_hash, fp, root, component_id)`` for each row; root is the group's fingerprint."""
+    hashed = materialize(fingerprints(docs, shingle, seed), "fingerprints")
+    nodes = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    rooted = components(links(nodes, bits)).select(F.col("node").alias("fp"), "root")
+    placed = nodes.join(rooted, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = materialize(placed, "placed")
+    least = materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    named = materialize(placed.join(least, "root").select("fp", "root", "component_id"), "named")
+    return hashed.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -134,11 +146,14 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, s
     are one node, whatever the number of copies. A null text is empty; fingerprint zero links like any other.
     Repeated rows come back as often as they came; other columns are ignored; an empty table gives no rows.
     """
-    hashed = materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    nodes = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    rooted = components(links(nodes, bits)).select(F.col("node").alias("fp"), "root")
-    placed = nodes.join(rooted, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(placed, "placed")
-    least = materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    named = materialize(placed.join(least, "root").select("fp", "component_id"), "named")
-    return hashed.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(docs, bits, shingle, seed).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of one document of each group: the first by doc_id, then by text.
+
+    Rows that repeat both doc_id and text are one document. A null id comes before others.
+    """
+    kept = _grouped(docs, bits, shingle, seed).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
+    kept = materialize(kept.select(F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.text_hash").alias("kept_text_hash")), "kept")
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_doc_id")) & (F.xxhash64("text") == F.col("kept_text_hash")), "left_semi")

@@ -295,3 +295,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -
     labels of both kinds every score is the base rate; other columns are ignored.
     """
     return score_with(fit(docs, labels, max_rows), docs)
+
+
+def keep_clean(model: ToxicityModel, docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model does not predict toxic."""
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(model.features(t.as_py())) < 0.5 for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
