@@ -71,7 +71,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     gone = later.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))).alias("pos"))
     gone = materialize(gone.groupBy(*DOC).agg(F.collect_set("pos").alias("gone")), "deleted-lines")
     gone = gone.select(F.col("doc_id").alias("gone_doc_id"), F.col("text_hash").alias("gone_text_hash"), F.col("gone").alias("gone_lines"))
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_doc_id")) & (F.xxhash64("text") == F.col("gone_text_hash")), "left")
+    # The deletions grow with the input: never broadcast, whatever their size.
+    joined = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_doc_id")) & (F.xxhash64("text") == F.col("gone_text_hash")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone_lines"), lambda i: F.get(lines, i))
     return joined.select(
