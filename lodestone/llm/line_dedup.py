@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import materialize
+from lodestone.llm.shared import materialize, spare
 
 MIN_LINES = 3
 DOC = ("doc_id", "text_hash")
@@ -70,14 +70,15 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     later = found.where(F.struct(*DOC, "pos") > F.col("first"))
     gone = later.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))).alias("pos"))
     gone = materialize(gone.groupBy(*DOC).agg(F.collect_set("pos").alias("gone")), "deleted-lines")
-    gone = gone.select(F.col("doc_id").alias("gone_doc_id"), F.col("text_hash").alias("gone_text_hash"), F.col("gone").alias("gone_lines"))
+    doc, text_hash, lines_gone = (spare(rows, n) for n in ("gone_doc_id", "gone_text_hash", "gone_lines"))
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("gone").alias(lines_gone))
     # The deletions grow with the input: never broadcast, whatever their size.
-    joined = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_doc_id")) & (F.xxhash64("text") == F.col("gone_text_hash")), "left")
+    joined = rows.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text_hash)), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone_lines"), lambda i: F.get(lines, i))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lines_gone)), lambda i: F.get(lines, i))
     return joined.select(
-        *(F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in rows.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_removed"),
+        *(F.when(F.col(lines_gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in rows.columns),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size(lines_gone), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

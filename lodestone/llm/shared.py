@@ -32,3 +32,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores after it where ``df`` has such a column; names differ in more than case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

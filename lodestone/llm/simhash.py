@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
-from lodestone.llm.shared import materialize
+from lodestone.llm.shared import materialize, spare
 
 SHINGLE, BITS, SEED = 3, 2, 42
 #: Fixed values of the Golay code: its length, its covering radius and x^11+x^10+x^6+x^5+x^4+x^2+1, which generates it.
@@ -155,5 +155,7 @@ def keep_one_of_each(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE,
     Rows that repeat both doc_id and text are one document. A null id comes before others.
     """
     kept = _grouped(docs, bits, shingle, seed).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept"))
-    kept = materialize(kept.select(F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.text_hash").alias("kept_text_hash")), "kept")
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_doc_id")) & (F.xxhash64("text") == F.col("kept_text_hash")), "left_semi")
+    doc, text_hash = spare(docs, "kept_doc_id"), spare(docs, "kept_text_hash")
+    kept = materialize(kept.select(F.col("kept.doc_id").alias(doc), F.col("kept.text_hash").alias(text_hash)), "kept")
+    # What is kept grows with the input: never broadcast, whatever its size.
+    return docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text_hash)), "left_semi")
