@@ -78,3 +78,17 @@ def map_citations(answers: DataFrame, passages: DataFrame, keys: Sequence[str])
     numbers = cited(answers, [c for c in answers.columns if c != "answer"])
     known = numbers.join(passages, [*keys, "ordinal"]).withColumn("quote", quote(F.col("matched"), F.col("text")))
     return known, numbers.join(passages, [*keys, "ordinal"], "left_anti")
+
+
+def rerank(candidates: DataFrame, scorer: Column | None, keys: Sequence[str], id_column: str, keep: int = 10) -> DataFrame:
+    """The ``keep`` best by ``scorer``, a column over question and candidate; a candidate it can't score keeps its place.
+
+    Without a scorer, or where it gives null, the order that came stands.
+    """
+    scored = candidates.withColumn("rerank_score", F.lit(None).cast("double") if scorer is None else scorer.cast("double"))
+    order = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("rerank_score"), "rank", id_column)
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= keep)
+
+
+def per_source(candidates: DataFrame, keys: Sequence[str] = ("q_id",)) -> DataFrame:
+    return candidates.groupBy(*keys, "source").agg(F.count("*").alias("candidates"))

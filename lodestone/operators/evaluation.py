@@ -37,3 +37,20 @@ def flips(before: DataFrame, after: DataFrame, on: str = "q_id") -> DataFrame:
     both = before.select(on, F.col("recall").alias("a")).join(after.select(on, F.col("recall").alias("b")), on, "full")
     a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
     return both.agg(F.coalesce(F.count_if(b > a), F.lit(0)).alias("won"), F.coalesce(F.count_if(a > b), F.lit(0)).alias("lost")).withColumn("net", F.col("won") - F.col("lost"))
+
+
+def citation_accuracy(citations: DataFrame, gold: DataFrame, runs: DataFrame, on: Sequence[str] = ("document_id", "page_number")) -> DataFrame:
+    """Share of the questions in ``runs(q_id, iterations)`` that cite their gold page, and their mean iterations."""
+    right = citations.join(gold, ["q_id", *on], "left_semi").select("q_id").distinct().withColumn("_right", F.lit(1.0))
+    judged = runs.join(right, "q_id", "left")
+    return judged.agg(F.round(F.avg(F.coalesce("_right", F.lit(0.0))), 9).alias("accuracy"), F.round(F.avg("iterations"), 9).alias("mean_iterations"))
+
+
+def eval_sets(spark, raw: dict) -> tuple[DataFrame, DataFrame]:
+    """The two labelled sets of a parsed dataset file as tables."""
+    a = [(q["id"], q["kind"], q["question"], q["gold_sha256"], q["gold_page"], q["quote"], list(q.get("turns", ()))) for q in raw.get("set_a", ())]
+    b = [(q["id"], q["kind"], q["question"], q["corpus_answers"]) for q in raw.get("set_b", ())]
+    return (
+        spark.createDataFrame(a, "id string, kind string, question string, gold_sha256 string, gold_page int, quote string, turns array<string>"),
+        spark.createDataFrame(b, "id string, kind string, question string, corpus_answers boolean"),
+    )

@@ -54,3 +54,17 @@ def keyword_bm25(docs: DataFrame, questions: DataFrame, top: int = 10, k1: float
     tf = F.col("tf")
     part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_length") / F.col("mean_length")))
     return _top(hits.groupBy("q_id", "doc_id").agg(F.round(F.sum(part), PLACES).alias("score")), top)
+
+
+def browse(chunks: DataFrame, heading: str) -> DataFrame:
+    """Chunks under a heading path: at it or below it."""
+    path = F.col("heading_path")
+    return chunks.where((path == heading) | F.startswith(path, F.lit(f"{heading} > ")))
+
+
+def title_search(documents: DataFrame, question: str, top: int = 10) -> DataFrame:
+    """Documents whose title or file name has the question's words, those with most of them first."""
+    asked = F.array_distinct(terms(F.lit(question)))
+    named = terms(F.concat_ws(" ", "title", "filename"))
+    hits = documents.withColumn("score", F.size(F.array_intersect(asked, named)).cast("long"))
+    return hits.where("score > 0").orderBy(F.desc("score"), "document_id").limit(top)

@@ -91,3 +91,30 @@ def read_pages(pages: DataFrame, reader: Callable[[bytes], str | None]) -> DataF
             yield frame[["document_id", "page"]].assign(markdown=[reader(bytes(i)) for i in frame["image"]])
 
     return pages.select("document_id", "page", "image").mapInPandas(call, "document_id string, page int, markdown string")
+
+
+def trying_again(reader: Callable[[bytes, int], str | None], tries: int = 3, is_loop: Callable[[str], bool] | None = None) -> Callable[[bytes], str | None]:
+    """An OCR reader that is asked up to ``tries`` times; it gets the number of the try, to sample warmer after a loop.
+
+    None is the server's refusal of the page and is not tried again.
+    """
+
+    def read(image: bytes) -> str | None:
+        text: str | None = None
+        for attempt in range(tries):
+            try:
+                text = reader(image, attempt)
+            except OSError:
+                if attempt + 1 == tries:
+                    raise
+                continue
+            if text is None or not (is_loop and is_loop(text)):
+                return text
+        return text
+
+    return read
+
+
+def in_input_order(reply: list[dict]) -> list[list[float]]:
+    """Vectors of a provider's reply by their index, whatever order they came in."""
+    return [r["embedding"] for r in sorted(reply, key=lambda r: r["index"])]

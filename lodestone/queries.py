@@ -15,11 +15,14 @@ from lodestone.operators import candidates as C
 from lodestone.operators import evaluation as E
 from lodestone.operators import ingest as I
 from lodestone.operators import state as S
+from lodestone.operators import views as V
 from lodestone.operators.chunking import batches, chunk_document, kept, pack
+from lodestone.operators.keyword import browse, title_search
 from lodestone.operators.keyword import keyword_bm25 as bm25
 from lodestone.operators.keyword import keyword_tf as tf_rank
 from lodestone.operators.knn import knn, knn_batch, merge_subqueries, vector_of
-from lodestone.sources.objects import split_key
+from lodestone.operators.typography import is_scanned
+from lodestone.sources.objects import parse_enrichment, split_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -560,3 +563,97 @@ def page_outline(spark, sf_dir):
 def language_ident(spark, sf_dir):
     """language by function words, all four languages of the table allowed."""
     return table(spark, sf_dir, "documents").select("doc_id", detect_language(F.col("text"), ("de", "en", "es", "fr")).alias("language"))
+
+
+# -- What callers see, and what the inventory has beside ---------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, length(text) BETWEEN 1 AND 2000 AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AS valid FROM conversations")
+def request_validation(spark, sf_dir):
+    """P13."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", V.valid_question(F.col("text")).alias("valid"))
+
+
+@query("""WITH last AS (SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+SELECT c.c_custkey::VARCHAR AS document_id, c.c_name AS name, c.c_mktsegment AS status, CASE WHEN c.c_mktsegment <> 'COMPLETED' AND l.event_id IS NOT NULL THEN least(1.0::DOUBLE, (l.event_id % 100) / 50.0::DOUBLE) END AS ratio FROM customer c LEFT JOIN last l ON l.user_id = c.c_custkey""")
+def status_view(spark, sf_dir):
+    """Customers stand for documents, their last event for progress."""
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("document_id"), F.lit(" ").alias("title"), F.col("c_name").alias("filename"), F.col("c_mktsegment").alias("status"))
+    last = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("document_id")).agg(F.max_by("event_type", "event_id").alias("stage"), (F.max("event_id") % 100).alias("done"))
+    shown = V.status_view(docs, last.withColumns({"total": F.lit(50), "at": F.lit(0.0)}), 0.0)
+    return shown.select("document_id", "name", "status", F.col("progress.ratio").alias("ratio"))
+
+
+@query(f"WITH {LISTS} SELECT source::VARCHAR AS source, count(*) AS candidates, 0::BIGINT AS q_id FROM hits GROUP BY source")
+def per_source_counts(spark, sf_dir):
+    """A8."""
+    return C.per_source(_lists(spark, sf_dir)).withColumn("source", F.col("source").cast("string"))
+
+
+@query(f"WITH {LISTS}, scored AS (SELECT h.source AS q_id, h.vec_id, h.rank, CASE WHEN h.vec_id % 3 = 0 THEN NULL ELSE length(d.text) END AS s FROM hits h JOIN documents d ON d.doc_id = h.vec_id) SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY s DESC NULLS LAST, rank) AS rank FROM scored QUALIFY rank() OVER (PARTITION BY q_id ORDER BY s DESC NULLS LAST, rank) <= 10")
+def rerank_keep(spark, sf_dir):
+    """By an injected score; what it can't score keeps its order."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.length("text").alias("n"))
+    rows = _lists(spark, sf_dir).select(F.col("source").alias("q_id"), "vec_id", "rank").join(docs, "vec_id")
+    return C.rerank(rows, F.when(F.col("vec_id") % 3 != 0, F.col("n")), ["q_id"], "vec_id").select("q_id", "vec_id", "rank")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role || ' > ' || turn LIKE 'user > %' OR role || ' > ' || turn = 'user'")
+def heading_browse(spark, sf_dir):
+    """Everything under a heading."""
+    rows = table(spark, sf_dir, "conversations").withColumn("heading_path", F.concat("role", F.lit(" > "), F.col("turn").cast("string")))
+    return browse(rows, "user").select("conv_id", "turn")
+
+
+@query("""SELECT page_id::VARCHAR AS document_id, len(list_intersect(['example', 'page', '1'], list_distinct(list_filter(regexp_split_to_array(lower(url), '[^\\p{L}\\p{N}]+'), lambda t: t <> ''))))::BIGINT AS score FROM pages WHERE score > 0 ORDER BY score DESC, document_id LIMIT 10""")
+def title_match(spark, sf_dir):
+    """Full-text match of title and file name."""
+    docs = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("document_id"), F.lit(None).cast("string").alias("title"), F.col("url").alias("filename"))
+    return title_search(docs, "Example page 1").select("document_id", "score")
+
+
+@query("SELECT doc_id, embedding[1]::DOUBLE AS first, quality FROM (SELECT vec_id AS doc_id, embedding FROM embeddings) JOIN labels USING (doc_id)")
+def keyed_vectors(spark, sf_dir):
+    """Vectors beside their rows by key; a row without its other half fails the query."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.get("embedding", F.lit(0)).cast("double").alias("first"))
+    return I.positional_join(vectors.join(labels, "doc_id", "left_semi"), labels.join(vectors, "doc_id", "left_semi"), ["doc_id"])
+
+
+@query("""SELECT event_id, event_id % 1000 AS id, 'c' || event_id AS context, event_type AS category FROM events WHERE event_id % 4 <> 0""")
+def enrichment_parse(spark, sf_dir):
+    """Tolerant parsing of replies: ids as text are read, items without a number and broken replies are dropped."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    item = F.to_json(F.struct((n % 1000).cast("string").alias("id"), F.concat(F.lit("c"), n.cast("string")).alias("context"), kind.alias("category")))
+    reply = F.when(n % 8 == 0, F.lit("{broken")).when(n % 4 == 0, F.lit('{"chunks":[{"id":"none"}]}')).otherwise(F.concat(F.lit('{"chunks":['), item, F.lit("]}")))
+    parsed = table(spark, sf_dir, "events").select("event_id", F.explode(parse_enrichment(reply)).alias("c"))
+    return parsed.select("event_id", F.col("c.id").cast("long").alias("id"), "c.context", "c.category")
+
+
+@query(f"WITH {SCORES_SQL} SELECT round(avg(rr), 9) AS accuracy, round(avg(1 + q_id % 3), 9) AS mean_iterations FROM (SELECT q_id, CASE WHEN rr = 1 THEN 1.0 ELSE 0.0 END AS rr FROM scores)")
+def citation_accuracy(spark, sf_dir):
+    """A5: a question's first hit stands for its citation."""
+    scores = _scores(spark, sf_dir)
+    cited = scores.where("rr = 1").select("q_id", F.lit("d").alias("document_id"), F.lit(1).alias("page_number"))
+    gold = scores.select("q_id", F.lit("d").alias("document_id"), F.lit(1).alias("page_number"))
+    return E.citation_accuracy(cited, gold, scores.select("q_id", (1 + F.col("q_id") % 3).alias("iterations")))
+
+
+@query("SELECT conv_id, '[' || (turn + 1) || '] (' || role || ' | page ' || turn || ') ' || text AS line, turn FROM conversations")
+def prompt_lines(spark, sf_dir):
+    """F22."""
+    t = F.col("turn")
+    return table(spark, sf_dir, "conversations").select("conv_id", C.prompt_line(t + 1, F.col("role"), F.lit(""), t, F.col("text")).alias("line"), "turn")
+
+
+@query("SELECT page_id, (length(html) / 3.0::DOUBLE) < 100 AS scanned FROM pages")
+def scanned_pages(spark, sf_dir):
+    """Every page as a document of three."""
+    return table(spark, sf_dir, "pages").select("page_id", is_scanned(F.length("html"), F.lit(3)).alias("scanned"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
+def pricing_summary(spark, sf_dir):
+    """A generic aggregation; the reference has none like it."""
+    rows = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
