@@ -135,7 +135,7 @@ def write_packed(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id
     """Encode ``docs(doc_id, text)`` and write packed files under ``uri``; return the manifest, one row per file.
 
     Documents are dealt to tasks by ranges of ``doc_id`` and written in ascending order, nulls first; equal ids are
-    ordered by text. A null text is empty: it holds the end id alone. Other columns are ignored. No file is written
+    ordered by the text's hash. A null text is empty: it holds the end id alone. Other columns are ignored. No file is written
     for a range without documents.
     """
 
@@ -157,7 +157,9 @@ def write_packed(docs: DataFrame, uri: str, tokenizer: str | None = None, end_id
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "n_docs": [len(out.doc_ids)], "n_ids": [out.n_ids]})
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The text's hash cuts ranges where many rows share an id, or have none.
+    order = ("doc_id", "text_hash")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).repartitionByRange(*order).sortWithinPartitions(*order)
     return materialize(dealt.mapInArrow(write, MANIFEST), "packed-manifest")
 
 
