@@ -29,7 +29,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.002, range_rows: int = 131_072) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.01, range_rows: int = 131_072) -> DataFrame:
     """Deal ``docs(doc_id, text)`` to shards 0 to ``shards - 1`` whose bytes are near equal.
 
     Returns doc_id, size (UTF-8 bytes and 1; a null text has none), text_crc32 (0 for a null text), law, shard, slot
