@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import materialize
+from lodestone.llm.shared import discard, materialize
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -35,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.where("u <> v").select("u", "v"), "edges")
     seen = None
     while (stamp := _stamp(now)) != seen:
-        seen = stamp
-        now = materialize(_small_star(materialize(_large_star(now), "large-star")), "small-star")
+        seen, before = stamp, now
+        large = materialize(_large_star(before), "large-star")
+        now = materialize(_small_star(large), "small-star")
+        discard(before, large)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots).distinct()

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import materialize, spare
+from lodestone.llm.shared import discard, materialize, spare
 
 MIN_LINES = 3
 DOC = ("doc_id", "text_hash")
@@ -31,12 +31,14 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _ranked(suffixes: DataFrame, by: list[str], name: str) -> DataFrame:
     """Replace the sort columns ``by`` by their rank, and leave out suffixes whose values no other has.
 
-    ``first`` is where the class first occurs.
+    ``first`` is where the class first occurs. ``suffixes``, a written table, is used up.
     """
     place = F.struct(*DOC, "pos")
     shared = suffixes.groupBy(*by).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     ranks = materialize(shared.orderBy(*by).withColumn("place", F.monotonically_increasing_id()), f"{name}-ranks")
-    return materialize(suffixes.join(ranks, by).select(*DOC, "pos", F.col("place").alias("rank"), "first"), name)
+    placed = materialize(suffixes.join(ranks, by).select(*DOC, "pos", F.col("place").alias("rank"), "first"), name)
+    discard(suffixes, ranks)
+    return placed
 
 
 def suffix_classes(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -53,7 +55,9 @@ def suffix_classes(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         once = suffixes.select(*DOC, "pos", "rank").repartition(*DOC).distinct()
         pairs = once.withColumn("next", F.first("rank").over(further)).where("next IS NOT NULL")
         depth += step
-        suffixes = _ranked(materialize(pairs, f"pairs-{depth}"), ["rank", "next"], f"suffixes-{depth}")
+        pairs = materialize(pairs, f"pairs-{depth}")
+        discard(suffixes)
+        suffixes = _ranked(pairs, ["rank", "next"], f"suffixes-{depth}")
     return suffixes
 
 
@@ -70,6 +74,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     later = found.where(F.struct(*DOC, "pos") > F.col("first"))
     gone = later.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))).alias("pos"))
     gone = materialize(gone.groupBy(*DOC).agg(F.collect_set("pos").alias("gone")), "deleted-lines")
+    discard(found)
     doc, text_hash, lines_gone = (spare(rows, n) for n in ("gone_doc_id", "gone_text_hash", "gone_lines"))
     gone = gone.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("gone").alias(lines_gone))
     # The deletions grow with the input: never broadcast, whatever their size.

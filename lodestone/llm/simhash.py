@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
-from lodestone.llm.shared import materialize, spare
+from lodestone.llm.shared import discard, materialize, spare
 
 SHINGLE, BITS, SEED = 3, 2, 42
 #: Fixed values of the Golay code: its length, its covering radius and x^11+x^10+x^6+x^5+x^4+x^2+1, which generates it.
@@ -136,6 +136,7 @@ def _grouped(docs: DataFrame, bits: int, shingle: int, seed: int) -> DataFrame:
     placed = materialize(placed, "placed")
     least = materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = materialize(placed.join(least, "root").select("fp", "root", "component_id"), "named")
+    discard(nodes, placed, least)
     return hashed.join(named, "fp")
 
 

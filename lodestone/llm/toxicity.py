@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import materialize
+from lodestone.llm.shared import discard, materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 FOLDS = 5
@@ -257,6 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> Tox
 
     rows = np.array(sorted(tuple(r) for r in train.mapInArrow(describe, "a double, b double, toxic int").collect()), dtype=np.float64).reshape(-1, 3)
     model.curve = _logistic(rows[:, :2], rows[:, 2] > 0)
+    discard(train, words)
     return model
 
 
