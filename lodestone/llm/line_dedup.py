@@ -1,31 +1,47 @@
 """Line dedup by a suffix array over line ids, as DataFrame operations throughout.
 
-Every document is a sequence of line ids (MD5 of the line). Suffixes are ranked by distributed prefix doubling: ranks
-by their first h ids and the ranks h places on give the order by the first 2h, and so on up to ``min_lines`` ids.
-Ranks are places in a range-partitioned sort of the distinct pairs, so no task sorts more than its range and no
-window spans a class. Only suffixes that share their first h ids with another one go on to the next round.
-
-Suffixes that are neighbours in this array with a common prefix of ``min_lines`` or more form the longest-common-
-prefix intervals, one for each class of the last round. A maximal repeated run of lines is a chain of such windows;
-all but its first copy in the order of (doc_id, text, line) are deleted. So what is deleted is the union of the
-windows that occur earlier, and ordering suffixes any deeper would change nothing.
+Every document is a sequence of line ids (MD5 of the line). Suffixes are ranked by distributed prefix doubling: the
+rank by the first h ids and the rank that lies d <= h places on give the order by the first h + d, up to
+``min_lines`` ids. Ranks are places in a range-partitioned sort of the distinct pairs, so no task sorts more than its
+range and no window spans a class. Only suffixes that share their first h ids with another one go on.
+
+Suffixes that are neighbours in this array with a common prefix of n lines or more form the longest-common-prefix
+intervals of n: at each depth, the classes of equal rank. A repeated run counts if it has ``min_lines`` lines or
+``min_words`` words. All but its first copy in the order of (doc_id, text, line) are deleted, which is to say every
+window of a depth up to ``min_lines`` that counts and that occurs earlier: each line of a maximal repeated run that
+counts lies in such a window, and ordering suffixes any deeper would change nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import let
 from lodestone.llm.shared import discard, materialize, spare
 
-MIN_LINES = 3
+MIN_LINES, MIN_WORDS = 3, 50
 DOC = ("doc_id", "text_hash")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, pos, line)`` of ``docs``; line as the 16 bytes of its MD5."""
-    listed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return listed.select(*DOC, "pos", F.unhex(F.md5("line")).alias("line"))
+def _least(words: Column, min_lines: int, min_words: int) -> Column:
+    """For each line how many lines from it on make a run that counts, if they are repeated."""
+
+    def at(i: Column) -> Column:
+        least, total = F.lit(min_lines), [F.coalesce(F.get(words, i + j), F.lit(0)) for j in range(min_lines - 1)]
+        for n in range(min_lines - 1, 0, -1):
+            least = F.when(sum(total[1:n], total[0]) >= min_words, n).otherwise(least)
+        return least
+
+    return F.transform(words, lambda _, i: at(i))
+
+
+def _lines(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """``(doc_id, text_hash, pos, line, least)`` of ``docs``; line as the 16 bytes of its MD5. Words are spaces and one."""
+    lines = F.split("text", "\n", -1)
+    least = let(F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1), lambda w: _least(w, min_lines, min_words))
+    listed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.arrays_zip(lines.alias("line"), least.alias("least"))).alias("pos", "at"))
+    return listed.select(*DOC, "pos", F.unhex(F.md5("at.line")).alias("line"), "at.least")
 
 
 def _ranked(suffixes: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -36,45 +52,50 @@ def _ranked(suffixes: DataFrame, by: list[str], name: str) -> DataFrame:
     place = F.struct(*DOC, "pos")
     shared = suffixes.groupBy(*by).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     ranks = materialize(shared.orderBy(*by).withColumn("place", F.monotonically_increasing_id()), f"{name}-ranks")
-    placed = materialize(suffixes.join(ranks, by).select(*DOC, "pos", F.col("place").alias("rank"), "first"), name)
+    placed = materialize(suffixes.join(ranks, by).select(*DOC, "pos", "least", F.col("place").alias("rank"), "first"), name)
     discard(suffixes, ranks)
     return placed
 
 
-def suffix_classes(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``(doc_id, text_hash, pos, rank, first)``: the suffixes that share their first ``min_lines`` lines with another.
+def _deeper(suffixes: DataFrame, step: int, name: str) -> DataFrame:
+    """Ranks by ``step`` more lines than ``suffixes``, which stays as it is."""
+    further = Window.partitionBy(*DOC).orderBy("pos").rangeBetween(step, step)
+    # Equal rows (doc_id and text) are one document.
+    once = suffixes.select(*DOC, "pos", "least", "rank").repartition(*DOC).distinct()
+    pairs = once.withColumn("next", F.first("rank").over(further)).where("next IS NOT NULL")
+    return _ranked(materialize(pairs, f"{name}-pairs"), ["rank", "next"], name)
 
-    In the order of rank they are a suffix array to that depth; equal ranks are its intervals.
+
+def suffix_classes(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> list[tuple[int, DataFrame]]:
+    """For each depth up to ``min_lines`` the suffixes that share that many lines with another one, as written tables.
+
+    Rows are (doc_id, text_hash, pos, least, rank, first). In the order of rank they are the suffix array to that
+    depth; equal ranks are its intervals.
     """
-    suffixes = _ranked(materialize(_lines(docs), "lines"), ["line"], "suffixes-1")
-    depth = 1
-    while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        further = Window.partitionBy(*DOC).orderBy("pos").rangeBetween(step, step)
-        # Equal rows (doc_id and text) are one document.
-        once = suffixes.select(*DOC, "pos", "rank").repartition(*DOC).distinct()
-        pairs = once.withColumn("next", F.first("rank").over(further)).where("next IS NOT NULL")
-        depth += step
-        pairs = materialize(pairs, f"pairs-{depth}")
-        discard(suffixes)
-        suffixes = _ranked(pairs, ["rank", "next"], f"suffixes-{depth}")
-    return suffixes
-
-
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """Delete later copies of repeated runs of at least ``min_lines`` lines from ``docs(doc_id, text, ...)``.
+    depths = [(1, _ranked(materialize(_lines(docs, min_lines, min_words), "lines"), ["line"], "suffixes-1"))]
+    while (reached := depths[-1][0]) < min_lines:
+        power = 1 << (reached.bit_length() - 1)  # the last doubling
+        depths.append((reached + 1, _deeper(depths[power - 1][1], reached + 1 - power, f"suffixes-{reached + 1}")))
+    return depths
+
+
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """Delete later copies of repeated runs of ``min_lines`` lines or ``min_words`` words from ``docs(doc_id, text, ...)``.
 
     Every row comes back with its other columns, ``text`` without the deleted lines, and ``n_lines`` and
-    ``n_removed``. A run that overlaps its own later copy keeps its first ``min_lines`` lines. A null text stays null
-    with 0 lines; an empty one is one empty line. Rows with the same doc_id and text count as one document and come
-    back alike; null ids come first in the order. Columns of the input named like the two counts are replaced.
+    ``n_removed``. A run that overlaps its own later copy keeps its first window. A null text stays null with 0
+    lines; an empty one is one empty line. Rows with the same doc_id and text count as one document and come back
+    alike; null ids come first in the order. Columns of the input named like the two counts are replaced.
     """
     rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).drop("n_lines", "n_removed")
-    found = suffix_classes(rows.select("doc_id", "text").where("text IS NOT NULL"), min_lines)
-    later = found.where(F.struct(*DOC, "pos") > F.col("first"))
-    gone = later.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + (min_lines - 1))).alias("pos"))
+    found = suffix_classes(rows.select("doc_id", "text").where("text IS NOT NULL"), min_lines, min_words)
+    gone = None
+    for depth, suffixes in found:
+        later = suffixes.where((F.col("least") <= depth) & (F.struct(*DOC, "pos") > F.col("first")))
+        more = later.select(*DOC, F.explode(F.sequence("pos", F.col("pos") + (depth - 1))).alias("pos"))
+        gone = more if gone is None else gone.unionByName(more)
     gone = materialize(gone.groupBy(*DOC).agg(F.collect_set("pos").alias("gone")), "deleted-lines")
-    discard(found)
+    discard(*(suffixes for _, suffixes in found))
     doc, text_hash, lines_gone = (spare(rows, n) for n in ("gone_doc_id", "gone_text_hash", "gone_lines"))
     gone = gone.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text_hash), F.col("gone").alias(lines_gone))
     # The deletions grow with the input: never broadcast, whatever their size.
@@ -90,15 +111,19 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 ORACLE = """
 WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, pos, lines[pos + 1] AS line FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS pos FROM docs)),
+counted AS (SELECT doc_id, pos, line, length(line) - length(replace(line, ' ', '')) + 1 AS words FROM lines),
 runs AS (
-  SELECT doc_id, pos, line, lead(line, 1) OVER w AS line1, lead(line, 2) OVER w AS line2
-  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+  SELECT doc_id, pos, line, lead(line, 1) OVER w AS line1, lead(line, 2) OVER w AS line2, words, words + lead(words, 1) OVER w AS words1
+  FROM counted WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
 ),
 copies AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY line, line1, line2 ORDER BY doc_id, pos) AS copy
-  FROM runs WHERE line2 IS NOT NULL
+  SELECT 1 AS n, doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS copy FROM runs WHERE words >= 50
+  UNION ALL
+  SELECT 2, doc_id, pos, row_number() OVER (PARTITION BY line, line1 ORDER BY doc_id, pos) FROM runs WHERE line1 IS NOT NULL AND words1 >= 50
+  UNION ALL
+  SELECT 3, doc_id, pos, row_number() OVER (PARTITION BY line, line1, line2 ORDER BY doc_id, pos) FROM runs WHERE line2 IS NOT NULL
 ),
-gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM copies, range(3) AS ks(k) WHERE copy > 1),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM copies, range(3) AS ks(k) WHERE copy > 1 AND k < n),
 kept AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) AS n
   FROM lines ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id

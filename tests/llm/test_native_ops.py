@@ -14,26 +14,29 @@ from lodestone.llm.sharding import shard_by_bytes
 DOCS = "doc_id long, text string"
 
 
-def brute_dedup(docs, min_lines):
-    """Delete every line of a window that occurred before, in the order of id and text."""
+def brute_dedup(docs, min_lines, min_words):
+    """Delete every line of a run that counts and occurred before, in the order of id and text."""
     seen, out = {}, {}
     for doc_id, text in sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0)):
         lines = text.split("\n")
         gone = set()
-        for i in range(len(lines) - min_lines + 1):
-            if seen.setdefault(tuple(lines[i : i + min_lines]), (doc_id, i)) != (doc_id, i):
-                gone |= set(range(i, i + min_lines))
+        for n in range(1, len(lines) + 1):
+            for i in range(len(lines) - n + 1):
+                run = lines[i : i + n]
+                if n >= min_lines or sum(x.count(" ") + 1 for x in run) >= min_words:
+                    if seen.setdefault(tuple(run), (doc_id, i)) != (doc_id, i):
+                        gone |= set(range(i, i + n))
         out[doc_id] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone))
     return out
 
 
-@pytest.mark.parametrize("min_lines", [1, 2, 3, 5])
-def test_line_dedup_is_brute_force(spark, min_lines):
+@pytest.mark.parametrize(("min_lines", "min_words"), [(1, 9), (2, 9), (3, 5), (3, 50), (5, 7), (6, 2)])
+def test_line_dedup_is_brute_force(spark, min_lines, min_words):
     rng = random.Random(min_lines)
-    docs = [(i, "\n".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    docs = [(i, "\n".join(rng.choice(["a", "b b", "c c c c"]) for _ in range(rng.randint(0, 9)))) for i in range(60)]
     docs += [(100, "x\n" * 40), (101, docs[3][1]), (102, ""), (103, "\n\n\n\n")]
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in dedup_lines(spark.createDataFrame(docs, DOCS), min_lines).collect()}
-    assert got == brute_dedup(docs, min_lines)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in dedup_lines(spark.createDataFrame(docs, DOCS), min_lines, min_words).collect()}
+    assert got == brute_dedup(docs, min_lines, min_words)
 
 
 def test_line_dedup_edges(spark):
@@ -53,7 +56,9 @@ def test_ranks_are_in_suffix_order(spark):
     import hashlib
 
     docs = [(i, "\n".join(random.Random(i).choice("ab") for _ in range(8))) for i in range(20)]
-    rows = suffix_classes(spark.createDataFrame(docs, DOCS), 3).collect()
+    depth, rows = suffix_classes(spark.createDataFrame(docs, DOCS), 3)[-1]
+    rows = rows.collect()
+    assert depth == 3
     ids = lambda r: tuple(hashlib.md5(x.encode()).digest() for x in docs[r.doc_id][1].split("\n")[r.pos : r.pos + 3])
     ordered = sorted(rows, key=lambda r: r["rank"])
     assert all((ids(a) < ids(b)) == (a["rank"] < b["rank"]) for a, b in zip(ordered, ordered[1:], strict=False))

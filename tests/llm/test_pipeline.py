@@ -11,7 +11,7 @@ import xxhash
 import __spark_entry__
 import corpus_pipeline
 from lodestone.llm.decontaminate import ERROR_RATE, normal
-from lodestone.llm.line_dedup import MIN_LINES
+from lodestone.llm.line_dedup import MIN_LINES, MIN_WORDS
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"{a}{b}" for a in ("ran", "tel", "mor", "sib", "cal", "dun", "fes", "gol") for b in ("ta", "no", "ri", "le", "mu", "so")]
@@ -89,11 +89,14 @@ def test_stages(spark, world):
     for r in sorted(before, key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
         lines = (r.text or "").split("\n")
         drop = set()
-        for i in range(len(lines) - MIN_LINES + 1):
-            window = tuple(lines[i : i + MIN_LINES])
-            if window in seen:
-                drop |= set(range(i, i + MIN_LINES))
-            seen.add(window)
+        for n in range(1, MIN_LINES + 1):
+            for i in range(len(lines) - n + 1):
+                window = tuple(lines[i : i + n])
+                if n < MIN_LINES and sum(x.count(" ") + 1 for x in window) < MIN_WORDS:
+                    continue
+                if window in seen:
+                    drop |= set(range(i, i + n))
+                seen.add(window)
         want[r.doc_id] = None if r.text is None else "\n".join(x for i, x in enumerate(lines) if i not in drop)
     got = {r.doc_id: r for r in after.collect()}
     assert {i: r.text for i, r in got.items()} == want
