@@ -194,15 +194,21 @@ def in_held_out_fold(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> DataFrame:
-    """``(text, toxic)`` of labelled documents outside the held-out fold, at most ``max_rows`` labels, taken by hash.
+    """``(doc_id, text, text_hash, toxic)`` of labelled documents outside the held-out fold, at most ``max_rows`` labels, taken by hash.
 
-    An id with two labels is toxic if one of them says so; a null label is none. Copies of a text count once.
+    An id with two labels is toxic if one of them says so; a null label is none.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & ~in_held_out_fold(F.col("doc_id")))
     some = named.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # Two numbers a row, and max_rows at most.
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
-    return joined.select("text", "toxic")
+    return joined.select("doc_id", "text", F.md5("text").alias("text_hash"), "toxic")
+
+
+def each_text_once(rows: DataFrame) -> DataFrame:
+    """``(text, toxic)`` with the copies of a text as one row, toxic if one of them is. As many texts as labels at most."""
+    first = rows.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    return rows.drop("toxic").join(F.broadcast(first), ["text_hash", "doc_id"]).select("text", "toxic")
 
 
 def _word_counts(train: DataFrame) -> DataFrame:
@@ -222,11 +228,13 @@ def _log_odds(n_toxic: int, n_clean: int) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> ToxicityModel:
-    """Learn lexicon, exceptions and curve. What the driver collects is bounded by the constants above."""
-    train = materialize(training_rows(docs, labels, max_rows), "toxic-train")
+    """Learn lexicon, exceptions and curve; copies of a text count once. What the driver collects is bounded by the constants above."""
+    labelled = materialize(training_rows(docs, labels, max_rows), "toxic-train")
+    train = each_text_once(labelled)
     n_toxic, n_clean = train.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
     prior = math.log((n_toxic + 1) / (n_clean + 1))
     if not n_toxic or not n_clean:
+        discard(labelled)
         return ToxicityModel(curve=(prior, 0.0, 0.0))
     words = materialize(_word_counts(train), "toxic-words")
     support, sure = max(3, math.ceil(0.005 * n_toxic)), math.log(20)
@@ -257,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> Tox
 
     rows = np.array(sorted(tuple(r) for r in train.mapInArrow(describe, "a double, b double, toxic int").collect()), dtype=np.float64).reshape(-1, 3)
     model.curve = _logistic(rows[:, :2], rows[:, 2] > 0)
-    discard(train, words)
+    discard(labelled, words)
     return model
 
 

@@ -385,6 +385,16 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_copies_of_a_text_count_once(spark):
+    docs, labels = toxic_world()
+    copies = [(10_000 + i, "unusual wording of one single text") for i in range(200)]
+    marked = spark.createDataFrame([*labels, *((i, 1) for i, _ in copies)], "doc_id long, toxic int")
+    model = X.fit(spark.createDataFrame([*docs, *copies], DOCS), marked)
+    found = {letters for letters, *_ in model.terms}
+    assert "unusual" not in found
+    assert "scoundrel" in found
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame(EDGES, DOCS)
     none = spark.createDataFrame([], "doc_id long, toxic int")
