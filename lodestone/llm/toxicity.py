@@ -30,6 +30,8 @@ WORD = re.compile(r"[^\W\d_]+")
 FOLDS = 5
 #: Bounds of what is learned from: labelled rows, and what is collected of it.
 MAX_LABELLED, MAX_TERMS, MAX_EXCEPTIONS = 100_000, 500, 50_000
+#: A term is in this share of the toxic texts, and this many times more often than in clean ones; of a stem's hits, no word has more than ONE_WORD.
+SUPPORT, SURE, ONE_WORD = 0.015, 20, 0.7
 EDIT_WEIGHT, QUOTED_WEIGHT, ADDRESS_WEIGHT, WINDOW = 0.5, 0.25, 1.25, 48
 OPENING, CLOSING = "\"“„«‹‘", "\"”“»›’"
 REPORTING = frozenset("said says wrote writes quoted quotes called reported claims disait écrit cité appelé sagte schrieb zitierte nannte dijo escribió citó llamó".split())
@@ -237,12 +239,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> Tox
         discard(labelled)
         return ToxicityModel(curve=(prior, 0.0, 0.0))
     words = materialize(_word_counts(train), "toxic-words")
-    support, sure = max(3, math.ceil(0.005 * n_toxic)), math.log(20)
+    support, sure = max(3, math.ceil(SUPPORT * n_toxic)), math.log(SURE)
     found = words.where(F.col("toxic") >= support).withColumn("odds", _log_odds(n_toxic, n_clean)).where(F.col("odds") >= sure)
     whole = [(r.word, False, r.odds) for r in found.orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "word").limit(MAX_TERMS).collect()]
     heads = words.select(F.explode(F.transform(F.sequence(F.lit(4), F.lit(7)), lambda n: F.when(F.length("word") > n, F.substring("word", F.lit(1), n)))).alias("head"), "toxic", "clean").where("head IS NOT NULL")
-    heads = heads.groupBy("head").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count_if(F.col("toxic") > 0).alias("words"))
-    heads = heads.where((F.col("toxic") >= 2 * support) & (F.col("words") >= 3)).withColumn("odds", _log_odds(n_toxic, n_clean)).where(F.col("odds") >= sure + math.log(2))
+    heads = heads.groupBy("head").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.max("toxic").alias("most"))
+    heads = heads.where((F.col("toxic") >= 2 * support) & (F.col("most") <= ONE_WORD * F.col("toxic"))).withColumn("odds", _log_odds(n_toxic, n_clean)).where(F.col("odds") >= sure + math.log(2))
     stems: list[Term] = []
     for r in heads.orderBy(F.length("head"), "head").limit(4 * MAX_TERMS).collect():
         if not any(r.head.startswith(s) for s, _, _ in stems):
