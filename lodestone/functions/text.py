@@ -26,7 +26,7 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The white-space separated words."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"(?U)\s+"), "")
 
 
 def word_count(text: Column) -> Column:

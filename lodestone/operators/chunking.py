@@ -19,8 +19,8 @@ from lodestone.functions.text import let, word_count, words
 PARENT, CHILD, DROP_BELOW = (500, 1000), (100, 200), 20
 
 
-def pack(text: Column, least: int, most: int) -> Column:
-    """Pieces of ``most`` words; a last one of fewer than ``least`` joins the one before it."""
+def pack_counted(text: Column, least: int, most: int) -> Column:
+    """Pieces of ``most`` words as (content, token_count); a last one of fewer than ``least`` joins the one before it."""
 
     def cut(all_words: Column) -> Column:
         n = F.size(all_words)
@@ -29,13 +29,21 @@ def pack(text: Column, least: int, most: int) -> Column:
 
         def piece(i: Column) -> Column:
             length = F.when(i == count - 1, n - i * most).otherwise(F.lit(most)).cast("int")
-            return F.array_join(F.slice(all_words, i * most + 1, length), " ")
+            return F.struct(F.array_join(F.slice(all_words, i * most + 1, length), " ").alias("content"), length.alias("token_count"))
 
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), piece)).otherwise(F.array().cast("array<string>"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), piece)).otherwise(F.array().cast("array<struct<content: string, token_count: int>>"))
 
     return let(words(text), cut)
 
 
+def pack(text: Column, least: int, most: int) -> Column:
+    return F.transform(pack_counted(text, least, most), lambda p: p["content"])
+
+
+def kept_counted(pieces: Column, drop_below: int = DROP_BELOW) -> Column:
+    return F.filter(pieces, lambda p: p["token_count"] >= drop_below)
+
+
 def kept(pieces: Column, drop_below: int = DROP_BELOW) -> Column:
     return F.filter(pieces, lambda p: word_count(p) >= drop_below)
 
@@ -79,10 +87,10 @@ def chunk_document(docs: DataFrame, parent: tuple[int, int] = PARENT, child: tup
 
     A parent may own no child; a dropped parent takes its children with it.
     """
-    parents = kept(pack(F.col("text"), *parent), drop_below)
-    owned = F.flatten(F.transform(parents, lambda p, i: F.transform(kept(pack(p, *child), drop_below), lambda c: F.struct(i.cast("long").alias("parent_index"), c.alias("content")))))
+    parents = kept_counted(pack_counted(F.col("text"), *parent), drop_below)
+    owned = F.flatten(F.transform(parents, lambda p, i: F.transform(kept_counted(pack_counted(p["content"], *child), drop_below), lambda c: F.struct(i.cast("long").alias("parent_index"), c.alias("piece")))))
     rows = docs.select("document_id", F.posexplode(owned).alias("chunk_index", "chunk"))
-    return rows.select("document_id", "chunk.parent_index", F.col("chunk_index").cast("long").alias("chunk_index"), word_count(F.col("chunk.content")).cast("long").alias("token_count"), "chunk.content")
+    return rows.select("document_id", "chunk.parent_index", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("chunk.piece.token_count").cast("long").alias("token_count"), "chunk.piece.content")
 
 
 def batches(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:

@@ -16,7 +16,7 @@ from lodestone.operators import evaluation as E
 from lodestone.operators import ingest as I
 from lodestone.operators import state as S
 from lodestone.operators import views as V
-from lodestone.operators.chunking import batches, chunk_document, kept, pack
+from lodestone.operators.chunking import batches, chunk_document, kept_counted, pack_counted
 from lodestone.operators.keyword import browse, title_search
 from lodestone.operators.keyword import keyword_bm25 as bm25
 from lodestone.operators.keyword import keyword_tf as tf_rank
@@ -161,8 +161,8 @@ chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1
 
 def _chunks(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    pieces = docs.select("doc_id", F.posexplode(kept(pack(F.col("text"), 100, 200))).alias("chunk_index", "content"))
-    return pieces.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), T.word_count(F.col("content")).cast("long").alias("token_count"), "content")
+    pieces = docs.select("doc_id", F.posexplode(kept_counted(pack_counted(F.col("text"), 100, 200))).alias("chunk_index", "piece"))
+    return pieces.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("piece.token_count").cast("long").alias("token_count"), "piece.content")
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, token_count, content FROM chunks")
@@ -187,7 +187,7 @@ def chunk_parent_child(spark, sf_dir):
 def chunk_stats(spark, sf_dir):
     """Sums over chunks, computed beside the document's columns without a join."""
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("lang", F.explode(kept(pack(F.col("text"), 100, 200))).alias("content")).select("lang", T.word_count(F.col("content")).cast("long").alias("n"))
+    rows = docs.select("lang", F.explode(kept_counted(pack_counted(F.col("text"), 100, 200))).alias("piece")).select("lang", F.col("piece.token_count").cast("long").alias("n"))
     return rows.groupBy("lang").agg(F.count("*").alias("chunks"), F.sum("n").alias("tokens"), F.max("n").alias("longest"), F.round(F.avg("n"), 6).alias("mean"))
 
 
