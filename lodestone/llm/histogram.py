@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
+#: Boundaries counted in a pass, about: they are one expression and one row each on the driver.
+MAX_BOUNDS = 1024
 
 
 def bucket_of(key: Column, bounds: list[int]) -> Column:
@@ -68,13 +70,14 @@ def splitters(rows: DataFrame, targets: list[int], tolerance: int, probes: int =
     chosen: dict[int, int] = {}
     below: dict[int, int] = {LOW: 0}
     while len(chosen) < len(targets):
-        wanted: set[int] = set()
-        for k, (a, b) in enumerate(intervals):
-            if k not in chosen:
-                step = max(1, (b - a) // (probes + 1))
-                marks = [a + i * step for i in range(1, probes + 1) if a + i * step < b] + [b]
-                wanted |= {_round_number(p, q) for p, q in zip([a, *marks], marks, strict=False)}
-        seen = count_below(rows, sorted(wanted | {b for _, b in intervals}))
+        wanted = {b for _, b in intervals if b not in below}
+        unsure = {interval for k, interval in enumerate(intervals) if k not in chosen}
+        each = max(1, min(probes, MAX_BOUNDS // len(unsure)))
+        for a, b in unsure:
+            step = max(1, (b - a) // (each + 1))
+            marks = [a + i * step for i in range(1, each + 1) if a + i * step < b]
+            wanted |= {_round_number(p, q) for p, q in zip([a, *marks], marks, strict=False)}
+        seen = count_below(rows, sorted(wanted))
         below |= dict(zip(seen.bounds, seen.weight, strict=True))
         known = sorted(below)
         for k, target in enumerate(targets):

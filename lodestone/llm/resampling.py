@@ -23,6 +23,8 @@ from lodestone.llm.shared import materialize
 
 BUCKETS, SHARE, SCALE, SEED = 16_384, 0.85, 40.0, 20
 MAX_LABELLED = 100_000
+#: Words of more bytes are hashed each time.
+LONG = 80
 WEIGHT = "doc_id long, text_crc32 long, log_weight double, n_grams long"
 
 
@@ -35,9 +37,12 @@ class Hasher:
     def grams(self, raw: bytes) -> np.ndarray:
         words = raw.lower().split()
         known = self.known
-        for w in set(words).difference(known):
+        new = set(words).difference(known)
+        for w in new:
             known[w] = zlib.crc32(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        for w in [w for w in new if len(w) > LONG]:
+            known.pop(w, None)
         if len(known) > self.limit:
             known.clear()
         pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(29)

@@ -18,6 +18,8 @@ from lodestone.llm.shared import materialize
 
 SHARDS = 8
 TEXT_BITS, ROW_BITS = 40, 23
+#: Ranges are one expression; with more rows than these take at ``range_rows``, ranges grow.
+MAX_RANGES = 2048
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0
     keyed = materialize(_keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))), "shard-keys")
     total, n = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     weighed = keyed.select("key", F.col("size").alias("weight"))
-    cuts = max(1, math.ceil(n / shards / range_rows))
+    cuts = max(1, min(math.ceil(n / shards / range_rows), MAX_RANGES // shards))
     ranges = shards * cuts
     targets = [total * k // ranges for k in range(1, ranges)]
     bounds = sorted(splitters(weighed, targets, max(1, int(total / shards * tolerance)))) if n else [0] * (ranges - 1)

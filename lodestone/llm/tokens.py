@@ -19,6 +19,8 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: A run of these after a letter is a pre-token of its own.
 TAIL = b".,!?;:"
 WORD_END = "</w>"
+#: Words of more bytes are not kept.
+LONG = 80
 
 
 def tokenizer_path(path: str | None = None) -> str:
@@ -31,7 +33,7 @@ def tokenizer_path(path: str | None = None) -> str:
 
 
 class WordEncoder:
-    """``encode(texts)`` gives each text's ids as bytes. ``limit`` bounds the words kept."""
+    """``encode(texts)`` gives each text's ids as bytes. ``limit`` bounds the words kept; what is long is never kept."""
 
     def __init__(self, path: str | None = None, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,9 +59,12 @@ class WordEncoder:
         texts = list(texts)
         for at in range(0, len(texts), group):
             split = [(t or "").encode().split() for t in texts[at : at + group]]
-            self._learn(set().union(*split).difference(self.words))
+            unknown = set().union(*split).difference(self.words)
+            self._learn(unknown)
             get = self.words.__getitem__
             out += [b"".join(map(get, words)) for words in split]
+            for word in [w for w in unknown if len(w) > LONG]:
+                del self.words[word]
             if len(self.words) > self.limit:
                 self.words.clear()
             if len(self.stems) > self.limit:
@@ -69,6 +74,9 @@ class WordEncoder:
     def _learn(self, unknown: set[bytes]) -> None:
         words, stems, odd, later, new = self.words, self.stems, [], [], set()
         for word in unknown:
+            if len(word) > LONG:
+                odd.append(word)
+                continue
             raw = word.rstrip(TAIL)
             if raw.isalpha():  # ASCII letters
                 stem = raw.lower()

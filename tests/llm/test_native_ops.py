@@ -7,6 +7,7 @@ import zlib
 
 import pytest
 
+from lodestone.llm import histogram
 from lodestone.llm.histogram import kth_boundary, splitters
 from lodestone.llm.line_dedup import dedup_lines, suffix_classes
 from lodestone.llm.sharding import shard_by_bytes
@@ -64,7 +65,9 @@ def test_ranks_are_in_suffix_order(spark):
     assert all((ids(a) < ids(b)) == (a["rank"] < b["rank"]) for a, b in zip(ordered, ordered[1:], strict=False))
 
 
-def test_splitters_are_exact(spark):
+@pytest.mark.parametrize("most", [4, 1024])
+def test_splitters_are_exact(spark, monkeypatch, most):
+    monkeypatch.setattr(histogram, "MAX_BOUNDS", most)
     rng = random.Random(1)
     keys = [(rng.choice([rng.randint(-(1 << 62), 1 << 62), rng.randint(0, 50)]), rng.randint(1, 99)) for _ in range(500)]
     rows = spark.createDataFrame(keys, "key long, weight long")

@@ -41,6 +41,12 @@ def test_odd_texts(text):
     assert ENCODER.encode([text, None]) == [raw(plain(text)), b""]
 
 
+def test_long_words_are_not_kept():
+    word = "Longword" * 40
+    assert ENCODER.encode([f"a {word}, b"]) == [raw(plain(f"a {word}, b"))]
+    assert max(map(len, [*ENCODER.words, *ENCODER.stems])) <= 80
+
+
 @pytest.mark.parametrize("width", [1, 7, 15, 16, 20, 32])
 def test_bits_round_trip(width):
     ids = np.random.default_rng(width).integers(0, 1 << width, 1001, dtype=np.uint64).astype("<u4")
