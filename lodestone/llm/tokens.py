@@ -35,7 +35,7 @@ def tokenizer_path(path: str | None = None) -> str:
 class WordEncoder:
     """``encode(texts)`` gives each text's ids as bytes. ``limit`` bounds the words kept; what is long is never kept."""
 
-    def __init__(self, path: str | None = None, limit: int = 1_000_000):
+    def __init__(self, path: str | None = None, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -88,6 +88,8 @@ class WordEncoder:
                     odd.append(word)
                     continue
                 stem = text.encode()
+            if stem == word:
+                stem = word  # one object as the key of both
             tail = word[len(raw) :]
             if tail and tail not in stems:
                 stems[tail] = self._alone([tail.decode()])[0]

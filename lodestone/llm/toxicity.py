@@ -137,7 +137,7 @@ class ToxicityModel:
     terms: list[Term] = field(default_factory=list)
     exceptions: frozenset[str] = frozenset()
     curve: tuple[float, ...] = (0.0, 0.0, 0.0)  # constant, by log sum, by density
-    limit: int = 500_000  # words whose match a worker keeps
+    limit: int = 200_000  # words whose match a worker keeps
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
