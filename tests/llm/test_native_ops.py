@@ -9,7 +9,7 @@ import pytest
 
 from lodestone.llm import histogram
 from lodestone.llm.histogram import kth_boundary, splitters
-from lodestone.llm.line_dedup import dedup_lines, suffix_classes
+from lodestone.llm.line_dedup import _numbered, dedup_lines, repeated_runs, suffix_ranks
 from lodestone.llm.sharding import shard_by_bytes
 
 DOCS = "doc_id long, text string"
@@ -24,14 +24,14 @@ def brute_dedup(docs, min_lines, min_words):
         for n in range(1, len(lines) + 1):
             for i in range(len(lines) - n + 1):
                 run = lines[i : i + n]
-                if n >= min_lines or sum(x.count(" ") + 1 for x in run) >= min_words:
+                if n >= min_lines or sum(len(x.split()) for x in run) >= min_words:
                     if seen.setdefault(tuple(run), (doc_id, i)) != (doc_id, i):
                         gone |= set(range(i, i + n))
         out[doc_id] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(lines), len(gone))
     return out
 
 
-@pytest.mark.parametrize(("min_lines", "min_words"), [(1, 9), (2, 9), (3, 5), (3, 50), (5, 7), (6, 2)])
+@pytest.mark.parametrize(("min_lines", "min_words"), [(1, 9), (3, 5), (6, 2)])
 def test_line_dedup_is_brute_force(spark, min_lines, min_words):
     rng = random.Random(min_lines)
     docs = [(i, "\n".join(rng.choice(["a", "b b", "c c c c"]) for _ in range(rng.randint(0, 9)))) for i in range(60)]
@@ -52,17 +52,51 @@ def test_line_dedup_edges(spark):
     assert dedup_lines(spark.createDataFrame([(1, "w " * 100_000 + "\n")], DOCS)).first().n_lines == 2
 
 
+def by_brute_force(docs):
+    """(doc, line, n) of the maximal runs that occurred before, and the place of the earliest copy."""
+    lines = [(d, t.split("\n")) for d, t in sorted(docs)]
+    seen, found = {}, []
+    for d, text in lines:
+        reached = 0
+        for i in range(len(text)):
+            n = 0
+            while i + n < len(text) and (first := seen.get(tuple(text[i : i + n + 1]), (d, i))) < (d, i):
+                n, copy = n + 1, first
+            for k in range(1, len(text) - i + 1):
+                seen.setdefault(tuple(text[i : i + k]), (d, i))
+            if n and i + n > reached:
+                found.append((d, i, n, *copy))
+            reached = max(reached, i + n)
+    return found
+
+
+@pytest.mark.parametrize("seed", (0, 2))
+def test_maximal_runs_are_brute_force(spark, seed):
+    """Runs of any length come as one interval each, with their earliest copy."""
+    rng = random.Random(seed)
+    docs = [(i, "\n".join(rng.choice("abcd"[: 2 + seed]) for _ in range(rng.randint(1, 12)))) for i in range(25)]
+    long = [f"line {i}" for i in range(37)]
+    docs += [(50, "\n".join(long)), (51, "\n".join(["p", *long[3:30], "q", *long[20:]])), (52, "\n".join(long[:36])), (53, "x\n" * 21)]
+    got = [tuple(r) for r in repeated_runs(spark.createDataFrame(docs, DOCS)).collect()]
+    assert sorted(got) == by_brute_force(docs)
+    assert (51, 1, 27, 50, 3) in got and (52, 0, 36, 50, 0) in got
+
+
 def test_ranks_are_in_suffix_order(spark):
-    """Ranks put suffixes in the order of their first lines' ids."""
+    """Ranks put suffixes in the order of their lines' ids; depths double up to the longest repeat."""
     import hashlib
 
-    docs = [(i, "\n".join(random.Random(i).choice("ab") for _ in range(8))) for i in range(20)]
-    depth, rows = suffix_classes(spark.createDataFrame(docs, DOCS), 3)[-1]
-    rows = rows.collect()
-    assert depth == 3
-    ids = lambda r: tuple(hashlib.md5(x.encode()).digest() for x in docs[r.doc_id][1].split("\n")[r.pos : r.pos + 3])
-    ordered = sorted(rows, key=lambda r: r["rank"])
-    assert all((ids(a) < ids(b)) == (a["rank"] < b["rank"]) for a, b in zip(ordered, ordered[1:], strict=False))
+    docs = [(i, "\n".join(random.Random(i).choice("ab") for _ in range(8))) for i in range(20)] + [(i, "\n".join(map(str, range(40)))) for i in (30, 31)]
+    some = spark.createDataFrame(docs, DOCS)
+    numbered, room = _numbered(some)
+    tables = suffix_ranks(some, numbered)
+    assert room == 41 and len(tables) == 6  # 1, 2, 4, 8, 16, 32 lines
+    text = [t.split("\n") for _, t in docs]
+    for k, rows in enumerate(tables):
+        ids = {r.place: tuple(hashlib.md5(x.encode()).digest() for x in text[r.place // room][r.place % room :][: 1 << k]) for r in rows.collect()}
+        ordered = sorted(rows.collect(), key=lambda r: r["head"])
+        assert all((ids[a.place] < ids[b.place]) == (a["head"] < b["head"]) for a, b in zip(ordered, ordered[1:], strict=False))
+        assert all(len(x) == 1 << k for x in ids.values())
 
 
 @pytest.mark.parametrize("most", [4, 1024])
