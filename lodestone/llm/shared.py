@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset (tests, local mode)."""
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset and all run on one machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     return (named or f"file://{tempfile.gettempdir()}/lodestone-{getpass.getuser()}").rstrip("/")
 
 

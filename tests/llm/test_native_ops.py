@@ -137,6 +137,15 @@ def test_sharding_edges(spark):
     assert sorted((r["size"], r.text_crc32) for r in rows) == sorted([(1, 0), (2, zlib.crc32(b"a")), (2, zlib.crc32(b"a")), (1, 0)])
     check_shards(rows, 8)
     assert shard_by_bytes(spark.createDataFrame([], DOCS)).count() == 0
-    same = shard_by_bytes(spark.createDataFrame([(7, "x" * 999)] * 40, DOCS)).collect()
-    assert len(same) == 40
-    check_shards(same, 8)
+
+
+@pytest.mark.parametrize("row", [(7, "x" * 999), (None, "same text"), (None, None)])
+def test_rows_that_are_equal_are_cut(spark, row):
+    """Bytes stay near equal, and no task numbers more than its rows, if all rows are one and the same."""
+    other = [(i, "other " * 20) for i in range(200)]
+    for docs in ([row] * 2000, [row] * 1000 + other):
+        rows = shard_by_bytes(spark.createDataFrame(docs, DOCS), range_rows=100).collect()
+        assert len(rows) == len(docs)
+        sizes = [sum(r["size"] for r in rows if r.shard == s) for s in range(8)]
+        assert max(sizes) - min(sizes) <= 0.03 * sum(sizes) / 8 + 2 * max(r["size"] for r in rows)
+        check_shards(rows, 8)
