@@ -164,20 +164,40 @@ class ArchiveReader(DataSourceReader):
         ranges = [ByteRange(f"{self.uri}/{name}", at, at + self.range_bytes) for name, size in sizes for at in range(0, size, self.range_bytes)]
         return ranges or [ByteRange("", 0, 0)]
 
-    def _member(self, archive: str, held: list[zipfile.ZipFile], info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+    def _opened(self, archive: str) -> zipfile.ZipFile:
+        """The archive with its directory read, in ``tries`` tries; what fails then fails the task, which Spark tries again."""
+        for left in range(self.tries - 1, -1, -1):
+            try:
+                return zipfile.ZipFile(files.read(archive))
+            except (OSError, zipfile.BadZipFile):
+                if not left:
+                    raise
+        raise ValueError("no tries")
+
+    def _member(self, archive: str, held: list[zipfile.ZipFile | None], info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+        """The member's bytes, or why none of the tries read it. To open the archive anew is part of a try."""
         why = ""
         for _ in range(self.tries):
             try:
+                if held[0] is None:
+                    held[0] = zipfile.ZipFile(files.read(archive))
                 return held[0].read(info), None  # by info.header_offset; checks the member's crc
             except (OSError, ValueError, zipfile.BadZipFile, zlib.error) as e:
                 why = f"{type(e).__name__}: {e}"
-                held[0] = zipfile.ZipFile(files.read(archive))
+                self._close(held)
         return None, why
 
+    @staticmethod
+    def _close(held: list[zipfile.ZipFile | None]) -> None:
+        if held[0] is not None:
+            source, held[0] = held[0].fp, None
+            if source is not None:
+                source.close()
+
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
-        held, rows, size = [zipfile.ZipFile(files.read(partition.archive))], [], 0
+        held, rows, size = [self._opened(partition.archive)], [], 0
         for info in held[0].infolist():
             if partition.start <= info.header_offset < partition.stop:
                 media, error = self._member(partition.archive, held, info)
@@ -189,6 +209,7 @@ class ArchiveReader(DataSourceReader):
                     rows, size = [], 0
         if rows:
             yield self._batch(rows)
+        self._close(held)
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
