@@ -4,16 +4,22 @@ Base spans come from three patterns. Beyond them, runs in the base64 or hex alph
 are candidates, and each is decoded and parsed before it is reported:
 
 * ``jwt``: the header decodes to a JSON object that names an algorithm, the claims to a JSON object;
-* ``pem``: the block's body decodes to a private key as below or to OpenSSH's format;
-* ``key``: the bytes are a DER private key (PKCS#1, PKCS#8 or SEC 1) whose nested lengths fill it exactly;
-* ``ssh``: the bytes are length-prefixed fields that fill it exactly, the first an SSH key type;
-* ``encoded``: the bytes are text in which a base pattern finds a secret.
+* ``pem``: the block's body decodes to a private key as below or to OpenSSH's container;
+* ``key``: the bytes are a DER private key (PKCS#1, PKCS#8, plain or encrypted, or SEC 1) whose nested lengths fill it
+  exactly;
+* ``ssh``: the bytes are length-prefixed fields that fill it exactly, the first an SSH key type, or OpenSSH's container
+  of them;
+* ``encoded``: the bytes are UTF-8 text in which a base pattern finds a secret.
+
+A run that is nothing as a whole is tried from each ``/``, ``-``, ``_``, ``+`` or ``=`` in it to its end or to the next
+one that is far enough; lines of 40 to 80 characters of base64 that follow each other are tried as one run.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import json
 import re
@@ -31,7 +37,10 @@ LEAST = {"assign": 8, "access": 16, "hex": 32}
 #: Lower-case parts of which one is in every text that ASSIGN matches.
 ASSIGN_PARTS = ("passw", "secret", "token", "api")
 
-RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+#: No shorter run encodes a base secret: 14 bytes, ``token=`` and 8 characters.
+RUN = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/=])([A-Za-z0-9+/]{40,80})(?:\r?\n[A-Za-z0-9+/]{40,80})*\r?\n[A-Za-z0-9+/]{1,80}={0,2}(?![A-Za-z0-9+/=])")
+JOINTS, LEAST_RUN, PROBE = re.compile(r"[/_+=-]"), 19, 16
 ANY_HEX = re.compile(r"[0-9a-fA-F]+")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
@@ -84,9 +93,14 @@ def is_private_key(raw: bytes) -> bool:
         return False
     outer = der(raw)
     inner = der(outer[0][1]) if outer and len(outer) == 1 else None
-    if not inner or inner[0][0] != INTEGER:
+    if not inner:
         return False
     tags = [tag for tag, _ in inner]
+    if tags == [SEQUENCE, OCTETS]:  # encrypted: the algorithm and what it made
+        algorithm = der(inner[0][1])
+        return bool(algorithm) and [tag for tag, _ in algorithm] == [OID, SEQUENCE] and bool(der(algorithm[1][1])) and len(inner[1][1]) >= 16
+    if tags[0] != INTEGER:
+        return False
     if tags[:9] == [INTEGER] * 9 and len(tags) == 9:
         return True
     if tags[1:3] == [SEQUENCE, OCTETS]:
@@ -95,20 +109,34 @@ def is_private_key(raw: bytes) -> bool:
     return tags[1:2] == [OCTETS] and len(inner[1][1]) in (28, 32, 48, 66)
 
 
-def is_ssh_key(raw: bytes) -> bool:
-    """Length-prefixed fields that fill ``raw`` exactly, a key type first."""
-    if raw.startswith(OPENSSH):
-        return True
+def _fields(raw: bytes, most: int | None = None) -> tuple[list[bytes], bytes] | None:
+    """``most`` length-prefixed fields, or all, and what follows them; None where a length reaches beyond the end."""
     at, fields = 0, []
-    while at < len(raw):
-        if at + 4 > len(raw):
-            return False
+    while at < len(raw) and len(fields) != most:
         n = int.from_bytes(raw[at : at + 4])
         if at + 4 + n > len(raw):
-            return False
+            return None
         fields.append(raw[at + 4 : at + 4 + n])
         at += 4 + n
-    return len(fields) > 1 and fields[0] in SSH_TYPES
+    return fields, raw[at:]
+
+
+def is_ssh_key(raw: bytes) -> bool:
+    """Length-prefixed fields that fill ``raw`` exactly, a key type first; or OpenSSH's container."""
+    found = is_openssh(raw) or _fields(raw)
+    return found is True or bool(found) and len(found[0]) > 1 and found[0][0] in SSH_TYPES
+
+
+def is_openssh(raw: bytes) -> bool:
+    """Cipher, derivation and its options, a count, as many public keys and the private part, to the last byte."""
+    if not raw.startswith(OPENSSH):
+        return False
+    head = _fields(raw[len(OPENSSH) :], 3)
+    if not head or len(head[0]) < 3 or not head[0][0] or len(head[1]) < 4:
+        return False
+    n = int.from_bytes(head[1][:4])
+    rest = _fields(head[1][4:])
+    return bool(rest) and 0 < n == len(rest[0]) - 1 and all(is_ssh_key(public) for public in rest[0][:-1]) and len(rest[0][-1]) >= 8
 
 
 def is_signed_token(token: str) -> bool:
@@ -120,15 +148,61 @@ def is_signed_token(token: str) -> bool:
     return all(isinstance(p, dict) for p in parts) and isinstance(parts[0].get("alg"), str)
 
 
-def base_spans(text: str, run_spans: list[tuple[int, int]] | None = None) -> list[Span]:
-    """Spans of the base patterns. Hex runs of the least length lie in ``run_spans`` where those are known."""
+def confirmed(raw: bytes | None) -> str | None:
+    """What the bytes of a run are."""
+    if not raw:
+        return None
+    if is_private_key(raw):
+        return "key"
+    if is_ssh_key(raw):
+        return "ssh"
+    try:
+        return "encoded" if base_spans(raw.decode()) else None
+    except UnicodeDecodeError:
+        return None
+
+
+def _promising(run: str) -> bool:
+    """Whether the first bytes may be those of something that ``confirmed`` knows."""
+    if ANY_HEX.fullmatch(run[:PROBE]):
+        return True
+    raw = decoded(run[:PROBE])
+    if not raw or raw[0] == SEQUENCE or raw[:2] == b"\0\0":
+        return bool(raw)
+    try:
+        return bool(codecs.getincrementaldecoder("utf-8")().decode(raw))
+    except UnicodeDecodeError:
+        return False
+
+
+def run_spans(text: str, start: int, stop: int) -> list[Span]:
+    """The run itself if it is confirmed; else what is from one of its joints to its end or to another joint."""
+    if kind := confirmed(decoded(text[start:stop])):
+        return [(start, stop, kind)]
+    cuts = [m.start() for m in JOINTS.finditer(text, start, stop)]
+    found: list[Span] = []
+    reached = start
+    for a in [start, *(c + 1 for c in cuts)]:
+        if a < reached or stop - a < LEAST_RUN or not _promising(text[a:stop]):
+            continue
+        later = next((c for c in cuts if c >= a + LEAST_RUN), stop)
+        for b in dict.fromkeys((stop, later)):
+            if b - a >= LEAST_RUN and (a, b) != (start, stop) and (kind := confirmed(decoded(text[a:b]))):
+                found.append((a, b, kind))
+                reached = b
+                break
+    return found
+
+
+def base_spans(text: str, runs: list[tuple[int, int]] | None = None) -> list[Span]:
+    """Spans of the base patterns. Hex runs of the least length lie in ``runs`` where those are known."""
     found: list[Span] = []
     lower = text.lower()
     if any(part in lower for part in ASSIGN_PARTS):
         found += [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
     if "AKIA" in text:
         found += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= LEAST["access"]]
-    for a, b in [(0, len(text))] if run_spans is None else run_spans:
+    for a, b in [(0, len(text))] if runs is None else runs:
         found += [(*m.span(), "hex") for m in HEX.finditer(text, a, b) if len(m[0]) >= LEAST["hex"]]
     return found
 
@@ -142,18 +216,17 @@ def secret_spans(text: str) -> list[Span]:
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
             raw = decoded("".join(m[2].split()))
-            if raw and (is_private_key(raw) or raw.startswith(OPENSSH)):
+            if raw and (is_private_key(raw) or is_openssh(raw)):
                 found.append((*m.span(), "pem"))
+    whole = [s for s in found if s[2] == "pem"]
+    if runs and "\n" in text:
+        for m in WRAPPED.finditer(text):
+            if not any(x <= m.start() and m.end() <= y for x, y, _ in whole) and (kind := confirmed(decoded("".join(m[0].split())))):
+                whole.append((*m.span(), kind))
+                found.append(whole[-1])
     for a, b in runs:
-        raw = decoded(text[a:b])
-        if not raw:
-            continue
-        if is_private_key(raw):
-            found.append((a, b, "key"))
-        elif is_ssh_key(raw):
-            found.append((a, b, "ssh"))
-        elif raw.isascii() and base_spans(raw.decode()):
-            found.append((a, b, "encoded"))
+        if not any(x <= a and b <= y for x, y, _ in whole):
+            found += run_spans(text, a, b)
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
