@@ -67,6 +67,11 @@ def myers(pattern_masks: dict[str, int], m: int, text: str, anchored: bool = Fal
     return best, at
 
 
+def stands_alone(text: str, start: int, stop: int) -> bool:
+    """Whether neither end of a stretch lies inside a word."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum()) and not (stop < len(text) and text[stop - 1].isalnum() and text[stop].isalnum())
+
+
 class ItemMatcher:
     """Finds items in texts; built once in a worker for a block of items."""
 
@@ -103,6 +108,11 @@ class ItemMatcher:
         for k, places in starts.items():
             item, budget, best = self.items[k][1], self.budgets[k], None
             ordered = sorted(places)
+            if not budget:  # hits are the whole item; it counts where no word goes on beyond it
+                at = next((a for a in ordered if stands_alone(text, a, a + len(item))), None)
+                if at is not None:
+                    out.append((k, 0, at, at + len(item)))
+                continue
             at = 0
             while at < len(ordered):
                 upto = at  # places whose windows overlap are one window
@@ -123,9 +133,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_
     """``LEAKS``: a row for each row of ``docs(doc_id, text)`` and each item of ``benchmark(item_id, text)`` it holds.
 
     ``distance`` is the least number of edits, start and stop (exclusive) the first such stretch in the normalized
-    text. Items that are null or blank occur nowhere; items too short for an error are matched exactly. Null ids come
-    back as they are, repeated rows have rows of their own, other columns are ignored; an empty benchmark or table
-    gives no rows.
+    text. Items that are null or blank occur nowhere; items too short for an error are matched exactly and as whole
+    words. Null ids come back as they are, repeated rows have rows of their own, other columns are ignored; an empty
+    benchmark or table gives no rows.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
