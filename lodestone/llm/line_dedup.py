@@ -154,15 +154,17 @@ def repeated_runs(docs: DataFrame, min_lines: int = 1) -> DataFrame:
     return named.select("doc_id", (F.col("place") - F.col("start")).alias("line"), "n", "first_doc_id", "first_line")
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, counts: bool = True) -> DataFrame:
     """Delete later copies of repeated runs of ``min_lines`` lines or ``min_words`` words from ``docs(doc_id, text, ...)``.
 
     Every row comes back with its other columns, ``text`` without the deleted lines, and ``n_lines`` and
     ``n_removed``. A run that overlaps its own later copy keeps what lies before that copy. A null text stays null
     with 0 lines; an empty one is one empty line. Rows with the same doc_id and text count as one document and come
-    back alike; null ids come first in the order. Columns of the input named like the two counts are replaced.
+    back alike; null ids come first in the order. Columns of the input named like the two counts are replaced, or kept
+    where ``counts`` is off and nothing is added.
     """
-    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")}).drop("n_lines", "n_removed")
+    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    rows = rows.drop("n_lines", "n_removed") if counts else rows
     some = rows.select("doc_id", "text").where("text IS NOT NULL")
     numbered, _ = _numbered(some)
     intervals = deepest_intervals(suffix_ranks(some, numbered))
@@ -179,9 +181,10 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     counted = F.filter(runs_of, lambda r: (r["n"] >= min_lines) | (words(r) >= min_words))
     places = F.array_distinct(F.flatten(F.transform(counted, lambda r: F.sequence(r["fresh"], r["place"] + r["n"] - 1))))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i))
+    counted_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")
     return joined.withColumn(gone, places).select(
         *(F.when(F.coalesce(F.size(gone), F.lit(0)) == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in rows.columns),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
+        *(counted_lines if counts else ()),
     )
 
 
