@@ -1,12 +1,25 @@
-"""Keyword search over an inverted index: term frequency and BM25."""
+"""Keyword search: term frequency and BM25 for batches of questions, headings, titles.
+
+The asked terms, not the corpus, are what a task is sent, in passes of a stated number of questions. Terms are counted
+inside the row, and a task gives no more than the best documents of each question.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 PLACES = 6
+#: Questions of a pass, and documents that are scored at a time: a worker holds BLOCK * SLICE scores.
+BLOCK, SLICE = 4_096, 256
 
 
 def terms(text: Column) -> Column:
@@ -26,34 +39,116 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return questions.select("q_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
 
 
-def _asked(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Postings of the terms that were asked for. Their shuffle is by term; a term's rows split where they are many."""
-    return postings(docs).join(asked.select("term").distinct(), "term", "left_semi")
-
-
-def _top(scored: DataFrame, top: int) -> DataFrame:
+@dataclass
+class Asked:
+    """The questions of a pass: which terms they have, and for each term the questions that have it."""
+
+    q_ids: list[int]
+    terms: list[str]
+    starts: np.ndarray  # where a term's questions begin in ``asking``
+    asking: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, str]]) -> Asked:
+        q_ids, words = sorted({q for q, _ in rows}), sorted({t for _, t in rows})
+        q_at, t_at = {q: i for i, q in enumerate(q_ids)}, {t: i for i, t in enumerate(words)}
+        pairs = np.array(sorted((t_at[t], q_at[q]) for q, t in rows), dtype=np.int64).reshape(-1, 2)
+        return cls(q_ids, words, np.searchsorted(pairs[:, 0], np.arange(len(words) + 1)), pairs[:, 1])
+
+    def counts(self, split: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, number of the term and how often it occurs, for the asked terms of each row's words."""
+        number = pc.fill_null(pc.index_in(split.flatten(), value_set=pa.array(self.terms, pa.string())), -1).to_numpy()
+        row = np.repeat(np.arange(len(split)), pc.fill_null(pc.list_value_length(split), 0).to_numpy())
+        some = number >= 0
+        key, times = np.unique(row[some] * len(self.terms) + number[some], return_counts=True)
+        return key // max(1, len(self.terms)), key % max(1, len(self.terms)), times
+
+
+#: What a term that occurs so often in a text of so many words adds to its score.
+Part = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _split(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), terms(F.col("text")).alias("terms"))
+
+
+def _searcher(asked: Asked, top: int, part: Part):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(asked.q_ids)
+        best_ids, best = np.full((n, top), np.iinfo(np.int64).max), np.full((n, top), -np.inf)
+        fan = np.diff(asked.starts)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                ids, split = (batch.column(c).slice(at, SLICE) for c in (0, 1))
+                row, term, times = asked.counts(split)
+                lengths = pc.fill_null(pc.list_value_length(split), 0).to_numpy()
+                value = part(term, times, lengths[row])
+                each = fan[term]  # a term's part goes to every question that has it
+                nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                question = asked.asking[np.repeat(asked.starts[term], each) + nth]
+                sums = np.bincount(question * len(ids) + np.repeat(row, each), np.repeat(value, each), n * len(ids)).reshape(n, len(ids))
+                scores = np.where(sums > 0, np.round(sums, PLACES), -np.inf)
+                some = np.flatnonzero(scores.max(axis=1, initial=-np.inf) >= best[:, -1])
+                all_ids = np.concatenate([best_ids[some], np.broadcast_to(ids.to_numpy(), (len(some), len(ids)))], axis=1)
+                all_scores = np.concatenate([best[some], scores[some]], axis=1)
+                order = np.lexsort((all_ids, -all_scores), axis=1)[:, :top]
+                best_ids[some], best[some] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
+        question, place = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(asked.q_ids, np.int64)[question]), pa.array(best_ids[question, place]), pa.array(best[question, place])], ["q_id", "doc_id", "score"])
+
+    return search
+
+
+def _passes(questions: DataFrame) -> Iterator[Asked]:
+    """The questions, about ``BLOCK`` at a time; one pass at least."""
+    rows = query_terms(questions.select(F.col("q_id").cast("long").alias("q_id"), "text"))
+    passes = max(1, math.ceil(questions.count() / BLOCK))
+    for n in range(passes):
+        yield Asked.of([tuple(r) for r in (rows.where(F.pmod(F.xxhash64("q_id"), F.lit(passes)) == n) if passes > 1 else rows).collect()])
+
+
+def _ranked(docs: DataFrame, questions: DataFrame, top: int, part_for: Callable[[Asked], Part]) -> DataFrame:
+    """Terms are counted and scored where a document is read, and only the ``top`` of a question and task are shuffled."""
+    found = None
+    for asked in _passes(questions):
+        more = _split(docs).mapInArrow(_searcher(asked, top, part_for(asked)), "q_id long, doc_id long, score double")
+        found = more if found is None else found.unionByName(more)
     order = Window.partitionBy("q_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
 
 
 def keyword_tf(docs: DataFrame, questions: DataFrame, top: int = 10) -> DataFrame:
     """Documents by the sum of the asked terms' share of their words."""
-    asked = query_terms(questions)
-    hits = _asked(docs, asked).join(asked, "term")
-    return _top(hits.groupBy("q_id", "doc_id").agg(F.round(F.sum(F.col("tf") / F.col("doc_length")), PLACES).alias("score")), top)
+    return _ranked(docs, questions, top, lambda _: lambda term, times, length: times / length)
+
+
+def document_frequency(docs: DataFrame, asked: Asked) -> tuple[int, float, np.ndarray]:
+    """Documents, their mean length, and for each asked term how many have it: a row for each task and term is added up."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        having, texts, words = np.zeros(len(asked.terms), np.int64), 0, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                split = batch.column(0).slice(at, SLICE)
+                having += np.bincount(asked.counts(split)[1], minlength=len(having))
+                texts += len(split) - split.null_count
+                words += pc.sum(pc.list_value_length(split)).as_py() or 0
+        some = np.flatnonzero(having)
+        yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1, -2], pa.int64()), pa.array([*having[some].tolist(), texts, words], pa.int64())], ["term", "n"])
+
+    rows = {r[0]: r[1] for r in _split(docs).select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect()}
+    return docs.count(), rows.get(-2, 0) / max(1, rows.get(-1, 0)), np.array([rows.get(t, 0) for t in range(len(asked.terms))], np.float64)
 
 
 def keyword_bm25(docs: DataFrame, questions: DataFrame, top: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """Documents by BM25. Corpus counts come from one aggregate row and one row for each asked term."""
-    asked = query_terms(questions)
-    index = _asked(docs, asked)
-    corpus = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(terms(F.col("text")))).alias("mean_length"))
-    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = frequency.crossJoin(F.broadcast(corpus)).select("term", "mean_length", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = index.join(weighed, "term").join(asked, "term")
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("doc_length") / F.col("mean_length")))
-    return _top(hits.groupBy("q_id", "doc_id").agg(F.round(F.sum(part), PLACES).alias("score")), top)
+    """Documents by BM25: a pass over the texts for the corpus counts of the asked terms, and one for the scores."""
+
+    def part_for(asked: Asked) -> Part:
+        n, mean, having = document_frequency(docs, asked)
+        idf = np.log(1 + (n - having + 0.5) / (having + 0.5))
+        return lambda term, times, length: idf[term] * times * (k1 + 1) / (times + k1 * (1 - b + b * length / mean))
+
+    return _ranked(docs, questions, top, part_for)
 
 
 def browse(chunks: DataFrame, heading: str) -> DataFrame:

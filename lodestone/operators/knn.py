@@ -20,7 +20,8 @@ from lodestone.functions.vectors import inner
 OVER_FETCH, TOP_K = 50, 10
 #: Scores are compared to this many places, so that the order of a sum doesn't decide a tie.
 PLACES = 9
-BLOCK = 4_096
+#: Questions of a pass, and rows that are scored at a time: a worker holds BLOCK * SLICE scores.
+BLOCK, SLICE = 4_096, 1_024
 
 
 def knn(corpus: DataFrame, query: Sequence[float], k: int = OVER_FETCH, where: Column | None = None, id_column: str = "vec_id") -> DataFrame:
@@ -70,9 +71,7 @@ def _searcher(q_ids: list[int], vectors: list[list[float]], k: int):
         if not q_ids:
             return
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(q_ids)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ids = batch.column(0).to_numpy()
             rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
             scores = np.round(matrix @ rows.T, PLACES)

@@ -5,13 +5,25 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions.outline import by_levels, follows, outline, sections, serial
-from lodestone.functions.titles import title, title_of
+from lodestone.functions.outline import follows, sections, serial
+from lodestone.functions.titles import title
 from lodestone.operators.typography import is_scanned, markdown_pages, merge_read, pages_to_read
 
 
-def paths(*pages):
-    return [[h for h, _ in page] for page in outline(list(pages))]
+@pytest.fixture
+def outlined(spark):
+    """Of each page the (heading path, body) sections."""
+
+    def run(*pages):
+        rows = sections(spark.createDataFrame([("d", list(pages))], "document_id string, pages array<string>"), F.col("pages")).orderBy("page", "section").collect()
+        return [[(r.heading_path or "", r.body) for r in rows if r.page == n] for n in range(1, len(pages) + 1)]
+
+    return run
+
+
+@pytest.fixture
+def paths(outlined):
+    return lambda *pages: [[h for h, _ in page] for page in outlined(*pages)]
 
 
 @pytest.mark.parametrize(("number", "want"), [("10", (10, "")), ("10a", (10, "a")), ("04đ", (4, "đ")), ("IV", (4, "")), ("XIX", (19, "")), ("VIIa", (7, "a")), ("Q", None), ("", None)])
@@ -24,64 +36,63 @@ def test_follows(before, now, want):
     assert follows(before, now) is want
 
 
-def test_markdown_levels_alone():
+def test_markdown_levels_alone(paths):
     assert paths("# A\na\n## B\nb\n# C\nc") == [["A", "A > B", "C"]]
     assert paths("just text\nmore") == [[""]]
     assert paths("# A\na", "more of a\n## B\nb") == [["A"], ["A", "A > B"]]
 
 
-def test_a_skipped_level_nests_under_an_equal_one():
-    stack = []
-    assert [h for h, _ in by_levels("# A\nx\n### B\ny\n### C\nz".splitlines(), stack)] == ["A", "A > B", "A > B > C"]
+def test_a_skipped_level_nests_under_an_equal_one(paths):
+    assert paths("# A\nx\n### B\ny\n### C\nz")[0] == ["A", "A > B", "A > B > C"]
 
 
 CHAPTERS = "# Chapter I\n# Article 1. One\na\n# Article 2. Two\nb\n# Chapter II\n# Article 3. Three\nc\n# Article 4. Four\nd"
 
 
-def test_depth_comes_from_recurrence():
+def test_depth_comes_from_recurrence(paths):
     found = paths(CHAPTERS)[0]
     assert "Chapter I > Article 2. Two" in found
     assert "Chapter II > Article 3. Three" in found
     assert not any("Article 2. Two > Chapter" in p for p in found)
 
 
-def test_a_plain_line_has_to_be_next_and_written_alike():
+def test_a_plain_line_has_to_be_next_and_written_alike(paths):
     page = "# Article 1. One\na\n# Article 2. Two\nArticle 9 of the law says so\nArticle 3. Three\nc"
     found = paths(page)[0]
     assert "Article 3. Three" in found
     assert not any("9" in p for p in found)
 
 
-def test_captions_are_no_structure_but_appendices_are():
+def test_captions_are_no_structure_but_appendices_are(paths):
     assert not any("Table" in p for p in paths("# Intro\n**Table 1**\nx\n**Table 2**\ny\n# End\nz")[0])
     found = paths("# Article 1. A\na\n# Article 2. B\nb\n**Form 01.** First\nc\n**Form 02.** Second\nd")[0]
     assert "Form 01. First" in found
     assert "Form 02. Second" in found
 
 
-def test_glued_headings_split_and_masked_numbers_stay():
+def test_glued_headings_split_and_masked_numbers_stay(paths, outlined):
     assert any("Part 2" in p for p in paths("# Part 1\nx\n**Part 2****NAMES**\ny")[0])
-    assert outline(["# A\ncard 12 **** 34"])[0][0][1].endswith("12 **** 34")
+    assert outlined("# A\ncard 12 **** 34")[0][0][1].endswith("12 **** 34")
 
 
-def test_a_marker_takes_its_name_from_the_next_line():
+def test_a_marker_takes_its_name_from_the_next_line(paths):
     found = paths("# Chapter 1\nGENERAL RULES\na\n# Chapter 2\nTHE REST\nb")[0]
     assert found == ["Chapter 1. GENERAL RULES", "Chapter 2. THE REST"]
 
 
-def test_a_list_item_that_is_a_heading_ends_at_the_next_item():
+def test_a_list_item_that_is_a_heading_ends_at_the_next_item(paths):
     page = "# Step 1\n1. first\n## 2. Second\ninside\n3. third\nafter\n# Step 2\nz"
     found = paths(page)[0]
     assert "Step 1 > 2. Second" in found
     assert found[found.index("Step 1 > 2. Second") + 1] == "Step 1"
 
 
-def test_an_unnumbered_heading_no_deeper_closes_the_numbered_one():
+def test_an_unnumbered_heading_no_deeper_closes_the_numbered_one(paths):
     assert paths("## Step 1\na\n## Step 2\nb\n## Configuration\nc")[0][-1] == "Configuration"
     assert paths("## Step 1\na\n## Step 2\nb\n### Detail\nc")[0][-1] == "Step 2 > Detail"
 
 
-def test_a_long_heading_is_a_paragraph():
+def test_a_long_heading_is_a_paragraph(paths):
     assert len(paths("# Step 1\na\n# Step 2\n# " + "word " * 100 + "\nb")[0]) == 2
 
 
@@ -92,14 +103,22 @@ def test_sections_of_a_table(spark):
 
 
 def test_titles(spark):
-    assert title_of("A real title", ["text"]) == "A real title"
-    assert title_of("(anonymous)", ["## Lower\ntext"]) == "Lower"
-    assert title_of("scan001.pdf", ["x\n# Big\ny"]) == "Big"
-    assert title_of(None, ["Số: 12/2024/NĐ-CP\n\nNGHỊ ĐỊNH\n\nQuy định chi tiết\n\nCăn cứ Luật"]) == "Nghị định 12/2024/NĐ-CP quy định chi tiết"
-    assert title_of(None, ["LUẬT\n\nĐƯỜNG BỘ\n\nLuật Đường bộ số 35"]) == "Luật Đường bộ"
-    assert title_of(None, []) is None
-    rows = spark.createDataFrame([(None, [], "f.pdf"), (None, None, "g.pdf")], "m string, p array<string>, f string")
-    assert [r[0] for r in rows.select(title("m", "p", "f")).collect()] == ["f.pdf", "g.pdf"]
+    cases = [
+        ("A real title", ["text"], "A real title"),
+        ("(anonymous)", ["## Lower\ntext"], "Lower"),
+        ("scan001.pdf", ["x\n# Big\ny"], "Big"),
+        (" 2024-01-02 export", ["x", "# On page two"], "On page two"),
+        (None, ["Số: 12/2024/NĐ-CP\n\nNGHỊ ĐỊNH\n\nQuy định chi tiết\n\nCăn cứ Luật"], "Nghị định 12/2024/NĐ-CP quy định chi tiết"),
+        (None, ["LUẬT\n\nĐƯỜNG BỘ\n\nLuật Đường bộ số 35"], "Luật Đường bộ"),
+        (None, ["<table>x</table>\n**LUẬT**\nQUỐC TỊCH VIỆT NAM\nCăn cứ Hiến pháp"], "Luật Quốc tịch Việt Nam"),
+        (None, ["**CỘNG HÒA XÃ HỘI CHỦ NGHĨA VIỆT NAM**\nHà Nội, ngày 1 tháng 2 năm 2024\nQUYẾT ĐỊNH\nVỀ VIỆC TĂNG LƯƠNG\nCHO CÁN BỘ"], "Quyết định về việc tăng lương cho cán bộ"),
+        (None, ["THÔNG TƯ\n\n", "y"], "THÔNG TƯ"),
+        (None, ["Số: 1\n  ### Not a preamble " + "z" * 300], ("Not a preamble " + "z" * 300)[:200]),
+        ("", [], "f.pdf"),
+        (None, None, "f.pdf"),
+    ]
+    rows = spark.createDataFrame([(i, m, p, "f.pdf") for i, (m, p, _) in enumerate(cases)], "i int, m string, p array<string>, f string")
+    assert [r[0] for r in rows.orderBy("i").select(title("m", "p", "f")).collect()] == [want for *_, want in cases]
 
 
 def test_typography(spark):

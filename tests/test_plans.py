@@ -11,7 +11,7 @@ from lodestone.plans import read_path as R
 from lodestone.plans import write_path as W
 from lodestone.plans.providers import embed, enrich, enrich_batch
 from lodestone.sources import objects as O
-from lodestone.sources.pdf import PdfError, read_pdf_spans
+from lodestone.sources.pdf import PdfError, read_pdf_spans, styled_lines
 from lodestone.streaming.arrivals import first_arrivals, progress_sessions, stage_states
 
 DIM = 4
@@ -130,10 +130,15 @@ def test_pdf_errors_are_rows(spark):
     def reader(content):
         if content == b"bad":
             raise PdfError("PDF_MALFORMED")
-        yield 1, 0, 0, "text", 10.0, False
+        yield 1, 0, 0, "Cafe\u0301 ", 10.04, True
+        yield 1, 0, 0, " ", 30.0, False
+        yield 1, 0, 0, "bar", 12.0, True
+        yield 1, 1, 0, "  ", 10.0, False
+        yield 1, 2, 1, "thin", 9.0, False
 
     rows = spark.createDataFrame([("a", b"bad"), ("b", b"ok")], "path string, content binary")
-    assert {(r.path, r.text, r.error_code) for r in read_pdf_spans(rows, reader).collect()} == {("a", None, "PDF_MALFORMED"), ("b", "text", None)}
+    lines = styled_lines(read_pdf_spans(rows, reader)).orderBy("path", "line").collect()
+    assert [tuple(r) for r in lines] == [("a", None, None, None, None, None, None, "PDF_MALFORMED"), ("b", 1, 0, 0, "Café  bar", 12.0, True, None), ("b", 1, 1, 1, "thin", 9.0, False, None)]
 
 
 def run_stream(spark, frame, name, mode="append"):
