@@ -1,28 +1,50 @@
 """The engine's entry points over tables in a folder: register, list, delete, re-ingest, ask, evaluate.
 
-A table is a folder of Parquet versions; a write adds a version and only then moves the pointer, so a reader never
-sees half of one and a job that dies leaves the old version in place. One writer at a time is assumed.
+A table is a folder of buckets by document hash, each a row of numbered Parquet versions. A version counts once its
+commit file is there, which is made last and never overwritten; readers take the newest that counts. So a job that dies
+at any point leaves the version before in place, and a change to some documents writes their buckets alone. One writer
+at a time is assumed.
 """
 
 from __future__ import annotations
 
-import time
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import evaluation as E
 from lodestone.operators import ingest as I
 from lodestone.operators.state import may_reopen
 from lodestone.plans.read_path import Stages, Trace, ask
+from lodestone.sources.objects import create_file, list_names
+
+#: Folders of a table; a write touches those of its documents.
+BUCKETS = 64
 
 DOCUMENTS = "document_id string, sha256 string, filename string, object_key string, size_bytes long, status string, stage string, title string, language string, page_count int, attempts int, failed_stage string, last_error string, created_at timestamp, completed_at timestamp"
 TRACES = "trace_id string, question string, iterations int, total_ms long, citation_count int, nodes string, created_at timestamp"
 
 
+#: What a run changes of a document, and what taking it up again clears.
+RUN_STATE = ("status", "stage", "attempts", "failed_stage", "last_error")
+
+
+def _mask(buckets: Iterable[int]) -> int:
+    return sum(1 << b for b in set(buckets))
+
+
+def _bits(mask: str) -> set[int]:
+    return {b for b in range(BUCKETS) if int(mask, 16) >> b & 1}
+
+
+def bucket_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass
 class Engine:
     spark: SparkSession
@@ -30,21 +52,45 @@ class Engine:
 
     # -- tables
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
+    def _newest(self, name: str) -> tuple[int, dict[int, str]]:
+        """The number of the last commit, -1 without one, and for each bucket that was ever written its folder; empty where it has no rows."""
+        held: dict[int, str] = {}
+        last = -1
+        for file in sorted(list_names(self.spark, f"{self.root}/{name}/_commits")):
+            number, folder, written, filled = file.split("-")
+            last = int(number)
+            for bucket in _bits(written):
+                held[bucket] = f"{self.root}/{name}/{folder}/bucket={bucket}" if bucket in _bits(filled) else ""
+        return last, held
+
+    def _read(self, schema: str, paths: Iterable[str]) -> DataFrame:
+        some = sorted(filter(None, paths))
+        return self.spark.read.schema(schema).parquet(*some) if some else self.spark.createDataFrame([], schema)
 
     def table(self, name: str, schema: str) -> DataFrame:
-        from lodestone.sources.objects import exists
-
-        if not exists(self.spark, self._pointer(name)):
-            return self.spark.createDataFrame([], schema)
-        version = self.spark.read.text(self._pointer(name)).first()[0]
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{version}")
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
+        """The table as last committed; without rows where it was never written."""
+        last, held = self._newest(name)
+        if last < 0 and list_names(self.spark, f"{self.root}/{name}"):
+            raise ValueError(f"table {name} has versions of which none is committed")
+        return self._read(schema, held.values())
+
+    def replace(self, name: str, rows: DataFrame, key: str = "document_id", buckets: Iterable[int] = range(BUCKETS)) -> None:
+        """Make ``rows`` the table, or those of its buckets that are named; ``rows`` has no row of others then."""
+        last, _ = self._newest(name)
+        if last < 0:
+            last = 0
+            create_file(self.spark, f"{self.root}/{name}/_commits/{last:012d}-none-0-0")  # from now on the table is there, and empty
+        folder = uuid.uuid4().hex
+        rows.withColumn("bucket", bucket_of(F.col(key))).write.partitionBy("bucket").parquet(f"{self.root}/{name}/{folder}")
+        filled = (int(f.partition("=")[2]) for f in list_names(self.spark, f"{self.root}/{name}/{folder}") if f.startswith("bucket="))
+        create_file(self.spark, f"{self.root}/{name}/_commits/{last + 1:012d}-{folder}-{_mask(buckets):x}-{_mask(filled):x}")
+
+    def change(self, name: str, schema: str, keys: DataFrame, by: Callable[[DataFrame], DataFrame], key: str = "document_id") -> None:
+        """Replace the buckets that hold ``keys(key)`` by what ``by`` makes of their rows. Bucket numbers alone come to the driver."""
+        hit = [r[0] for r in keys.select(bucket_of(F.col(key)).alias("b")).distinct().collect()]
+        if hit:
+            _, held = self._newest(name)
+            self.replace(name, by(self._read(schema, (held.get(b, "") for b in hit))), key, hit)
 
     @property
     def documents(self) -> DataFrame:
@@ -59,8 +105,12 @@ class Engine:
         """(accepted, rejected) of ``payloads(sha256, filename, object_key, size_bytes)``; a file is accepted once."""
         judged = I.register_guards(payloads, objects)
         good = judged.where("error_code IS NULL").drop("error_code")
-        fresh = I.insert_if_new(self.documents, good, "sha256", ["filename"])
-        known = good.join(self.documents, "sha256", "left_semi").withColumn("error_code", F.lit("DOCUMENT_ALREADY_INGESTED"))
+        place = F.row_number().over(Window.partitionBy("sha256").orderBy("filename", "size_bytes"))
+        numbered = good.withColumn("_place", place)
+        old = self.documents.select("sha256")
+        fresh = numbered.where("_place = 1").drop("_place").join(old, "sha256", "left_anti")
+        # A file that is known, or that comes a second time here, whatever it is called.
+        known = numbered.where("_place > 1").unionByName(numbered.where("_place = 1").join(old, "sha256", "left_semi")).drop("_place").withColumn("error_code", F.lit("DOCUMENT_ALREADY_INGESTED"))
         row = {"document_id": F.sha2(F.concat_ws("|", F.lit("document"), "sha256"), 256), "status": F.lit("QUEUED"), "attempts": F.lit(0), "created_at": F.current_timestamp()}
         wanted = [c.split()[0] for c in DOCUMENTS.split(", ")]
         types = dict(c.split() for c in DOCUMENTS.split(", "))
@@ -70,7 +120,7 @@ class Engine:
         accepted = self.spark.read.schema(DOCUMENTS).parquet(path)
         rejected = judged.where("error_code IS NOT NULL").unionByName(known)
         rejected.write.parquet(f"{path}-rejected")
-        self.replace("documents", self.documents.unionByName(accepted))
+        self.change("documents", DOCUMENTS, accepted, lambda held: held.unionByName(accepted))
         return accepted, self.spark.read.schema(rejected.schema).parquet(f"{path}-rejected")
 
     def list_documents(self, limit: int = 20, offset: int = 0, status: str | None = None) -> DataFrame:
@@ -86,21 +136,38 @@ class Engine:
         if gone.isEmpty():
             return False
         for name, schema in {**(tables or {}), "documents": DOCUMENTS}.items():
-            (left,) = I.delete_documents([self.table(name, schema)], gone)
-            self.replace(name, left)
+            self.change(name, schema, gone, lambda held: I.delete_documents([held], gone)[0])
         return True
 
-    def reingest(self, ids: Sequence[str] | None = None, force: bool = False) -> DataFrame:
-        """Queue finished documents again; ``(document_id, relaunched)`` for those asked for."""
+    def reingest(self, ids: DataFrame | Sequence[str] | None = None, force: bool = False) -> DataFrame:
+        """Queue finished documents again: ``(document_id, relaunched, before)`` for those asked for, all finished ones by default.
+
+        ``ids`` may be a table with document_id. ``relaunched`` is false for a document that runs and null for one
+        that is not there; ``before`` is what was overwritten, for ``restore``.
+        """
         documents = self.documents
-        asked = documents.where("completed_at IS NOT NULL") if ids is None else documents.where(F.col("document_id").isin(list(ids)))
-        report = asked.select("document_id", may_reopen(F.col("status"), force).alias("relaunched")).collect()  # the ids asked for
-        again = [r.document_id for r in report if r.relaunched]
-        if again:
-            chosen: Column = F.col("document_id").isin(again)
-            reset = {"status": F.lit("QUEUED"), "stage": F.lit(None).cast("string"), "attempts": F.lit(0), "failed_stage": F.lit(None).cast("string"), "last_error": F.lit(None).cast("string")}
-            self.replace("documents", documents.withColumns({c: F.when(chosen, v).otherwise(F.col(c)) for c, v in reset.items()}))
-        return self.spark.createDataFrame([tuple(r) for r in report], "document_id string, relaunched boolean")
+        if ids is None:
+            asked = documents.where("completed_at IS NOT NULL").select("document_id")
+        else:
+            asked = (ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "document_id string")).select("document_id").distinct()
+        held = documents.select("document_id", may_reopen(F.col("status"), force).alias("relaunched"), F.struct(*RUN_STATE).alias("before"))
+        path = f"{self.root}/reingested/{uuid.uuid4().hex}"
+        asked.join(held, "document_id", "left").write.parquet(path)
+        report = self.spark.read.parquet(path)
+        types = dict(c.split() for c in DOCUMENTS.split(", "))
+        self._run_state(report.where("relaunched").select("document_id", F.struct(*(F.lit(v).cast(types[c]).alias(c) for c, v in zip(RUN_STATE, ("QUEUED", None, 0, None, None), strict=True))).alias("state")))
+        return report
+
+    def restore(self, report: DataFrame) -> None:
+        """Undo a re-ingest whose run never started."""
+        self._run_state(report.where("relaunched").select("document_id", F.col("before").alias("state")))
+
+    def _run_state(self, states: DataFrame) -> None:
+        def put(rows: DataFrame) -> DataFrame:
+            joined = rows.join(states, "document_id", "left")
+            return joined.withColumns({c: F.when(F.col("state").isNotNull(), F.col(f"state.{c}")).otherwise(F.col(c)) for c in RUN_STATE}).select(*rows.columns)
+
+        self.change("documents", DOCUMENTS, states, put)
 
     # -- questions
 
@@ -111,21 +178,31 @@ class Engine:
             return ask(questions, stages, max_iterations, trace)
         finally:
             try:
-                self._keep(trace)
+                self._keep(questions, trace)
             except Exception as e:  # the answer goes out whatever becomes of its trace
                 trace.nodes.append({"node": "persist_trace", "ms": 0, "error": str(e)})
 
-    def _keep(self, trace: Trace) -> None:
-        import json
-        from datetime import UTC, datetime
-
-        row = (uuid.uuid4().hex, None, trace.iterations, trace.total_ms, None, json.dumps(trace.nodes), datetime.fromtimestamp(time.time(), UTC))
-        self.spark.createDataFrame([row], TRACES).write.mode("append").parquet(f"{self.root}/query_traces")
+    def _keep(self, questions: DataFrame, trace: Trace) -> None:
+        """A row for each question: what was asked and how many citations its answer has; nodes and time are the batch's."""
+        text = F.col("text") if "text" in questions.columns else F.lit(None)
+        asked = questions.select(F.col("q_id" if "q_id" in questions.columns else questions.columns[0]).cast("string").alias("q_id"), text.cast("string").alias("question"))
+        counted = trace.citations if trace.citations is not None else self.spark.createDataFrame([], "q_id string, citation_count int")
+        rows = asked.join(counted, "q_id", "left").select(
+            F.uuid().alias("trace_id"), "question", F.lit(trace.iterations).alias("iterations"), F.lit(trace.total_ms).cast("long").alias("total_ms"),
+            "citation_count", F.lit(json.dumps(trace.nodes)).alias("nodes"), F.current_timestamp().alias("created_at"),
+        )
+        rows.write.mode("append").parquet(f"{self.root}/query_traces")
 
     @property
     def traces(self) -> DataFrame:
         return self.spark.read.schema(TRACES).parquet(f"{self.root}/query_traces")
 
-    def evaluate(self, hits: DataFrame, k: int = 10) -> DataFrame:
-        """Recall and mean reciprocal rank by kind of ``hits(q_id, kind, rank, match)``, measured as they leave fusion."""
+    def evaluate(self, hits: DataFrame, k: int = 10, gold: DataFrame | None = None) -> DataFrame:
+        """Recall and mean reciprocal rank by kind, measured as hits leave fusion.
+
+        ``hits(q_id, kind, rank, match)``; or, with ``gold(q_id, kind, gold_sha256, gold_page)``,
+        ``hits(q_id, rank, document_id, page_number)``, where a hit matches that has its question's file and page.
+        """
+        if gold is not None:
+            hits = E.matched(hits, gold, self.documents.select("document_id", "sha256"))
         return E.summary(E.per_question(hits, k, ["q_id", "kind"]))

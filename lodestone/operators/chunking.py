@@ -93,6 +93,11 @@ def chunk_document(docs: DataFrame, parent: tuple[int, int] = PARENT, child: tup
     return rows.select("document_id", "chunk.parent_index", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("chunk.piece.token_count").cast("long").alias("token_count"), "chunk.piece.content")
 
 
+def estimated_tokens(token_count: Column, default: int = 150) -> Column:
+    """The sum of chunks' token counts, those of unknown size at ``default`` each."""
+    return F.coalesce(F.sum(F.coalesce(token_count, F.lit(default))), F.lit(0)).cast("long")
+
+
 def batches(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
     """``batch`` numbers of ``size`` rows within each key, in order: what a provider is called with at once."""
     from pyspark.sql import Window

@@ -16,6 +16,21 @@ def per_question(hits: DataFrame, k: int, keys: Sequence[str] = ("q_id",), match
     return hits.groupBy(*keys).agg(F.max(F.when((F.col("rank") <= k) & F.col(match), 1.0).otherwise(0.0)).alias("recall"), F.coalesce(1.0 / found, F.lit(0.0)).alias("rr"))
 
 
+def matched(hits: DataFrame, gold: DataFrame, documents: DataFrame) -> DataFrame:
+    """``hits(q_id, rank, document_id, page_number)`` with kind and match: whether a hit has its question's file and page.
+
+    Files are known by their hash. A gold file that is not in ``documents(document_id, sha256)`` can't be matched.
+    """
+    named = hits.join(documents, "document_id", "left").join(gold.select("q_id", "kind", "gold_sha256", "gold_page"), "q_id")
+    right = F.coalesce((F.col("sha256") == F.col("gold_sha256")) & (F.col("page_number") == F.col("gold_page")), F.lit(False))
+    return named.select("q_id", "kind", "rank", right.alias("match"))
+
+
+def missing_files(gold: DataFrame, documents: DataFrame) -> DataFrame:
+    """Questions whose gold file was never ingested: no retrieval could hit them."""
+    return gold.join(documents.select(F.col("sha256").alias("gold_sha256")), "gold_sha256", "left_anti")
+
+
 def summary(scores: DataFrame, kind: str = "kind") -> DataFrame:
     """``n``, mean recall and mean reciprocal rank of each kind and, under a null kind, of all: one pass."""
     sets = scores.groupingSets([[F.col(kind)], []], F.col(kind))

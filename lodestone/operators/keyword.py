@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import spread
+
 K1, B = 1.2, 0.75
 PLACES = 6
 #: Questions of a pass, and documents that are scored at a time: a worker holds BLOCK * SLICE scores.
@@ -69,7 +71,7 @@ Part = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def _split(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), terms(F.col("text")).alias("terms"))
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", terms(F.col("text")).alias("terms"))
 
 
 def _searcher(asked: Asked, top: int, part: Part):

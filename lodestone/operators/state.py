@@ -99,6 +99,25 @@ def stalled_at(at: Column, now: Column, after: int = STALLED_AFTER_S) -> Column:
     return (now - at) > after
 
 
+def report_progress(progress: DataFrame, reports: DataFrame) -> DataFrame:
+    """``progress(document_id, stage, done, total, at)`` after ``reports``: the last of each document counts, done never above total."""
+    last = reports.groupBy("document_id").agg(F.max_by(F.struct("stage", "done", "total", "at"), F.struct("at", "done")).alias("r")).select("document_id", "r.*")
+    held = progress.join(last.select("document_id"), "document_id", "left_anti").unionByName(last)
+    return held.withColumn("done", F.least("done", "total"))
+
+
+def clear_progress(progress: DataFrame, ended: DataFrame) -> DataFrame:
+    """Progress without the documents in ``ended``."""
+    return progress.join(ended.select("document_id"), "document_id", "left_anti")
+
+
+def stage_counts(chunks: DataFrame, done: DataFrame, stage: str) -> DataFrame:
+    """``(document_id, stage, done, total)`` of a stage that works chunk by chunk: what is finished and what there is."""
+    finished = done.groupBy("document_id").agg(F.count("*").alias("done"))
+    total = chunks.groupBy("document_id").agg(F.count("*").alias("total")).join(finished, "document_id", "left")
+    return total.select("document_id", F.lit(stage).alias("stage"), F.coalesce("done", F.lit(0)).cast("long").alias("done"), "total")
+
+
 def outages(events: DataFrame, limit: int = OUTAGE_LIMIT_S) -> DataFrame:
     """Outages of each ``events(key, seq, at_s, ok)``: the first failure starts one, a success ends it.
 

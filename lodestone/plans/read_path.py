@@ -2,7 +2,8 @@
 
 Rewrite runs once; plan to gate may run again with a refined question while the gate asks for more. Only rewrite,
 plan, fuse, gate and reflect have an empty version to fall back to: the others have nothing to return that would not
-be an answer made of nothing.
+be an answer made of nothing. What a stage returns is computed before the next one runs, so that a stage that fails on
+its rows falls back like one that fails to plan, and its time is its own.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import strip
+from lodestone.functions.text import cited_ordinals, strip
+from lodestone.functions.vectors import normalized
 from lodestone.operators.candidates import BUDGET, build_context, collapse_to_parents, expand_parents, fuse
 from lodestone.operators.knn import OVER_FETCH, TOP_K, knn_batch
 
@@ -30,6 +32,7 @@ class Verdict:
 class Trace:
     nodes: list[dict] = field(default_factory=list)
     iterations: int = 0
+    citations: DataFrame | None = None  # (q_id, citation_count) of the answers
 
     def record(self, node: str, started: float, **detail: Any) -> None:
         self.nodes.append({"node": node, "ms": int((time.perf_counter() - started) * 1000), **detail})
@@ -56,6 +59,16 @@ def enough(*_: Any) -> Verdict:
 EMPTY = {"rewrite": keep, "plan": keep, "fuse": cut, "gate": enough, "reflect": keep}
 
 
+def settled(out: Any) -> Any:
+    """``out`` with the rows of its table computed and held, on disk where they don't fit; a lost executor's are made again."""
+    if isinstance(out, DataFrame):
+        out = out.persist()
+        out.write.format("noop").mode("overwrite").save()
+    elif isinstance(out, Verdict) and out.refined is not None:
+        settled(out.refined)
+    return out
+
+
 @dataclass(frozen=True)
 class Stages:
     retrieve: Callable[[DataFrame], DataFrame]
@@ -71,12 +84,12 @@ class Stages:
     def run(self, name: str, trace: Trace, *args: Any) -> Any:
         started = time.perf_counter()
         try:
-            out = getattr(self, name)(*args)
+            out = settled(getattr(self, name)(*args))
         except Exception as e:
             if name not in EMPTY:
                 trace.record(name, started, error=f"{type(e).__name__}: {e}")
                 raise
-            out = EMPTY[name](*args)
+            out = settled(EMPTY[name](*args))
             trace.record(name, started, fallback=str(e))
         else:
             trace.record(name, started)
@@ -97,24 +110,44 @@ def ask(questions: DataFrame, stages: Stages, max_iterations: int = 1, trace: Tr
         if verdict.sufficient:
             break
         questions = verdict.refined if verdict.refined is not None else questions
-    answers = stages.run("generate", trace, questions, context)
-    return stages.run("reflect", trace, answers, context), context, trace
+    answers = stages.run("reflect", trace, stages.run("generate", trace, questions, context), context)
+    trace.citations = citation_counts(answers, context)
+    return answers, context, trace
+
+
+def citation_counts(answers: DataFrame, context: DataFrame) -> DataFrame | None:
+    """``(q_id, citation_count)``: the passages an answer cites, of those it was given."""
+    if not {"q_id", "answer"} <= set(answers.columns) or not {"q_id", "ordinal"} <= set(context.columns):
+        return None
+    cited = answers.select("q_id", F.explode(cited_ordinals(F.col("answer"))).alias("ordinal"))
+    there = cited.join(context.select("q_id", F.col("ordinal").cast("long").alias("ordinal")), ["q_id", "ordinal"], "left_semi").groupBy("q_id").agg(F.count("*").alias("n"))
+    return answers.join(there, "q_id", "left").select(F.col("q_id").cast("string").alias("q_id"), F.coalesce("n", F.lit(0)).cast("int").alias("citation_count"))
 
 
 #: A retriever gives (q_id, child_id, rank, score, source) for questions.
 Retriever = Callable[[DataFrame], DataFrame]
 
 
-def vector_retriever(children: DataFrame, over_fetch: int = OVER_FETCH, where: Column | None = None) -> Retriever:
-    """Nearest children of ``children(child_id, embedding)``; the filter and the limit come before any join."""
+def vector_retriever(children: DataFrame, over_fetch: int = OVER_FETCH, where: Column | None = None, embed: Callable[[DataFrame], DataFrame] | None = None) -> Retriever:
+    """Nearest children of ``children(child_id, embedding)``; the filter and the limit come before any join.
+
+    ``embed`` makes vectors of questions that have none (``providers.embed_questions``). Vectors of questions are
+    brought to length one here, as those of children are when they are stored.
+    """
     corpus = (children if where is None else children.where(where)).select(F.col("child_id").alias("vec_id"), "embedding")
 
     def search(questions: DataFrame) -> DataFrame:
-        return knn_batch(questions, corpus, over_fetch).withColumnRenamed("vec_id", "child_id").withColumn("source", F.lit("vector"))
+        asked = questions if embed is None or "embedding" in questions.columns else embed(questions)
+        return knn_batch(asked.withColumn("embedding", normalized(F.col("embedding"))), corpus, over_fetch).withColumnRenamed("vec_id", "child_id").withColumn("source", F.lit("vector"))
 
     return search
 
 
+def in_language(language: str) -> Column:
+    """A filter for ``vector_retriever``: children of one language. Off unless a caller asks for it."""
+    return F.col("language") == language
+
+
 def retrieve_all(retrievers: list[Retriever]) -> Retriever:
     """All candidates of all retrievers, each with its source."""
 

@@ -6,12 +6,17 @@ so a changed input makes everything after it stale, and nothing has to be delete
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.language import detect_language
 from lodestone.functions.outline import sections
 from lodestone.functions.text import contextualize, sanitize, word_count
+from lodestone.functions.vectors import well_formed
 from lodestone.operators.chunking import CHILD, DROP_BELOW, PARENT, kept, pack, parent_chunks
 from lodestone.operators.ingest import fingerprint, positional_join, replace_documents, stale
 
@@ -48,15 +53,59 @@ def too_many_chunks(children: DataFrame, most: int = MAX_CHUNKS) -> DataFrame:
     return children.groupBy("document_id").agg(F.count("*").alias("chunks")).where(F.col("chunks") > most)
 
 
+def refused(documents: DataFrame, children: DataFrame, most: int = MAX_CHUNKS) -> DataFrame:
+    """``(document_id, error_code)`` of documents that go no further: without text, or of more than ``most`` chunks."""
+    over = too_many_chunks(children, most).select("document_id", F.lit("TOO_MANY_CHUNKS").alias("error_code"))
+    return without_text(documents.select("document_id"), children).unionByName(over)
+
+
+def accepted(rows: DataFrame, refusals: DataFrame) -> DataFrame:
+    return rows.join(refusals.select("document_id"), "document_id", "left_anti")
+
+
+@dataclass(frozen=True)
+class Stage:
+    """A step of the chain: ``run`` makes rows with document_id of the documents it is given and what went before."""
+
+    name: str
+    run: Callable[[DataFrame, dict[str, DataFrame]], DataFrame]
+
+
+def run_chain(documents: DataFrame, stages: Sequence[Stage], outputs: dict[str, DataFrame], keep: Callable[[str, DataFrame], DataFrame], slice_documents: int | None = None) -> DataFrame:
+    """Run every stage for the documents whose output of it is missing or stale, and return those left for the next slice.
+
+    ``documents(document_id, content_fp)``; each stage's rows in ``outputs`` carry ``input_fp``, the fingerprint of
+    what they were made from, which is that of the document and of the stage before. ``keep`` stores a stage's rows and
+    returns them as stored. A slice takes ``slice_documents`` in the order of id; the rest waits without an attempt.
+    """
+    behind = reduce(DataFrame.unionByName, [stale(documents.select("document_id", _made_of(s.name).alias("input_fp")), outputs[s.name].select("document_id", "input_fp").distinct()) for s in stages]).distinct()
+    now = behind if slice_documents is None else behind.orderBy("document_id").limit(slice_documents)
+    todo = documents.join(now, "document_id", "left_semi")
+    for stage in stages:
+        due = stale(todo.select("document_id", _made_of(stage.name).alias("input_fp")), outputs[stage.name].select("document_id", "input_fp").distinct())
+        made = stage.run(todo.join(due, "document_id", "left_semi"), outputs)
+        marked = made.join(todo.select("document_id", _made_of(stage.name).alias("input_fp")), "document_id")
+        outputs[stage.name] = keep(stage.name, replace_documents(outputs[stage.name], marked))
+    return behind.join(now, "document_id", "left_anti")
+
+
+def _made_of(stage: str):
+    return F.sha2(F.concat_ws("|", F.lit(stage), F.col("content_fp")), 256)
+
+
 def contextualized(children: DataFrame, enriched: DataFrame, documents: DataFrame) -> DataFrame:
     """Children with context, category and the text that is embedded and stored; every child must be enriched."""
     joined = positional_join(children, enriched, ["document_id", "chunk_index"]).join(documents.select("document_id", "title"), "document_id")
     return joined.withColumn("contextualized", contextualize(F.col("title"), F.col("heading_path"), F.col("context"), F.col("content")))
 
 
-def child_rows(contextual: DataFrame, vectors: DataFrame, parents: DataFrame) -> DataFrame:
-    """Rows as they are stored: ids are made from the natural key, so a rerun makes the same ones."""
-    with_vectors = positional_join(contextual, vectors, ["document_id", "chunk_index"])
+def child_rows(contextual: DataFrame, vectors: DataFrame, parents: DataFrame, dim: int | None = None) -> DataFrame:
+    """Rows as they are stored: ids are made from the natural key, so a rerun makes the same ones.
+
+    With ``dim``, vectors that are not well formed fail the write.
+    """
+    checked = vectors if dim is None else vectors.where(F.assert_true(well_formed(F.col("embedding"), dim), F.lit("a vector is of another width, not finite or not of length one")).isNull())
+    with_vectors = positional_join(contextual, checked, ["document_id", "chunk_index"])
     owners = parents.select("document_id", F.col("chunk_index").alias("parent_index"), row_id("parent").alias("parent_id"))
     return with_vectors.join(owners, ["document_id", "parent_index"]).withColumn("child_id", row_id("child"))
 
@@ -75,4 +124,4 @@ def to_run(documents: DataFrame, outputs: DataFrame, *content: str) -> DataFrame
     return stale(documents.select("document_id", fingerprint(*content).alias("input_fp")), outputs)
 
 
-__all__ = ["DROP_BELOW", "child_rows", "contextualized", "parent_chunks", "persist", "row_id", "structure", "to_run", "too_many_chunks", "without_text"]
+__all__ = ["DROP_BELOW", "Stage", "accepted", "child_rows", "contextualized", "parent_chunks", "persist", "refused", "row_id", "run_chain", "structure", "to_run", "too_many_chunks", "without_text"]

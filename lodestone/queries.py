@@ -23,6 +23,7 @@ from lodestone.operators.keyword import keyword_tf as tf_rank
 from lodestone.operators.knn import knn, knn_batch, merge_subqueries, vector_of
 from lodestone.operators.typography import is_scanned
 from lodestone.sources.objects import parse_enrichment, split_key
+from lodestone.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -179,7 +180,7 @@ parents AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) -
 SELECT doc_id::VARCHAR AS document_id, parent_index, row_number() OVER (PARTITION BY doc_id ORDER BY parent_index, i) - 1 AS chunk_index, len(p)::BIGINT AS token_count, array_to_string(p, ' ') AS content FROM pieces2 WHERE len(p) >= 20""")
 def chunk_parent_child(spark, sf_dir):
     """F3 twice, J3, W6: children inside parents."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text"))
     return chunk_document(docs)
 
 

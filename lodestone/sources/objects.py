@@ -34,6 +34,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none where there is no folder."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in system.listStatus(there)] if system.exists(there) else []
+
+
+def create_file(spark: SparkSession, path: str) -> None:
+    """An empty file; that one is there already is an error."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).create(there, False).close()
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     """Remove what is at ``path``; nothing there is no error."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)

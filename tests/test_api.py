@@ -29,20 +29,94 @@ def test_a_file_is_accepted_once(spark, tmp_path):
     objects = payload(spark, ("a", "a", 1), ("b", "b", 1), ("c", "x", 1)).select("object_key")
     accepted, rejected = engine.register(payload(spark, ("a", "a", 5), ("a", "a", 6), ("b", "x", 1), ("d", "d", 1), ("g", "g", 1)), objects)
     assert [r.sha256[0] for r in accepted.collect()] == ["a"]
-    assert {(r.sha256[0], r.error_code) for r in rejected.collect()} == {("b", "HASH_MISMATCH"), ("d", "DOCUMENT_NOT_FOUND"), ("g", "VALIDATION_ERROR")}
+    assert sorted((r.sha256[0], r.error_code) for r in rejected.collect()) == [("a", "DOCUMENT_ALREADY_INGESTED"), ("b", "HASH_MISMATCH"), ("d", "DOCUMENT_NOT_FOUND"), ("g", "VALIDATION_ERROR")]
     again, rejected = engine.register(payload(spark, ("a", "a", 5), ("b", "b", 5)), objects)
     assert [r.sha256[0] for r in again.collect()] == ["b"]
     assert [r.error_code for r in rejected.collect()] == ["DOCUMENT_ALREADY_INGESTED"]
     assert engine.list_documents(1).first().total == 2
     assert engine.is_new(payload(spark, ("a", "a", 1), ("e", "e", 1))).count() == 1
     first = accepted.first().document_id
-    assert [tuple(r) for r in engine.reingest([first]).collect()] == [(first, False)]
-    assert [tuple(r) for r in engine.reingest([first], force=True).collect()] == [(first, True)]
+    assert [tuple(r)[:2] for r in engine.reingest([first]).collect()] == [(first, False)]
+    assert engine.reingest().count() == 0  # none is finished
+    engine.change("documents", DOCUMENTS, accepted, lambda rows: rows.withColumns({"status": F.lit("DEAD_LETTER"), "attempts": F.lit(3), "last_error": F.lit("why")}))
+    report = engine.reingest(accepted.select("document_id"))
+    assert [tuple(r)[:2] for r in report.collect()] == [(first, True)]
+    state = lambda: tuple(engine.document(first).select("status", "attempts", "last_error").first())
+    assert state() == ("QUEUED", 0, None)
+    engine.restore(report)
+    assert state() == ("DEAD_LETTER", 3, "why")
+    assert [r.relaunched for r in engine.reingest(["nobody"]).collect()] == [None]
     assert engine.delete_document(first)
     assert not engine.delete_document(first)
     assert engine.documents.count() == 1
 
 
+@pytest.mark.parametrize("step", ["write", "commit"])
+def test_a_write_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch, step):
+    import lodestone.api as A
+
+    engine, schema = Engine(spark, str(tmp_path)), "document_id string, n int"
+    rows = lambda n: spark.createDataFrame([(f"d{i}", n) for i in range(20)], schema)
+    engine.replace("t", rows(1))
+
+    def die(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        if step == "write":
+            m.setattr(A, "list_names", lambda s, p, real=A.list_names: die() if "_commits" not in p else real(s, p))
+        else:
+            m.setattr(A, "create_file", die)
+        with pytest.raises(KeyboardInterrupt):
+            engine.replace("t", rows(2))
+    assert {r.n for r in engine.table("t", schema).collect()} == {1}
+    engine.replace("t", rows(3))
+    assert sorted(r.n for r in engine.table("t", schema).collect()) == [3] * 20
+
+
+def test_a_first_write_that_dies_leaves_an_empty_table(spark, tmp_path):
+    engine, schema = Engine(spark, str(tmp_path)), "document_id string, n int"
+    assert engine.table("t", schema).count() == 0
+    with pytest.raises(Exception, match="no rows"):
+        engine.replace("t", spark.range(3).select(F.col("id").cast("string").alias("document_id"), F.raise_error(F.lit("no rows")).cast("int").alias("n")))
+    assert engine.table("t", schema).count() == 0
+
+
+def test_a_change_writes_the_buckets_it_touches(spark, tmp_path):
+    engine, schema = Engine(spark, str(tmp_path)), "document_id string, n int"
+    engine.replace("t", spark.createDataFrame([(f"d{i}", 1) for i in range(200)], schema))
+    before = set(engine._newest("t")[1].items())
+    one = spark.createDataFrame([("d7",)], "document_id string")
+    engine.change("t", schema, one, lambda rows: rows.withColumn("n", F.when(F.col("document_id") == "d7", 9).otherwise(F.col("n"))))
+    assert len(before - set(engine._newest("t")[1].items())) == 1
+    assert sorted(r.n for r in engine.table("t", schema).collect()) == [1] * 199 + [9]
+
+
+def test_evaluation_from_hits(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    accepted, _ = engine.register(payload(spark, ("a", "a", 5), ("b", "b", 5)), payload(spark, ("a", "a", 1), ("b", "b", 1)).select("object_key"))
+    ids = {r.sha256[0]: r.document_id for r in accepted.collect()}
+    gold = spark.createDataFrame([(1, "code", "a" * 64, 3), (2, "code", "b" * 64, 1), (3, "code", "e" * 64, 1)], "q_id int, kind string, gold_sha256 string, gold_page int")
+    hits = spark.createDataFrame([(1, 1, ids["b"], 3), (1, 2, ids["a"], 3), (2, 1, ids["b"], 2), (3, 1, ids["a"], 1)], "q_id int, rank int, document_id string, page_number int")
+    assert {(r.kind, r.n, r.recall, r.mrr) for r in engine.evaluate(hits, gold=gold).collect()} == {("code", 3, 0.333333333, 0.166666667), (None, 3, 0.333333333, 0.166666667)}
+    from lodestone.operators.evaluation import missing_files
+
+    assert [r.q_id for r in missing_files(gold, engine.documents).collect()] == [3]
+
+
+def test_progress_is_reported_and_cleared(spark):
+    from lodestone.operators import state as S
+
+    schema = "document_id string, stage string, done long, total long, at double"
+    held = spark.createDataFrame([("a", "PARSING", 1, 9, 1.0), ("b", "PARSING", 2, 2, 1.0)], schema)
+    new = spark.createDataFrame([("a", "PARSING", 2, 9, 2.0), ("a", "ENRICHING", 11, 10, 3.0), ("c", "PARSING", 0, 4, 3.0)], schema)
+    now = S.report_progress(held, new)
+    assert sorted((r.document_id, r.stage, r.done) for r in now.collect()) == [("a", "ENRICHING", 10), ("b", "PARSING", 2), ("c", "PARSING", 0)]
+    assert sorted(r.document_id for r in S.clear_progress(now, held.where("document_id = 'b'")).collect()) == ["a", "c"]
+    counts = S.stage_counts(spark.createDataFrame([("a",), ("a",), ("b",)], "document_id string"), spark.createDataFrame([("a",)], "document_id string"), "ENRICHING")
+    assert sorted(tuple(r) for r in counts.collect()) == [("a", "ENRICHING", 1, 2), ("b", "ENRICHING", 0, 1)]
+
+
 def test_ask_keeps_a_trace_of_failures(spark, tmp_path):
     def broken(*_):
         raise RuntimeError("no database")

@@ -100,11 +100,85 @@ def test_enrichment_retries_alone_then_gives_up():
         calls.append([c["id"] for c in chunks])
         return [{"id": c["id"], "context": "c", "category": "LEGAL"} for c in chunks if c["id"] != 1 and (c["id"] != 2 or len(chunks) == 1)]
 
-    got = enrich_batch([{"id": i, "heading": None, "content": ""} for i in range(3)], provider)
+    got, limited = enrich_batch([{"id": i, "heading": None, "content": ""} for i in range(3)], provider)
+    assert not limited
     assert [(g["id"], g["context"], g["category"]) for g in got] == [(0, "c", "LEGAL"), (1, "", "OTHER"), (2, "c", "LEGAL")]
     assert calls == [[0, 1, 2], [1], [1], [2]]
 
 
+def test_what_a_rate_limited_provider_answered_is_kept(spark):
+    from lodestone.plans.providers import RateLimited
+
+    def limited(chunks):
+        if len(chunks) == 1 or any(c["content"] == "c4" for c in chunks):
+            raise RateLimited
+        return [{"id": c["id"], "context": "done", "category": "LEGAL"} for c in chunks if c["content"] != "c1"]
+
+    chunks = spark.createDataFrame([("d", i, "h", f"c{i}") for i in range(6)], "document_id string, chunk_index long, heading_path string, content string").coalesce(1)
+    none = spark.createDataFrame([], "document_id string, chunk_index long, context string, category string")
+    first = enrich(chunks, none, limited, size=2).persist()
+    assert [tuple(r)[1:] for r in first.collect()] == [(0, "done", "LEGAL")]
+    assert sorted(r.chunk_index for r in enrich(chunks, first).collect()) == [1, 2, 3, 4, 5]
+
+    def full(texts):
+        if "t2" in texts:
+            raise RateLimited
+        return [[1.0, 0.0]] * len(texts)
+
+    texts = spark.createDataFrame([("d", i, f"t{i}") for i in range(4)], "document_id string, chunk_index long, contextualized string").coalesce(1)
+    assert [r.chunk_index for r in embed(texts, none, 2, full, size=1).collect()] == [0, 1]
+
+
+def test_questions_get_vectors_and_prompts_answers(spark):
+    from lodestone.plans.providers import complete, embed_questions, read_pages
+
+    asked = spark.createDataFrame([(1, "a"), (2, " "), (3, None)], "q_id long, text string")
+    given = {r.q_id: r.embedding for r in embed_questions(asked, 2, lambda texts: [[3.0, 4.0]] * len(texts)).collect()}
+    assert given == {1: [0.6, 0.8], 2: None, 3: None}
+    assert {r.q_id: r.embedding and round(sum(x * x for x in r.embedding), 6) for r in embed_questions(asked, 8).collect()} == {1: 1.0, 2: None, 3: None}
+    prompts = spark.createDataFrame([(1, "sources\nwhat?"), (2, None)], "q_id long, prompt string")
+    assert {r.q_id: r.answer for r in complete(prompts).collect()} == {1: "what? [1]", 2: None}
+    pages = spark.createDataFrame([("d", i, b"x") for i in range(4)], "document_id string, page int, image binary")
+    assert read_pages(pages, lambda b: "read").count() == 4
+    assert read_pages(pages, lambda b: "read", deadline=1.0).count() == 0
+
+
+def test_a_stage_that_fails_on_its_rows_falls_back(spark):
+    broken = lambda q: q.withColumn("text", F.raise_error(F.lit("no rewrite")).cast("string"))
+    seen = lambda *_: spark.createDataFrame([(1, 1, "passage")], "q_id long, ordinal int, text string")
+    stages = R.Stages(retrieve=lambda q: q, expand=lambda c: c, build_context=seen, generate=lambda q, c: q.select("q_id", F.concat("text", F.lit(" [1] [7]")).alias("answer")), fuse=lambda q, c: c, rewrite=broken)
+    questions = spark.createDataFrame([(1, "asked")], "q_id long, text string")
+    answers, _, trace = R.ask(questions, stages)
+    assert answers.first().answer == "asked [1] [7]"
+    assert "no rewrite" in trace.nodes[0]["fallback"]
+    assert [tuple(r) for r in trace.citations.collect()] == [("1", 1)]
+    with pytest.raises(Exception, match="no rewrite"):
+        R.ask(questions, R.with_stage(stages, rewrite=R.keep, retrieve=broken))
+
+
+def test_the_chain_runs_slice_by_slice(spark):
+    held = {n: spark.createDataFrame([], "document_id string, value string, input_fp string") for n in ("one", "two")}
+    runs = []
+
+    def keep(name, rows):
+        runs.append(name)
+        return spark.createDataFrame(rows.select("document_id", "value", "input_fp").collect(), "document_id string, value string, input_fp string")
+
+    stages = [W.Stage("one", lambda docs, _: docs.select("document_id", F.lit("a").alias("value"))), W.Stage("two", lambda docs, out: out["one"].join(docs, "document_id", "left_semi").select("document_id", F.concat("value", F.lit("b")).alias("value")))]
+    docs = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", "1")], "document_id string, content_fp string")
+    left = W.run_chain(docs, stages, held, keep, slice_documents=2)
+    assert [r[0] for r in left.collect()] == ["z"]
+    assert sorted((r.document_id, r.value) for r in held["two"].collect()) == [("x", "ab"), ("y", "ab")]
+    assert W.run_chain(docs, stages, held, keep).isEmpty()
+    changed = docs.replace("1", "2", "content_fp").where("document_id = 'x'").unionByName(docs.where("document_id <> 'x'"))
+    assert W.run_chain(changed, stages, held, keep, slice_documents=1).isEmpty()
+    assert held["two"].count() == 3
+    children = spark.createDataFrame([("x",), ("x",), ("y",)], "document_id string")
+    codes = W.refused(docs, children, most=1)
+    assert sorted(tuple(r) for r in codes.collect()) == [("x", "TOO_MANY_CHUNKS"), ("z", "NO_EXTRACTABLE_TEXT")]
+    assert [r[0] for r in W.accepted(docs.select("document_id"), codes).collect()] == ["y"]
+
+
 def test_objects_and_artifacts(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "a.bin").write_bytes(b"abc")
