@@ -161,7 +161,7 @@ chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1
 
 
 def _chunks(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     pieces = docs.select("doc_id", F.posexplode(kept_counted(pack_counted(F.col("text"), 100, 200))).alias("chunk_index", "piece"))
     return pieces.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("piece.token_count").cast("long").alias("token_count"), "piece.content")
 
