@@ -89,7 +89,7 @@ def _searcher(asked: Asked, top: int, part: Part):
                 nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
                 question = asked.asking[np.repeat(asked.starts[term], each) + nth]
                 sums = np.bincount(question * len(ids) + np.repeat(row, each), np.repeat(value, each), n * len(ids)).reshape(n, len(ids))
-                scores = np.where(sums > 0, np.round(sums, PLACES), -np.inf)
+                scores = np.where(sums > 0, np.floor(sums * 10.0**PLACES + 0.5) / 10.0**PLACES, -np.inf)  # halves go up, as in SQL
                 some = np.flatnonzero(scores.max(axis=1, initial=-np.inf) >= best[:, -1])
                 all_ids = np.concatenate([best_ids[some], np.broadcast_to(ids.to_numpy(), (len(some), len(ids)))], axis=1)
                 all_scores = np.concatenate([best[some], scores[some]], axis=1)
