@@ -51,7 +51,8 @@ def _local_best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 def knn_batch(questions: DataFrame, corpus: DataFrame, k: int = TOP_K, block: int = BLOCK) -> DataFrame:
     """``(q_id, vec_id, rank, score)`` for each of ``questions(q_id, embedding)`` over ``corpus(vec_id, embedding)``.
 
-    At most ``block`` questions are sent to the tasks at a time. Questions and rows without a vector have no result.
+    At most ``block`` questions are sent to the tasks at a time. Questions and rows without a vector have no result,
+    nor have scores that are not a number.
     """
     asked = questions.where("embedding IS NOT NULL").select(F.col("q_id").cast("long").alias("q_id"), "embedding")
     passes = max(1, math.ceil(asked.count() / block))
@@ -71,14 +72,19 @@ def _searcher(q_ids: list[int], vectors: list[list[float]], k: int):
         if not q_ids:
             return
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(q_ids)
+        least = np.full(len(q_ids), -np.inf)  # the k-th best score so far; a row below it is in no result
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ids = batch.column(0).to_numpy()
             rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
             scores = np.round(matrix @ rows.T, PLACES)
-            for q, (old_ids, old_scores) in enumerate(best):
-                all_ids, all_scores = np.concatenate([old_ids, ids]), np.concatenate([old_scores, scores[q]])
+            near = scores >= least[:, None]
+            for q in np.flatnonzero(near.any(axis=1)):
+                (old_ids, old_scores), new = best[q], near[q]
+                all_ids, all_scores = np.concatenate([old_ids, ids[new]]), np.concatenate([old_scores, scores[q, new]])
                 keep = _local_best(all_ids, all_scores, k)
                 best[q] = (all_ids[keep], all_scores[keep])
+                if len(keep) == k:
+                    least[q] = all_scores[keep].min()
         lengths = [len(ids) for ids, _ in best]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, lengths), pa.int64()), pa.array(np.concatenate([b[0] for b in best]), pa.int64()), pa.array(np.concatenate([b[1] for b in best]), pa.float64())], ["q_id", "vec_id", "score"])
 

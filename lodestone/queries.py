@@ -89,31 +89,28 @@ def knn_batch_topk(spark, sf_dir):
     return _batch(spark, sf_dir)
 
 
-@query(f"""WITH hits AS (SELECT q.vec_id AS sub, e.vec_id, {INNER} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {INNER} DESC, e.vec_id) AS r
-  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN (1, 2, 3)) q),
-best AS (SELECT vec_id, max(score) AS score FROM hits WHERE r <= 50 GROUP BY vec_id)
-SELECT 0::BIGINT AS q_id, vec_id, score, {ranked("score DESC, vec_id")} AS rank FROM best""")
+@query(f"""WITH hits AS (SELECT q.vec_id // 150 AS q_id, e.vec_id, {INNER} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {INNER} DESC, e.vec_id) AS r
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q),
+best AS (SELECT q_id, vec_id, max(score) AS score FROM hits WHERE r <= 50 GROUP BY q_id, vec_id)
+SELECT q_id, vec_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM best""")
 def subquery_merge(spark, sf_dir):
-    """Three sub-queries of one question, each child once at its best."""
-    corpus = table(spark, sf_dir, "embeddings")
-    hits = knn_batch(corpus.where("vec_id IN (1, 2, 3)").select(F.col("vec_id").alias("q_id"), "embedding"), corpus, 50)
-    return merge_subqueries(hits.withColumn("q_id", F.lit(0).cast("long")))
+    """Three sub-queries to a question, each child once at its best."""
+    return merge_subqueries(_batch(spark, sf_dir, 50).withColumn("q_id", F.expr("q_id DIV 150")))
 
 
-LISTS = f"""hits AS (SELECT q.vec_id AS source, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {INNER} DESC, e.vec_id) AS rank
-  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id IN (0, 1)) q QUALIFY rank <= 50)"""
+LISTS = f"""hits AS (SELECT q.vec_id // 100 AS q_id, q.vec_id AS source, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {INNER} DESC, e.vec_id) AS rank
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY rank <= 50)"""
 
 
 def _lists(spark, sf_dir) -> DataFrame:
-    corpus = table(spark, sf_dir, "embeddings")
-    asked = corpus.where("vec_id IN (0, 1)").select(F.col("vec_id").alias("q_id"), "embedding")
-    return knn_batch(asked, corpus, 50).withColumnRenamed("q_id", "source").withColumn("q_id", F.lit(0).cast("long"))
+    """Two ranked lists to a question: every 50th vector as a source."""
+    return _batch(spark, sf_dir, 50).withColumnRenamed("q_id", "source").withColumn("q_id", F.expr("source DIV 100"))
 
 
-@query(f"""WITH {LISTS}, summed AS (SELECT vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM hits GROUP BY vec_id)
-SELECT 0::BIGINT AS q_id, vec_id, score, {ranked("score DESC, vec_id")} AS rank FROM summed QUALIFY rank <= 10""")
+@query(f"""WITH {LISTS}, summed AS (SELECT q_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM hits GROUP BY q_id, vec_id)
+SELECT q_id, vec_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM summed QUALIFY rank <= 10""")
 def rrf_fusion(spark, sf_dir):
-    """Two ranked lists fused, the ten best."""
+    """Two ranked lists of each question fused, the ten best."""
     return C.fuse(_lists(spark, sf_dir), ["q_id"], "vec_id", top=10).select("q_id", "vec_id", "score", "rank")
 
 
@@ -462,12 +459,13 @@ def eval_flips(spark, sf_dir):
     return E.flips(scores.withColumn("recall", F.when(F.col("rr") == 1, 1.0).otherwise(0.0)), scores)
 
 
-@query(f"""WITH {CHUNKS_SQL}, labels2 AS (SELECT doc_id, trim(regexp_replace(lower(substr(text, (doc_id % 40)::INT * 50 + 1, 60)), '\\s+', ' ', 'g')) AS q FROM documents WHERE length(text) > 2100)
+@query(f"""WITH {CHUNKS_SQL}, labels2 AS (SELECT doc_id, trim(regexp_replace(lower(substr(text, (doc_id % 40)::INT * 50 % greatest(length(text) - 59, 1)::INT + 1, 60)), '\\s+', ' ', 'g')) AS q FROM documents WHERE length(text) > 0)
 SELECT doc_id FROM labels2 WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.doc_id = labels2.doc_id AND contains(trim(regexp_replace(lower(c.content), '\\s+', ' ', 'g')), labels2.q))""")
 def label_reachability(spark, sf_dir):
-    """Labels whose quote lies across a chunk's edge."""
+    """A quote from each document that has text; those that lie across a chunk's edge."""
     docs = table(spark, sf_dir, "documents")
-    labels = docs.where(F.length("text") > 2100).select("doc_id", F.substring(F.col("text"), (F.col("doc_id") % 40).cast("int") * 50 + 1, F.lit(60)).alias("quote"))
+    start = (F.col("doc_id") % 40).cast("int") * 50 % F.greatest(F.length("text") - 59, F.lit(1)) + 1
+    labels = docs.where(F.length("text") > 0).select("doc_id", F.substring(F.col("text"), start, F.lit(60)).alias("quote"))
     return E.unreachable(labels, _chunks(spark, sf_dir), ["doc_id"]).select("doc_id")
 
 
@@ -585,7 +583,7 @@ def status_view(spark, sf_dir):
     return shown.select("document_id", "name", "status", F.col("progress.ratio").alias("ratio"))
 
 
-@query(f"WITH {LISTS} SELECT source::VARCHAR AS source, count(*) AS candidates, 0::BIGINT AS q_id FROM hits GROUP BY source")
+@query(f"WITH {LISTS} SELECT source::VARCHAR AS source, count(*) AS candidates, q_id FROM hits GROUP BY source, q_id")
 def per_source_counts(spark, sf_dir):
     """A8."""
     return C.per_source(_lists(spark, sf_dir)).withColumn("source", F.col("source").cast("string"))
