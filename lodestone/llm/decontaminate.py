@@ -4,6 +4,11 @@ A test item occurs in a document if some stretch of it is within the item's erro
 edits. Cut into one piece more than the budget, an item with so few errors has a piece without any. All pieces of all
 items are found in one pass of an Aho-Corasick automaton; each hit says where the item would lie, and only there
 Myers' bit-parallel distance is computed. Texts are compared in lower case with white space runs as one space.
+
+Pieces are leaves of a tree. A node of n pieces has a budget of n - 1 errors, which is one more than its two children
+have together: where a node keeps its budget, so does a child, down to a leaf without errors. A hit is thus compared
+node by node on the way up, and is given up at the first node that is over its budget; most are at the leaf's parent.
+No occurrence is lost by that.
 """
 
 from __future__ import annotations
@@ -12,14 +17,17 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ERROR_RATE = 0.07
+ERROR_RATE = 0.1
 #: Characters of test items that one pass over the documents looks for; more items mean more passes.
 BLOCK_CHARS = 4_000_000
+#: Mask tables a worker keeps.
+MASKS = 20_000
 LEAKS = "doc_id long, item_id long, distance int, start long, stop long"
 SPACE = re.compile(r"\s+")
 
@@ -34,6 +42,17 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+@lru_cache(maxsize=100_000)
+def nodes_above(leaf: int, leaves: int) -> tuple[tuple[int, int], ...]:
+    """The nodes over a leaf as ranges of leaves, its parent first and the root last."""
+    lo, hi, way = 0, leaves, []
+    while hi - lo > 1:
+        way.append((lo, hi))
+        middle = (lo + hi) // 2
+        lo, hi = (lo, middle) if leaf < middle else (middle, hi)
+    return tuple(reversed(way))
+
+
 def masks(pattern: str) -> dict[str, int]:
     found: dict[str, int] = defaultdict(int)
     for i, c in enumerate(pattern):
@@ -79,22 +98,50 @@ class ItemMatcher:
         import ahocorasick
 
         self.items, self.budgets = items, [math.floor(len(t) * error_rate) for _, t in items]
-        self.forward: dict[int, dict[str, int]] = {}
+        self.kept: dict[tuple[int, int, int], dict[str, int]] = {}
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, ((_, text), budget) in enumerate(zip(items, self.budgets, strict=True)):
-            for offset, piece in pieces(text, budget):
-                places[piece].append((k, offset))
+            for i, (_, piece) in enumerate(pieces(text, budget)):
+                places[piece].append((k, i))
         for piece, found in places.items():
             self.automaton.add_word(piece, (len(piece), found))
         if places:
             self.automaton.make_automaton()
         self.any = bool(places)
 
-    def _distance(self, k: int, window: str) -> tuple[int, int]:
-        if k not in self.forward:
-            self.forward[k] = masks(self.items[k][1])
-        return myers(self.forward[k], len(self.items[k][1]), window)
+    def _masks(self, k: int, a: int, b: int) -> dict[str, int]:
+        """The masks of ``item[a:b]``, kept in one table of bounded size."""
+        if (k, a, b) not in self.kept:
+            if len(self.kept) >= MASKS:
+                self.kept.clear()
+            self.kept[k, a, b] = masks(self.items[k][1][a:b])
+        return self.kept[k, a, b]
+
+    def _holds(self, text: str, k: int, leaf: int, place: int) -> bool:
+        """Whether every node between a leaf that was hit and the root keeps its budget; ``place`` is the item's start."""
+        item, n = self.items[k][1], self.budgets[k] + 1
+        way = nodes_above(leaf, n)
+        if not way:
+            return True
+        # The parent's other part has at most ``spare`` errors: of spare + 1 chunks one has none, and is moved by no more.
+        (lo, hi), size = way[0], len(item)
+        spare = hi - lo - 1
+        a, b = (size * (leaf + 1) // n, size * hi // n) if leaf == lo else (size * lo // n, size * leaf // n)
+        x = a
+        for c in range(1, spare + 2):
+            y = a + (b - a) * c // (spare + 1)
+            if text.find(item[x:y], max(0, place + x - spare), max(0, place + y + spare)) >= 0:
+                break
+            x = y
+        else:
+            return False
+        for lo, hi in way[:-1]:
+            a, b, budget = size * lo // n, size * hi // n, hi - lo - 1
+            window = text[max(0, place + a - budget) : max(0, place + b + budget)]
+            if myers(self._masks(k, a, b), b - a, window)[0] > budget:
+                return False
+        return True
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item number, edits, start, stop) of the best occurrence of each item in a normalized text."""
@@ -102,8 +149,10 @@ class ItemMatcher:
             return []
         starts: dict[int, set[int]] = defaultdict(set)
         for end, (n, found) in self.automaton.iter(text):
-            for k, offset in found:
-                starts[k].add(end + 1 - n - offset)
+            for k, leaf in found:
+                place = end + 1 - n - len(self.items[k][1]) * leaf // (self.budgets[k] + 1)
+                if place not in starts.get(k, ()) and self._holds(text, k, leaf, place):
+                    starts[k].add(place)
         out = []
         for k, places in starts.items():
             item, budget, best = self.items[k][1], self.budgets[k], None
@@ -119,7 +168,7 @@ class ItemMatcher:
                 while upto + 1 < len(ordered) and ordered[upto + 1] - ordered[upto] <= 2 * budget:
                     upto += 1
                 a, b = max(0, ordered[at] - budget), ordered[upto] + len(item) + budget
-                edits, stop = self._distance(k, text[a:b])
+                edits, stop = myers(self._masks(k, 0, len(item)), len(item), text[a:b])
                 if edits <= budget and (best is None or edits < best[0]):
                     _, back = myers(masks(item[::-1]), len(item), text[a : a + stop][::-1], anchored=True)
                     best = (edits, a + stop - back, a + stop)

@@ -366,6 +366,33 @@ def test_leaks_are_all_within_budget(items, text):
     assert {items[k][0]: edits for k, edits, *_ in D.ItemMatcher(items, 0.2).find(text)} == want
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_nodes_lose_no_occurrence(seed):
+    """Long items with as many random edits as the budget allows are found at the distance that a window of all text gives."""
+    rng = random.Random(seed)
+    words = ["con", "the ", "ing ", "ra", "do ", "st", "en", "la "]
+    item = D.normal("".join(rng.choice(words) for _ in range(rng.randint(20, 90))))
+    budget = len(item) // 10
+    for errors in (0, 1, budget // 2, budget, budget + 3):
+        chars = list(item)
+        for place in rng.sample(range(len(chars)), errors):
+            chars[place] = rng.choice(["", "#", chars[place] + "x"])
+        text = D.normal("".join(rng.choice(words) for _ in range(200)) + "".join(chars) + "".join(rng.choice(words) for _ in range(200)))
+        edits, stop = D.myers(D.masks(item), len(item), text)
+        got = [(e, b) for _, e, _, b in D.ItemMatcher([(1, item)]).find(text)]
+        assert got == ([(edits, stop)] if edits <= budget else [])
+        assert edits <= errors
+
+
+def test_nodes_above():
+    for leaves in range(1, 20):
+        for leaf in range(leaves):
+            way = D.nodes_above(leaf, leaves)
+            assert all(lo <= leaf < hi for lo, hi in way)
+            assert not way if leaves == 1 else way[-1] == (0, leaves)
+            assert all(a[1] - a[0] < b[1] - b[0] for a, b in zip(way, way[1:], strict=False))
+
+
 def test_find_leaks(spark):
     item = "the quick brown fox jumps over the lazy dog while seven wizards quietly watch from the hill beyond the river bank"
     hurt = item.replace("quick", "quikc").replace("lazy", "lzy")
