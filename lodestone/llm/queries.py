@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import line_dedup
+from lodestone.llm import centroids, line_dedup, merkle, warc
 from lodestone.llm.bitpack import token_id_output
 from lodestone.llm.decontaminate import find_leaks
 from lodestone.llm.media import media_columns
@@ -59,5 +59,17 @@ def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_secret_scan, op4_simhash_near_dedup, op5_sharding, op6_benchmark_decontamination, op7_toxicity, op8_token_id_output, op9_best_fit_packing, op10_quality_resampling)}
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_line_dedup, op3_secret_scan, op4_simhash_near_dedup, op5_sharding, op6_benchmark_decontamination, op7_toxicity, op8_token_id_output, op9_best_fit_packing, op10_quality_resampling, op11_centroid_clustering, op12_warc, op13_merkle_manifest)}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op11_centroid_clustering": centroids.ORACLE, "op12_warc": warc.ORACLE, "op13_merkle_manifest": merkle.ORACLE}
