@@ -58,8 +58,8 @@ def enrich_batch(chunks: Sequence[dict], provider: Enricher, tries: int = SOLO_T
     return [got.get(c["id"], {"id": c["id"], "context": "", "category": "OTHER"}) for c in chunks], False
 
 
-def enrich(chunks: DataFrame, done: DataFrame, provider: Enricher = stub_enricher, size: int = ENRICH_BATCH) -> DataFrame:
-    """``(document_id, chunk_index, context, category)`` of the chunks that ``done`` has not; categories are a closed set.
+def enrich(chunks: DataFrame, done: DataFrame | None = None, provider: Enricher = stub_enricher, size: int = ENRICH_BATCH) -> DataFrame:
+    """``(document_id, chunk_index, context, category)`` of the chunks that ``done`` has not, of all without it; categories are a closed set.
 
     A task whose provider is ``RateLimited`` ends with what it has. The rest is still pending, and the next call,
     with these rows among ``done``, asks for that alone.
@@ -72,21 +72,26 @@ def enrich(chunks: DataFrame, done: DataFrame, provider: Enricher = stub_enriche
                 asked = [{"id": i, "heading": h, "content": c} for i, h, c in zip(part.index, part["heading_path"], part["content"], strict=True)]
                 rows, limited = enrich_batch(asked, provider)
                 rows.sort(key=lambda r: r["id"])
-                yield part.loc[[r["id"] for r in rows], ["document_id", "chunk_index"]].assign(context=[r["context"] for r in rows], category=[r["category"] for r in rows])
+                if rows:  # a provider may be limited before it has answered anything
+                    yield part.loc[[r["id"] for r in rows], ["document_id", "chunk_index"]].assign(context=[r["context"] for r in rows], category=[r["category"] for r in rows])
                 if limited:
                     return
 
-    wanted = pending(chunks.select("document_id", "chunk_index", "heading_path", "content"), done, ["document_id", "chunk_index"])
+    wanted = _not_in(chunks.select("document_id", "chunk_index", "heading_path", "content"), done)
     asked = wanted.mapInPandas(call, "document_id string, chunk_index long, context string, category string")
     return asked.withColumn("category", coerced(F.col("category"), CATEGORIES, "OTHER"))
 
 
-def embed(texts: DataFrame, done: DataFrame, dim: int, provider: Embedder | None = None, size: int = EMBED_BATCH) -> DataFrame:
+def _not_in(rows: DataFrame, done: DataFrame | None) -> DataFrame:
+    return rows if done is None else pending(rows, done, ["document_id", "chunk_index"])
+
+
+def embed(texts: DataFrame, done: DataFrame | None, dim: int, provider: Embedder | None = None, size: int = EMBED_BATCH) -> DataFrame:
     """``(document_id, chunk_index, embedding)`` of the rows that ``done`` has not. Without a provider, the stub's vectors.
 
     A ``RateLimited`` provider ends a task with what it has, as in ``enrich``.
     """
-    wanted = pending(texts.select("document_id", "chunk_index", "contextualized"), done, ["document_id", "chunk_index"])
+    wanted = _not_in(texts.select("document_id", "chunk_index", "contextualized"), done)
     if provider is None:
         return wanted.select("document_id", "chunk_index", stub_embedding(F.col("contextualized"), dim).cast("array<float>").alias("embedding"))
 

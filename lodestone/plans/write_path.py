@@ -6,11 +6,7 @@ so a changed input makes everything after it stale, and nothing has to be delete
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.language import detect_language
@@ -19,29 +15,35 @@ from lodestone.functions.text import contextualize, sanitize, word_count
 from lodestone.functions.vectors import well_formed
 from lodestone.operators.chunking import CHILD, DROP_BELOW, PARENT, kept, pack, parent_chunks
 from lodestone.operators.ingest import fingerprint, positional_join, replace_documents, stale
+from lodestone.plans.chain import Chain, Stage
+from lodestone.plans.providers import Embedder, Enricher, embed, enrich, stub_enricher
 
 MAX_CHUNKS = 5000
 
 
 def structure(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Parents and children of ``parsed(document_id, pages array<struct<page, markdown, ...>>)``.
+    """Parents and children of ``parsed(document_id, pages array<struct<page, markdown, ...>>)``: see ``parents_of`` and ``children_of``."""
+    parents = parents_of(parsed)
+    return parents, children_of(parents)
 
-    Parents: document_id, chunk_index, content, token_count, page_start, page_end, heading_path, language. Children:
-    document_id, parent_index, chunk_index, content, token_count, page_number, heading_path, language. Numbers are
-    dense over what is kept, in document order.
-    """
+
+def parents_of(parsed: DataFrame) -> DataFrame:
+    """document_id, chunk_index, content, token_count, page_start, page_end, heading_path, language. Numbers are dense over what is kept, in document order."""
     cleaned = F.transform(F.array_sort(F.col("pages")), lambda p: sanitize(p["markdown"]))
     numbers = parsed.select("document_id", F.transform(F.array_sort(F.col("pages")), lambda p: p["page"]).alias("numbers"))
     split = sections(parsed, cleaned).join(numbers, "document_id").withColumn("page_number", F.get("numbers", F.col("page") - 1)).drop("numbers")
     pieces = split.select("document_id", "page", "section", "page_number", "heading_path", F.posexplode(kept(pack(F.col("body"), *PARENT))).alias("piece", "content"))
     place = Window.partitionBy("document_id").orderBy("page", "section", "piece")
     parents = pieces.withColumn("chunk_index", (F.row_number().over(place) - 1).cast("long"))
-    parents = parents.select("document_id", "chunk_index", "content", word_count(F.col("content")).cast("long").alias("token_count"), F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), "heading_path", detect_language(F.col("content")).alias("language"))
+    return parents.select("document_id", "chunk_index", "content", word_count(F.col("content")).cast("long").alias("token_count"), F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), "heading_path", detect_language(F.col("content")).alias("language"))
+
+
+def children_of(parents: DataFrame) -> DataFrame:
+    """document_id, parent_index, chunk_index, content, token_count, page_number, heading_path, language, numbered like parents."""
     owned = parents.select("document_id", F.col("chunk_index").alias("parent_index"), F.posexplode(kept(pack(F.col("content"), *CHILD), DROP_BELOW)).alias("piece", "content"), F.col("page_start").alias("page_number"), "heading_path", "language")
     order = Window.partitionBy("document_id").orderBy("parent_index", "piece")
     children = owned.withColumn("chunk_index", (F.row_number().over(order) - 1).cast("long"))
-    children = children.select("document_id", "parent_index", "chunk_index", "content", word_count(F.col("content")).cast("long").alias("token_count"), "page_number", "heading_path", "language")
-    return parents, children
+    return children.select("document_id", "parent_index", "chunk_index", "content", word_count(F.col("content")).cast("long").alias("token_count"), "page_number", "heading_path", "language")
 
 
 def without_text(documents: DataFrame, children: DataFrame) -> DataFrame:
@@ -63,36 +65,6 @@ def accepted(rows: DataFrame, refusals: DataFrame) -> DataFrame:
     return rows.join(refusals.select("document_id"), "document_id", "left_anti")
 
 
-@dataclass(frozen=True)
-class Stage:
-    """A step of the chain: ``run`` makes rows with document_id of the documents it is given and what went before."""
-
-    name: str
-    run: Callable[[DataFrame, dict[str, DataFrame]], DataFrame]
-
-
-def run_chain(documents: DataFrame, stages: Sequence[Stage], outputs: dict[str, DataFrame], keep: Callable[[str, DataFrame], DataFrame], slice_documents: int | None = None) -> DataFrame:
-    """Run every stage for the documents whose output of it is missing or stale, and return those left for the next slice.
-
-    ``documents(document_id, content_fp)``; each stage's rows in ``outputs`` carry ``input_fp``, the fingerprint of
-    what they were made from, which is that of the document and of the stage before. ``keep`` stores a stage's rows and
-    returns them as stored. A slice takes ``slice_documents`` in the order of id; the rest waits without an attempt.
-    """
-    behind = reduce(DataFrame.unionByName, [stale(documents.select("document_id", _made_of(s.name).alias("input_fp")), outputs[s.name].select("document_id", "input_fp").distinct()) for s in stages]).distinct()
-    now = behind if slice_documents is None else behind.orderBy("document_id").limit(slice_documents)
-    todo = documents.join(now, "document_id", "left_semi")
-    for stage in stages:
-        due = stale(todo.select("document_id", _made_of(stage.name).alias("input_fp")), outputs[stage.name].select("document_id", "input_fp").distinct())
-        made = stage.run(todo.join(due, "document_id", "left_semi"), outputs)
-        marked = made.join(todo.select("document_id", _made_of(stage.name).alias("input_fp")), "document_id")
-        outputs[stage.name] = keep(stage.name, replace_documents(outputs[stage.name], marked))
-    return behind.join(now, "document_id", "left_anti")
-
-
-def _made_of(stage: str):
-    return F.sha2(F.concat_ws("|", F.lit(stage), F.col("content_fp")), 256)
-
-
 def contextualized(children: DataFrame, enriched: DataFrame, documents: DataFrame) -> DataFrame:
     """Children with context, category and the text that is embedded and stored; every child must be enriched."""
     joined = positional_join(children, enriched, ["document_id", "chunk_index"]).join(documents.select("document_id", "title"), "document_id")
@@ -124,4 +96,52 @@ def to_run(documents: DataFrame, outputs: DataFrame, *content: str) -> DataFrame
     return stale(documents.select("document_id", fingerprint(*content).alias("input_fp")), outputs)
 
 
-__all__ = ["DROP_BELOW", "Stage", "accepted", "child_rows", "contextualized", "parent_chunks", "persist", "refused", "row_id", "run_chain", "structure", "to_run", "too_many_chunks", "without_text"]
+STORED = (
+    "document_id string, kind string, id string, parent_id string, chunk_index long, content string, contextualized string, token_count long, page_number int, "
+    "heading_path string, language string, category string, embedding array<float>, status string, error_code string"
+)
+PARENTS = "document_id string, chunk_index long, content string, token_count long, page_start int, page_end int, heading_path string, language string"
+CHILDREN = "document_id string, parent_index long, chunk_index long, content string, token_count long, page_number int, heading_path string, language string"
+
+
+def stored(parents: DataFrame, children: DataFrame, documents: DataFrame, refusals: DataFrame) -> DataFrame:
+    """A document's parents, children and status as rows of one table, told apart by ``kind``: written as one, they are there as one.
+
+    A refused document has its status alone.
+    """
+    names = [c.split()[0] for c in STORED.split(", ")]
+    fill = lambda rows, kind, **more: rows.withColumns({"kind": F.lit(kind), **more}).select(*((F.col(c) if c in rows.columns or c in ("kind", *more) else F.lit(None)).cast(t).alias(c) for c, t in (d.split(" ", 1) for d in STORED.split(", "))))
+    state = documents.select("document_id").join(refusals, "document_id", "left")
+    status = F.when(F.col("error_code").isNull(), "COMPLETED").otherwise("FAILED")
+    rows = fill(accepted(parents, refusals), "parent", id=row_id("parent"), page_number=F.col("page_start"))
+    rows = rows.unionByName(fill(accepted(children, refusals), "child", id=F.col("child_id")))
+    return rows.unionByName(fill(state, "document", status=status)).select(names)
+
+
+def ingest_chain(spark: SparkSession, root: str, dim: int, enricher: Enricher = stub_enricher, embedder: Embedder | None = None, max_chunks: int = MAX_CHUNKS) -> Chain:
+    """From ``documents(document_id, content_fp, title, pages)`` to stored rows, in stages that can each be cut short.
+
+    Chunks are enriched and embedded one by one as far as their providers let; a document is stored once both are whole.
+    """
+
+    def vectors(t: dict[str, DataFrame]) -> DataFrame:
+        enriched = t["enriched"].join(t["children"], ["document_id", "chunk_index"], "left_semi")
+        return embed(contextualized(t["children"], enriched, t["documents"]), None, dim, embedder)
+
+    def store(t: dict[str, DataFrame]) -> DataFrame:
+        documents = t["documents"]
+        mine = {n: rows.join(documents.select("document_id"), "document_id", "left_semi") for n, rows in t.items()}
+        rows = child_rows(contextualized(mine["children"], mine["enriched"], documents), mine["vectors"], mine["parents"], dim)
+        return stored(mine["parents"], rows, documents, refused(documents, mine["children"], max_chunks))
+
+    chunk = ("chunk_index",)
+    return Chain(spark, root, [
+        Stage("parents", lambda t: parents_of(t["documents"]), PARENTS),
+        Stage("children", lambda t: children_of(t["parents"]), CHILDREN, ("parents",)),
+        Stage("enriched", lambda t: enrich(t["children"], None, enricher), "document_id string, chunk_index long, context string, category string", ("children",), chunk),
+        Stage("vectors", vectors, "document_id string, chunk_index long, embedding array<float>", ("children", "enriched", "documents"), chunk),
+        Stage("stored", store, STORED, ("documents", "parents", "children", "enriched", "vectors")),
+    ])
+
+
+__all__ = ["DROP_BELOW", "Stage", "accepted", "child_rows", "children_of", "contextualized", "ingest_chain", "parent_chunks", "parents_of", "persist", "refused", "row_id", "stored", "structure", "to_run", "too_many_chunks", "without_text"]

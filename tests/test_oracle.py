@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from lodestone import queries_parts  # noqa: F401 - registers its queries
+from lodestone import queries_parts, queries_plans  # noqa: F401 - register their queries
 from lodestone.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

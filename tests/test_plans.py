@@ -156,23 +156,8 @@ def test_a_stage_that_fails_on_its_rows_falls_back(spark):
         R.ask(questions, R.with_stage(stages, rewrite=R.keep, retrieve=broken))
 
 
-def test_the_chain_runs_slice_by_slice(spark):
-    held = {n: spark.createDataFrame([], "document_id string, value string, input_fp string") for n in ("one", "two")}
-    runs = []
-
-    def keep(name, rows):
-        runs.append(name)
-        return spark.createDataFrame(rows.select("document_id", "value", "input_fp").collect(), "document_id string, value string, input_fp string")
-
-    stages = [W.Stage("one", lambda docs, _: docs.select("document_id", F.lit("a").alias("value"))), W.Stage("two", lambda docs, out: out["one"].join(docs, "document_id", "left_semi").select("document_id", F.concat("value", F.lit("b")).alias("value")))]
+def test_documents_of_no_or_too_many_chunks_are_refused(spark):
     docs = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", "1")], "document_id string, content_fp string")
-    left = W.run_chain(docs, stages, held, keep, slice_documents=2)
-    assert [r[0] for r in left.collect()] == ["z"]
-    assert sorted((r.document_id, r.value) for r in held["two"].collect()) == [("x", "ab"), ("y", "ab")]
-    assert W.run_chain(docs, stages, held, keep).isEmpty()
-    changed = docs.replace("1", "2", "content_fp").where("document_id = 'x'").unionByName(docs.where("document_id <> 'x'"))
-    assert W.run_chain(changed, stages, held, keep, slice_documents=1).isEmpty()
-    assert held["two"].count() == 3
     children = spark.createDataFrame([("x",), ("x",), ("y",)], "document_id string")
     codes = W.refused(docs, children, most=1)
     assert sorted(tuple(r) for r in codes.collect()) == [("x", "TOO_MANY_CHUNKS"), ("z", "NO_EXTRACTABLE_TEXT")]
