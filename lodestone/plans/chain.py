@@ -1,7 +1,7 @@
 """A chain of stages over documents that takes up where it was cut short.
 
-Each stage has two tables of Parquet files that are only added to, a folder for each run: its rows, and a ledger with an
-entry for each document it was run for. Both carry ``input_fp``, made of the stage and of what the stages before it put
+Each stage's rows, and a ledger with an entry for each document a stage was run for, are Parquet files that are only added
+to, a folder for each run. Both carry ``input_fp``, made of the stage and of what the stages before it put
 out for the document, so a change anywhere makes all after it stale, and stale rows are never read: nothing
 has to be deleted first. Rows count from when they are written, whatever becomes of their run.
 
@@ -18,9 +18,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.sources.objects import list_names
+from lodestone.sources.objects import delete, list_names
 
-LEDGER = "document_id string, input_fp string, output_fp string, units long, made long, state string, run int"
+LEDGER = "document_id string, input_fp string, output_fp string, units long, made long, state string, stage string, run int"
 DONE, EMPTY, PARTIAL = "DONE", "EMPTY", "PARTIAL"
 
 
@@ -62,62 +62,62 @@ class Chain:
 
     # -- tables
 
-    def _runs(self, stage: Stage, table: str) -> list[str]:
-        return [n for n in list_names(self.spark, f"{self.root}/{stage.name}/{table}") if n.startswith("run=")]
+    def _rows_path(self, stage: Stage) -> str:
+        return f"{self.root}/{stage.name}"
 
     def _next_run(self) -> int:
-        runs = [int(n.partition("=")[2]) for s in self.stages for t in ("rows", "ledger") for n in self._runs(s, t)]
-        return 1 + max(runs, default=0)
-
-    def _table(self, stage: Stage, table: str, schema: str) -> DataFrame:
-        if not self._runs(stage, table):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{stage.name}/{table}")
+        names = [n for s in self.stages for n in list_names(self.spark, self._rows_path(s))] + list_names(self.spark, f"{self.root}/_slices")
+        return 1 + max((int(n.partition("=")[2]) for n in names if n.startswith("run=")), default=0)
 
     def _all_rows(self, stage: Stage) -> DataFrame:
-        return self._table(stage, "rows", f"{stage.schema}, input_fp string, run int")
+        schema = f"{stage.schema}, input_fp string, run int"
+        if not list_names(self.spark, self._rows_path(stage)):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self._rows_path(stage))
 
-    def ledger(self, name: str) -> DataFrame:
-        """The last entry of each document."""
-        entries = self._table(self._stage(name), "ledger", LEDGER)
-        last = entries.groupBy("document_id").agg(F.max_by(F.struct(*entries.columns), "run").alias("last"))
-        return last.select("last.*")
+    def _entries(self) -> DataFrame:
+        return self.spark.read.schema(LEDGER).parquet(f"{self.root}/_ledger") if list_names(self.spark, f"{self.root}/_ledger") else self.spark.createDataFrame([], LEDGER)
 
-    def _stage(self, name: str) -> Stage:
-        return next(s for s in self.stages if s.name == name)
+    def _last(self) -> DataFrame:
+        """For each document, the last entry of each stage as a struct under the stage's name: one aggregation for all stages."""
+        entry = F.struct("input_fp", "output_fp", "units", "made", "state", "run")
+        return self._entries().groupBy("document_id").agg(*(F.max_by(entry, F.when(F.col("stage") == s.name, F.col("run"))).alias(s.name) for s in self.stages))
 
     def rows(self, name: str) -> DataFrame:
         """What counts of a stage's rows, with ``input_fp`` and the ``run`` that made them: those of each document's last input."""
-        current = self.ledger(name).select("document_id", "input_fp")
-        return self._all_rows(self._stage(name)).join(current, ["document_id", "input_fp"], "left_semi")
+        current = self._last().select("document_id", F.col(f"{name}.input_fp").alias("input_fp")).where("input_fp IS NOT NULL")
+        return self._all_rows(next(s for s in self.stages if s.name == name)).join(current, ["document_id", "input_fp"], "left_semi")
+
+    def outcomes(self) -> DataFrame:
+        """``(stage, document_id, state, units, made, run)``: how far each document has come."""
+        last = self._last()
+        each = F.array(*(F.struct(F.lit(s.name).alias("stage"), F.col(s.name).alias("last")) for s in self.stages))
+        return last.select("document_id", F.inline(each)).where("last IS NOT NULL").select("stage", "document_id", "last.state", "last.units", "last.made", "last.run")
 
     # -- what is due
 
-    def _expected(self, stage: Stage, known: DataFrame) -> DataFrame:
-        """``known`` with the fingerprint of the stage's input; null where a stage before it is not complete."""
-        outs = [F.col("content_fp") if r == "documents" else F.col(f"out_{r}") for r in stage.reads]
-        whole = F.sha2(F.concat_ws("|", F.lit(stage.name), F.lit(stage.version), *outs), 256)
-        all_there = outs[0].isNotNull()
-        for o in outs[1:]:
-            all_there = all_there & o.isNotNull()
-        return known.withColumn("expected", F.when(all_there, whole))
-
-    def _with_outputs(self, known: DataFrame, stage: Stage) -> DataFrame:
-        """``known`` after a stage: ``out_<name>`` where it is complete for its input as it is now, and the run that last tried the document."""
-        entry = self.ledger(stage.name).select("document_id", "input_fp", "output_fp", "state", "run")
-        joined = self._expected(stage, known).join(entry, "document_id", "left")
-        complete = (F.col("input_fp") == F.col("expected")) & (F.col("state") != PARTIAL)
-        return joined.withColumn(f"out_{stage.name}", F.when(complete, F.col("output_fp"))).withColumn("tried", F.greatest("tried", "run")).drop("expected", "input_fp", "output_fp", "state", "run")
+    def _expected(self) -> dict[str, Column]:
+        """For each stage the fingerprint of a document's input, made of what the stages before put out; null where one is not complete."""
+        outs, found = {"documents": F.col("content_fp")}, {}
+        for s in self.stages:
+            parts = [outs[r] for r in s.reads]
+            found[s.name] = F.when(F.concat(*parts).isNotNull(), F.sha2(F.concat_ws("|", F.lit(s.name), F.lit(s.version), *parts), 256))
+            outs[s.name] = F.when(self._complete(s, found[s.name]), F.col(f"{s.name}.output_fp"))
+        return found
+
+    @staticmethod
+    def _complete(stage: Stage, expected: Column) -> Column:
+        return F.coalesce((F.col(f"{stage.name}.input_fp") == expected) & (F.col(f"{stage.name}.state") != PARTIAL), F.lit(False))
 
     def behind(self, documents: DataFrame) -> DataFrame:
-        """``(document_id, tried)`` of ``documents(document_id, content_fp, ...)`` that some stage is not complete for; ``tried`` is the last run that had it."""
-        known = documents.select("document_id", "content_fp", F.lit(None).cast("int").alias("tried"))
-        for stage in self.stages:
-            known = self._with_outputs(known, stage)
+        """``documents(document_id, content_fp)`` that some stage is not complete for, with their last entries and ``tried``, the last run that had them."""
+        expected = self._expected()
         complete = F.lit(True)
-        for stage in self.stages:
-            complete = complete & F.col(f"out_{stage.name}").isNotNull()
-        return known.where(~complete).select("document_id", "tried")
+        for s in self.stages:
+            complete = complete & self._complete(s, expected[s.name])
+        runs = [F.col(f"{s.name}.run") for s in self.stages]
+        known = documents.select("document_id", "content_fp").join(self._last(), "document_id", "left").where(~complete)
+        return known.withColumn("tried", F.greatest(*runs, F.lit(0)))
 
     # -- a run
 
@@ -130,48 +130,57 @@ class Chain:
         """
         chosen = self.behind(documents)
         if slice_documents is not None:
-            chosen = chosen.orderBy(F.asc_nulls_first("tried"), "document_id").limit(slice_documents)
+            chosen = chosen.orderBy("tried", "document_id").limit(slice_documents)
         run = self._next_run()
-        picked = f"{self.root}/_slices/run={run:06d}"
-        chosen.select("document_id").write.mode("overwrite").parquet(picked)
-        chosen = self.spark.read.schema("document_id string").parquet(picked)
-        if chosen.isEmpty():
+        state = self._kept(chosen, run, "begin")
+        if state.isEmpty():
+            delete(self.spark, f"{self.root}/_slices/run={run:06d}")
             return 0
-        docs = documents.join(chosen, "document_id", "left_semi")
-        for k, stage in enumerate(self.stages):
-            self._run_stage(stage, docs, self.stages[:k], run)
+        docs = documents.join(state.select("document_id"), "document_id", "left_semi")
+        for stage in self.stages:
+            state = self._run_stage(stage, docs, state, run)
         return run
 
-    def _run_stage(self, stage: Stage, docs: DataFrame, before: Sequence[Stage], run: int) -> None:
-        known = docs.select("document_id", "content_fp", F.lit(None).cast("int").alias("tried"))
-        for s in before:
-            known = self._with_outputs(known, s)
-        expected = self._expected(stage, known).where("expected IS NOT NULL").select("document_id", F.col("expected").alias("input_fp"))
-        entry = self.ledger(stage.name).where(F.col("state") != PARTIAL).select("document_id", "input_fp")
-        due = expected.join(entry, ["document_id", "input_fp"], "left_anti")
-        inputs = {n: (docs if n == "documents" else self.rows(n).drop("input_fp", "run")).join(due, "document_id", "left_semi") for n in stage.reads}
-        key = ["document_id", *stage.key]
-        wanted = inputs[stage.reads[0]].select(key).distinct()
-        had = self._all_rows(stage).join(due, ["document_id", "input_fp"], "left_semi").select(key).distinct()
-        todo = dict(inputs)
-        todo[stage.reads[0]] = inputs[stage.reads[0]].join(had, key, "left_anti")
-        columns = [f.name for f in self.spark.createDataFrame([], stage.schema).schema]
-        made = stage.run(todo).select(columns).join(todo[stage.reads[0]].select(key).distinct(), key, "left_semi").join(due, "document_id")
-        made.write.mode("overwrite").parquet(f"{self.root}/{stage.name}/rows/run={run:06d}")
-        now = self._all_rows(stage).join(due, ["document_id", "input_fp"], "left_semi")
-        done = now.groupBy("document_id").agg(row_fingerprint(columns).alias("output_fp"), F.count_distinct(*stage.key).alias("made") if stage.key else F.lit(1).cast("long").alias("made"))
-        asked = wanted.groupBy("document_id").agg(F.count("*").alias("units"))
-        counts = due.join(asked, "document_id", "left").join(done, "document_id", "left").withColumns({"units": F.coalesce("units", F.lit(0)), "made": F.coalesce("made", F.lit(0))})
-        short = F.col("made") < F.col("units") if stage.key else F.lit(False)
-        state = F.when(F.col("output_fp").isNull() & ~short, EMPTY).when(short, PARTIAL).otherwise(DONE)
-        out = F.when(state == EMPTY, F.sha2(F.concat(F.lit("nothing|"), "input_fp"), 256)).otherwise(F.col("output_fp"))
-        entries = counts.select("document_id", "input_fp", out.alias("output_fp"), "units", "made", state.alias("state"))
-        entries.write.mode("overwrite").parquet(f"{self.root}/{stage.name}/ledger/run={run:06d}")
-
-    def outcomes(self) -> DataFrame:
-        """``(stage, document_id, state, units, made, run)``: how far each document has come."""
-        out = None
-        for s in self.stages:
-            rows = self.ledger(s.name).select(F.lit(s.name).alias("stage"), "document_id", "state", "units", "made", "run")
-            out = rows if out is None else out.unionByName(rows)
-        return out
+    def _kept(self, state: DataFrame, run: int, after: str) -> DataFrame:
+        """The slice's state, written: what a stage was run for is not computed again from tables that have grown meanwhile."""
+        path = f"{self.root}/_slices/run={run:06d}/{after}"
+        state.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(state.schema).parquet(path)
+
+    def _run_stage(self, stage: Stage, docs: DataFrame, state: DataFrame, run: int) -> DataFrame:
+        expected = self._expected()[stage.name]
+        due = state.where(expected.isNotNull() & ~self._complete(stage, expected)).withColumn("input_fp", expected)
+        ids, key = due.select("document_id", "input_fp"), ["document_id", *stage.key]
+        of = {s.name: s for s in self.stages}
+
+        def given(name: str) -> DataFrame:
+            if name == "documents":
+                return docs.join(ids, "document_id", "left_semi")
+            wanted = due.select("document_id", F.col(f"{name}.input_fp").alias("input_fp"))
+            return self._all_rows(of[name]).join(wanted, ["document_id", "input_fp"], "left_semi").drop("input_fp", "run")
+
+        inputs = {name: given(name) for name in stage.reads}
+        units = inputs[stage.reads[0]]
+        had = self._all_rows(stage).join(ids, ["document_id", "input_fp"], "left_semi").select(key)
+        todo = units.join(had, key, "left_anti")
+        columns = [c for c in self._all_rows(stage).columns if c not in ("input_fp", "run")]
+        made = stage.run({**inputs, stage.reads[0]: todo}).select(columns)
+        asked_for = made.join(todo.select(key), key, "left_semi") if stage.key else made  # a document that was not given is no part of ids
+        asked_for.join(ids, "document_id").write.mode("overwrite").parquet(f"{self._rows_path(stage)}/run={run:06d}")
+
+        now = self._all_rows(stage).join(ids, ["document_id", "input_fp"], "left_semi")
+        count = F.count_distinct(*stage.key) if stage.key else F.lit(1).cast("long")
+        done = now.groupBy("document_id").agg(row_fingerprint(columns).alias("output_fp"), count.alias("made"))
+        wanted = (units.select(key).distinct() if stage.key else ids).groupBy("document_id").agg(F.count("*").alias("units"))
+        counts = ids.join(wanted, "document_id", "left").join(done, "document_id", "left").withColumns({"units": F.coalesce("units", F.lit(0).cast("long")), "made": F.coalesce("made", F.lit(0).cast("long"))})
+        nothing = F.col("output_fp").isNull()
+        outcome = F.when((F.col("made") < F.col("units")) & F.lit(bool(stage.key)), PARTIAL).when(nothing, EMPTY).otherwise(DONE)
+        out = F.when(nothing, F.sha2(F.concat(F.lit("nothing|"), "input_fp"), 256)).otherwise(F.col("output_fp"))
+        entries = counts.select("document_id", "input_fp", out.alias("output_fp"), "units", "made", outcome.alias("state"))
+        path = f"{self.root}/_ledger/stage={stage.name}/run={run:06d}"
+        entries.write.mode("overwrite").parquet(path)
+        written = self.spark.read.schema(entries.schema).parquet(path).select("document_id", F.struct("input_fp", "output_fp", "units", "made", "state", F.lit(run).alias("run")).alias("_new"))
+        if stage is self.stages[-1]:
+            return state
+        joined = state.join(written, "document_id", "left")
+        return self._kept(joined.withColumn(stage.name, F.coalesce("_new", stage.name)).drop("_new"), run, stage.name)

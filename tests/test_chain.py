@@ -125,7 +125,7 @@ def test_rows_of_a_run_that_died_count(spark, tmp_path):
         chain.advance(docs_of(spark, a="1"))
     import shutil
 
-    shutil.rmtree(tmp_path / "answers" / "ledger")  # as if it had died a moment earlier
+    shutil.rmtree(tmp_path / "_ledger" / "stage=answers")  # as if it had died a moment earlier
     calls.append(None)
     chain.advance(docs_of(spark, a="1"))
     assert calls == [3, None, 0]
