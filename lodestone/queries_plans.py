@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.keyword import terms
+from lodestone.operators.knn import knn_batch
 from lodestone.operators.text_index import TextIndex
+from lodestone.operators.vector_index import MAX_CELLS, VectorIndex, recall
 from lodestone.plans.chain import Chain, Stage
-from lodestone.queries import CHUNKS_SQL, _chunks, query, table
+from lodestone.queries import BATCH_SQL, CHUNKS_SQL, _chunks, query, table
 from lodestone.sources.scratch import fresh
 
 # -- The stage chain --------------------------------------------------------------------------------------------------
@@ -76,3 +78,30 @@ def keyword_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same under each document's own configuration: English ones by stems, others by words. The stems have no SQL; tests hold them and the search against brute force."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("language"))
     return TextIndex.build(docs, fresh(spark, "text-index")).search(_quoted(spark, sf_dir)).select("q_id", "doc_id", "score", "rank")
+
+
+# -- The vector index -------------------------------------------------------------------------------------------------
+
+RECALL = 0.95
+
+
+def _every_50th(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    corpus = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return corpus, corpus.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
+
+
+@query(BATCH_SQL)
+def knn_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 from the index, all cells probed: the exact way."""
+    corpus, questions = _every_50th(spark, sf_dir)
+    index = VectorIndex.build(corpus, fresh(spark, "vector-index"))
+    return index.search(questions, 10, MAX_CELLS).select("q_id", "vec_id", "score", "rank")
+
+
+@query()
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 from the index, as many cells as the wanted recall takes; which neighbours are missed has no SQL. ``hits`` of ``wanted`` are found."""
+    corpus, questions = _every_50th(spark, sf_dir)
+    index = VectorIndex.build(corpus, fresh(spark, "vector-index"))
+    found = index.search(questions, 10, index.probes_for(questions, RECALL))
+    return found.join(recall(found, knn_batch(questions, corpus, 10)), "q_id").select("q_id", "vec_id", "score", "rank", "hits", "wanted")
