@@ -6,14 +6,16 @@ so a changed input makes everything after it stale, and nothing has to be delete
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.language import detect_language
 from lodestone.functions.outline import sections
-from lodestone.functions.text import contextualize, sanitize, word_count
+from lodestone.functions.text import contextualize, sanitize
 from lodestone.functions.vectors import well_formed
-from lodestone.operators.chunking import CHILD, DROP_BELOW, PARENT, kept, pack, parent_chunks
+from lodestone.operators.chunking import CHILD, DROP_BELOW, PARENT, kept_counted, pack_counted, parent_chunks
 from lodestone.operators.ingest import fingerprint, positional_join, replace_documents, stale
 from lodestone.plans.chain import Chain, Stage
 from lodestone.plans.providers import Embedder, Enricher, embed, enrich, stub_enricher
@@ -21,29 +23,33 @@ from lodestone.plans.providers import Embedder, Enricher, embed, enrich, stub_en
 MAX_CHUNKS = 5000
 
 
-def structure(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Pieces of a text, least and most tokens, as (content, token_count): by words, or by a tokenizer's tokens (``functions.tokens.token_packer``).
+Packing = Callable[[Column, int, int], Column]
+
+
+def structure(parsed: DataFrame, packing: Packing = pack_counted) -> tuple[DataFrame, DataFrame]:
     """Parents and children of ``parsed(document_id, pages array<struct<page, markdown, ...>>)``: see ``parents_of`` and ``children_of``."""
-    parents = parents_of(parsed)
-    return parents, children_of(parents)
+    parents = parents_of(parsed, packing)
+    return parents, children_of(parents, packing)
 
 
-def parents_of(parsed: DataFrame) -> DataFrame:
+def parents_of(parsed: DataFrame, packing: Packing = pack_counted) -> DataFrame:
     """document_id, chunk_index, content, token_count, page_start, page_end, heading_path, language. Numbers are dense over what is kept, in document order."""
     cleaned = F.transform(F.array_sort(F.col("pages")), lambda p: sanitize(p["markdown"]))
     numbers = parsed.select("document_id", F.transform(F.array_sort(F.col("pages")), lambda p: p["page"]).alias("numbers"))
     split = sections(parsed, cleaned).join(numbers, "document_id").withColumn("page_number", F.get("numbers", F.col("page") - 1)).drop("numbers")
-    pieces = split.select("document_id", "page", "section", "page_number", "heading_path", F.posexplode(kept(pack(F.col("body"), *PARENT))).alias("piece", "content"))
+    pieces = split.select("document_id", "page", "section", "page_number", "heading_path", F.posexplode(kept_counted(packing(F.col("body"), *PARENT))).alias("piece", "packed"))
     place = Window.partitionBy("document_id").orderBy("page", "section", "piece")
     parents = pieces.withColumn("chunk_index", (F.row_number().over(place) - 1).cast("long"))
-    return parents.select("document_id", "chunk_index", "content", word_count(F.col("content")).cast("long").alias("token_count"), F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), "heading_path", detect_language(F.col("content")).alias("language"))
+    return parents.select("document_id", "chunk_index", "packed.content", F.col("packed.token_count").cast("long").alias("token_count"), F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), "heading_path", detect_language(F.col("packed.content")).alias("language"))
 
 
-def children_of(parents: DataFrame) -> DataFrame:
+def children_of(parents: DataFrame, packing: Packing = pack_counted) -> DataFrame:
     """document_id, parent_index, chunk_index, content, token_count, page_number, heading_path, language, numbered like parents."""
-    owned = parents.select("document_id", F.col("chunk_index").alias("parent_index"), F.posexplode(kept(pack(F.col("content"), *CHILD), DROP_BELOW)).alias("piece", "content"), F.col("page_start").alias("page_number"), "heading_path", "language")
+    owned = parents.select("document_id", F.col("chunk_index").alias("parent_index"), F.posexplode(kept_counted(packing(F.col("content"), *CHILD))).alias("piece", "packed"), F.col("page_start").alias("page_number"), "heading_path", "language")
     order = Window.partitionBy("document_id").orderBy("parent_index", "piece")
     children = owned.withColumn("chunk_index", (F.row_number().over(order) - 1).cast("long"))
-    return children.select("document_id", "parent_index", "chunk_index", "content", word_count(F.col("content")).cast("long").alias("token_count"), "page_number", "heading_path", "language")
+    return children.select("document_id", "parent_index", "chunk_index", "packed.content", F.col("packed.token_count").cast("long").alias("token_count"), "page_number", "heading_path", "language")
 
 
 def without_text(documents: DataFrame, children: DataFrame) -> DataFrame:
@@ -118,7 +124,7 @@ def stored(parents: DataFrame, children: DataFrame, documents: DataFrame, refusa
     return rows.unionByName(fill(state, "document", status=status)).select(names)
 
 
-def ingest_chain(spark: SparkSession, root: str, dim: int, enricher: Enricher = stub_enricher, embedder: Embedder | None = None, max_chunks: int = MAX_CHUNKS) -> Chain:
+def ingest_chain(spark: SparkSession, root: str, dim: int, enricher: Enricher = stub_enricher, embedder: Embedder | None = None, max_chunks: int = MAX_CHUNKS, packing: Packing = pack_counted) -> Chain:
     """From ``documents(document_id, content_fp, title, pages)`` to stored rows, in stages that can each be cut short.
 
     Chunks are enriched and embedded one by one as far as their providers let; a document is stored once both are whole.
@@ -136,8 +142,8 @@ def ingest_chain(spark: SparkSession, root: str, dim: int, enricher: Enricher =
 
     chunk = ("chunk_index",)
     return Chain(spark, root, [
-        Stage("parents", lambda t: parents_of(t["documents"]), PARENTS),
-        Stage("children", lambda t: children_of(t["parents"]), CHILDREN, ("parents",)),
+        Stage("parents", lambda t: parents_of(t["documents"], packing), PARENTS),
+        Stage("children", lambda t: children_of(t["parents"], packing), CHILDREN, ("parents",)),
         Stage("enriched", lambda t: enrich(t["children"], None, enricher), "document_id string, chunk_index long, context string, category string", ("children",), chunk),
         Stage("vectors", vectors, "document_id string, chunk_index long, embedding array<float>", ("children", "enriched", "documents"), chunk),
         Stage("stored", store, STORED, ("documents", "parents", "children", "enriched", "vectors")),

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.language import STOP_WORDS, detect_language
+from lodestone.functions.language_model import LanguageModel
+from lodestone.functions.tokens import bpe_counter, token_packer
+from lodestone.operators.chunking import CHILD, kept_counted
 from lodestone.operators.keyword import terms
 from lodestone.operators.knn import knn_batch
 from lodestone.operators.text_index import TextIndex
@@ -12,6 +16,7 @@ from lodestone.operators.vector_index import MAX_CELLS, VectorIndex, recall
 from lodestone.plans.chain import Chain, Stage
 from lodestone.queries import BATCH_SQL, CHUNKS_SQL, _chunks, query, table
 from lodestone.sources.scratch import fresh
+from lodestone.sources.tables import spread
 
 # -- The stage chain --------------------------------------------------------------------------------------------------
 
@@ -105,3 +110,32 @@ def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = VectorIndex.build(corpus, fresh(spark, "vector-index"))
     found = index.search(questions, 10, index.probes_for(questions, RECALL))
     return found.join(recall(found, knn_batch(questions, corpus, 10)), "q_id").select("q_id", "vec_id", "score", "rank", "hits", "wanted")
+
+
+# -- Tokens -----------------------------------------------------------------------------------------------------------
+
+#: A file of the installed public tokenizers; a parameter of the functions.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query()
+def chunk_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Child-sized pieces of every document, in BPE tokens. A tokenizer has no SQL; tests hold the pieces against packing word by word."""
+    import public_tokenizers
+
+    packing = token_packer(bpe_counter(public_tokenizers.path(TOKENIZER)))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = docs.select("doc_id", F.posexplode(kept_counted(packing(F.col("text"), *CHILD))).alias("chunk_index", "piece"))
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("piece.token_count").cast("long").alias("token_count"), "piece.content")
+
+
+# -- Language ---------------------------------------------------------------------------------------------------------
+
+
+@query()
+def language_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the language of every document by a trigram model that learned from four fifths of them, beside that by function words. A model has no SQL; tests hold its accuracy on the last fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = LanguageModel.learn(docs.where(~held_out))
+    return spread(docs).select("doc_id", "lang", held_out.alias("held_out"), model.detect(F.col("text")).alias("by_trigrams"), detect_language(F.col("text"), tuple(STOP_WORDS)).alias("by_words"))
