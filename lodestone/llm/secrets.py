@@ -4,15 +4,19 @@ Base spans come from three patterns. Beyond them, runs in the base64 or hex alph
 are candidates, and each is decoded and parsed before it is reported:
 
 * ``jwt``: the header decodes to a JSON object that names an algorithm, the claims to a JSON object;
-* ``pem``: the block's body decodes to a private key as below or to OpenSSH's container;
+* ``pem``: the block's body decodes to a private key as below or to OpenSSH's container, or the block has the headers
+  of an encrypted one and whole cipher blocks;
 * ``key``: the bytes are a DER private key (PKCS#1, PKCS#8, plain or encrypted, or SEC 1) whose nested lengths fill it
   exactly;
 * ``ssh``: the bytes are length-prefixed fields that fill it exactly, the first an SSH key type, or OpenSSH's container
   of them;
 * ``encoded``: the bytes are UTF-8 text in which a base pattern finds a secret.
 
-A run that is nothing as a whole is tried from each ``/``, ``-``, ``_``, ``+`` or ``=`` in it to its end or to the next
-one that is far enough; lines of 40 to 80 characters of base64 that follow each other are tried as one run.
+A run that is nothing as a whole is tried from its start and from behind each ``/``, ``-``, ``_``, ``+`` or ``=`` in it.
+What stands there says where it ends: the outer length of a DER key, the lengths of SSH's fields, the first byte that is
+no UTF-8. Lengths are read from the few characters that hold them, and text is decoded once for each of the four ways
+base64 can be aligned, so the time grows with the run and not with its square. Lines of 40 to 80 characters of base64
+that follow each other are tried as one run.
 """
 
 from __future__ import annotations
@@ -40,11 +44,15 @@ ASSIGN_PARTS = ("passw", "secret", "token", "api")
 #: No shorter run encodes a base secret: 14 bytes, ``token=`` and 8 characters.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/=])([A-Za-z0-9+/]{40,80})(?:\r?\n[A-Za-z0-9+/]{40,80})*\r?\n[A-Za-z0-9+/]{1,80}={0,2}(?![A-Za-z0-9+/=])")
-JOINTS, LEAST_RUN, PROBE = re.compile(r"[/_+=-]"), 19, 16
+JOINTS, LEAST_RUN, PROBE = re.compile(r"[/_+=-]"), 19, 24
+#: Items of a DER sequence and fields of a container that are looked at; a private key has no more. Characters of text decoded at a time.
+ITEMS, PIECE = 64, 4_096
 ANY_HEX = re.compile(r"[0-9a-fA-F]+")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----\s*((?:[A-Za-z0-9-]+: [^\r\n]*\r?\n)*)([A-Za-z0-9+/=\s]+)-----END \1-----")
+CIPHER = re.compile(r"^Proc-Type: 4,ENCRYPTED\r?$.*^DEK-Info: ([A-Z0-9-]+),([0-9A-Fa-f]{16,32})\r?$", re.M | re.S)
+#: Key types, and the fields of a public key of each, its type among them.
+SSH_TYPES = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3}
 OPENSSH = b"openssh-key-v1\0"
 
 Span = tuple[int, int, str]
@@ -101,8 +109,8 @@ def is_private_key(raw: bytes) -> bool:
         return bool(algorithm) and [tag for tag, _ in algorithm] == [OID, SEQUENCE] and bool(der(algorithm[1][1])) and len(inner[1][1]) >= 16
     if tags[0] != INTEGER:
         return False
-    if tags[:9] == [INTEGER] * 9 and len(tags) == 9:
-        return True
+    if tags in ([INTEGER] * 9, [INTEGER] * 6):  # RSA, or DSA: version, p, q, g and the two keys
+        return len(tags) == 9 or (inner[0][1] == b"\0" and len(inner[1][1]) >= 64)
     if tags[1:3] == [SEQUENCE, OCTETS]:
         algorithm = der(inner[1][1])
         return bool(algorithm) and algorithm[0][0] == OID
@@ -139,6 +147,12 @@ def is_openssh(raw: bytes) -> bool:
     return bool(rest) and 0 < n == len(rest[0]) - 1 and all(is_ssh_key(public) for public in rest[0][:-1]) and len(rest[0][-1]) >= 8
 
 
+def is_enciphered(headers: str, raw: bytes) -> bool:
+    """The headers of an encrypted PEM block, and a body of whole cipher blocks."""
+    named = CIPHER.search(headers)
+    return bool(named) and len(raw) >= 16 and len(raw) % (len(named[2]) // 2) == 0
+
+
 def is_signed_token(token: str) -> bool:
     header, claims, _ = token.split(".")
     try:
@@ -162,35 +176,133 @@ def confirmed(raw: bytes | None) -> str | None:
         return None
 
 
-def _promising(run: str) -> bool:
-    """Whether the first bytes may be those of something that ``confirmed`` knows."""
-    if ANY_HEX.fullmatch(run[:PROBE]):
-        return True
-    raw = decoded(run[:PROBE])
-    if not raw or raw[0] == SEQUENCE or raw[:2] == b"\0\0":
-        return bool(raw)
-    try:
-        return bool(codecs.getincrementaldecoder("utf-8")().decode(raw))
-    except UnicodeDecodeError:
-        return False
+class Encoded:
+    """The bytes that stand in ``text`` from ``start`` to ``stop`` as base64 or hex, decoded only where they are asked for."""
+
+    def __init__(self, text: str, start: int, stop: int, hexadecimal: bool):
+        self.text, self.start, self.stop, self.hexadecimal = text, start, stop, hexadecimal
+        self.size = (stop - start) // 2 if hexadecimal else (stop - start) * 3 // 4
+
+    def read(self, a: int, b: int) -> bytes:
+        """Bytes ``a`` to ``b``, fewer at the end."""
+        if self.hexadecimal:
+            return bytes.fromhex(self.text[self.start + 2 * a : min(self.start + 2 * b, self.start + 2 * self.size)])
+        first = self.start + a // 3 * 4
+        body = self.text[first : min(first + -(-(b - a // 3 * 3) // 3) * 4, self.stop)].rstrip("=").replace("-", "+").replace("_", "/")
+        body = body[:-1] if len(body) % 4 == 1 else body
+        return base64.b64decode(body + "=" * (-len(body) % 4))[a % 3 :][: b - a]
+
+    def place(self, n: int) -> int:
+        """Where the first ``n`` bytes end in the text, padding included."""
+        if self.hexadecimal:
+            return self.start + 2 * n
+        end = self.start + -(-n * 4 // 3)
+        while end < self.stop and self.text[end] == "=":
+            end += 1
+        return end
+
+    def item(self, at: int) -> tuple[int, int, int] | None:
+        """Tag, start and end of the DER item at a byte."""
+        head = self.read(at, at + 6)
+        if len(head) < 2:
+            return None
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        if n > 4 or (head[1] & 0x80 and not n) or len(head) < 2 + n:
+            return None
+        start = at + 2 + n
+        return head[0], start, start + (int.from_bytes(head[2 : 2 + n]) if n else head[1])
+
+    def word(self, at: int) -> int:
+        raw = self.read(at, at + 4)
+        return int.from_bytes(raw) if len(raw) == 4 else 1 << 40
+
+
+def key_end(raw: Encoded) -> int | None:
+    """The bytes of the DER private key that stands here, by its lengths; None where its items don't fill it."""
+    outer = raw.item(0)
+    if outer is None or outer[0] != SEQUENCE or not 16 <= outer[2] <= raw.size:
+        return None
+    at, tags = outer[1], []
+    while at < outer[2] and len(tags) < ITEMS:
+        item = raw.item(at)
+        if item is None or item[2] > outer[2]:
+            return None
+        tags.append(item[0])
+        at = item[2]
+        if tags[0] not in (INTEGER, SEQUENCE) or tags[1:2] not in ([], [INTEGER], [SEQUENCE], [OCTETS]):
+            return None
+    return outer[2] if at == outer[2] else None
+
+
+def ssh_end(raw: Encoded) -> int | None:
+    """The bytes of the public key or of OpenSSH's container that stands here, by the lengths of its fields."""
+
+    def after(at: int, fields: int) -> int:
+        for _ in range(fields):
+            at += 4 + raw.word(at)
+        return at
+
+    if raw.read(0, len(OPENSSH)) == OPENSSH:
+        at = after(len(OPENSSH), 3)
+        n = raw.word(at)
+        end = after(at + 4, n + 1) if 0 < n < ITEMS else raw.size + 1
+    else:
+        n = raw.word(0)
+        fields = SSH_TYPES.get(raw.read(4, 4 + n)) if n <= 19 else None
+        end = after(0, fields) if fields else raw.size + 1
+    return end if end <= raw.size else None
+
+
+def text_from(raw: Encoded) -> tuple[str, int]:
+    """The UTF-8 text that stands here up to the first byte that is none, and how many bytes it has."""
+    read, parts, n = codecs.getincrementaldecoder("utf-8")(), [], 0
+    for at in range(0, raw.size, PIECE):
+        piece = raw.read(at, at + PIECE)
+        try:
+            parts.append(read.decode(piece))
+            n += len(piece)
+        except UnicodeDecodeError as e:
+            held = len(e.object) - len(piece)  # what the piece before left over
+            parts.append(e.object[: e.start].decode())
+            return "".join(parts), n + e.start - held
+    return "".join(parts), n - len(read.getstate()[0])
 
 
 def run_spans(text: str, start: int, stop: int) -> list[Span]:
-    """The run itself if it is confirmed; else what is from one of its joints to its end or to another joint."""
+    """The run itself if it is confirmed; else what stands at its start or behind one of its joints, as far as it says it goes."""
     if kind := confirmed(decoded(text[start:stop])):
         return [(start, stop, kind)]
-    cuts = [m.start() for m in JOINTS.finditer(text, start, stop)]
     found: list[Span] = []
-    reached = start
-    for a in [start, *(c + 1 for c in cuts)]:
-        if a < reached or stop - a < LEAST_RUN or not _promising(text[a:stop]):
+    reached, seen = start, [start] * 4  # up to where text has been looked at, for each alignment
+    hex_upto = start
+    for a in [start, *(m.end() for m in JOINTS.finditer(text, start, stop))]:
+        if a < reached or stop - a < LEAST_RUN:
             continue
-        later = next((c for c in cuts if c >= a + LEAST_RUN), stop)
-        for b in dict.fromkeys((stop, later)):
-            if b - a >= LEAST_RUN and (a, b) != (start, stop) and (kind := confirmed(decoded(text[a:b]))):
-                found.append((a, b, kind))
-                reached = b
+        ways = [Encoded(text, a, stop, False)]
+        if ANY_HEX.fullmatch(text, a, min(a + PROBE, stop)) and a >= hex_upto:
+            hex_upto = ANY_HEX.match(text, a, stop).end()
+            ways.insert(0, Encoded(text, a, hex_upto, True))
+        for raw in ways:
+            head = raw.read(0, 16)
+            end = key_end(raw) if head[:1] == bytes([SEQUENCE]) else ssh_end(raw) if head[:2] == b"\0\0" or head[:15] == OPENSSH else None
+            if end is not None and (kind := confirmed(decoded(text[a : raw.place(end)]))) in ("key", "ssh"):
+                found.append((a, raw.place(end), kind))
+                reached = raw.place(end)
                 break
+            if raw.hexadecimal or a >= seen[a % 4]:
+                said, n = text_from(raw)
+                b = raw.place(n)
+                if not raw.hexadecimal:
+                    seen[a % 4] = b
+                if spans := base_spans(said):
+                    ends = raw.place(len(said[: max(y for _, y, _ in spans)].encode()))
+                    joint = JOINTS.search(text, max(ends - 3, a + LEAST_RUN), b)  # without padding, a tail may read on as text
+                    if joint and confirmed(decoded(text[a : joint.start()])) == "encoded":
+                        b = joint.start()
+                    if b - a >= LEAST_RUN:
+                        found.append((a, b, "encoded"))
+                        reached = b
+                        break
     return found
 
 
@@ -215,8 +327,8 @@ def secret_spans(text: str) -> list[Span]:
         found += [(*m.span(), "jwt") for m in TOKEN.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN" in text:
         for m in PEM.finditer(text):
-            raw = decoded("".join(m[2].split()))
-            if raw and (is_private_key(raw) or is_openssh(raw)):
+            raw = decoded("".join(m[3].split()))
+            if raw and (is_enciphered(m[2], raw) if m[2] else is_private_key(raw) or is_openssh(raw)):
                 found.append((*m.span(), "pem"))
     whole = [s for s in found if s[2] == "pem"]
     if runs and "\n" in text:

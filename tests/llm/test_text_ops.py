@@ -7,6 +7,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -219,6 +220,59 @@ def test_encrypted_keys_wrapped_lines_and_glued_runs():
     assert kinds("averyverylongwordthatisnosecretatallbutlong" * 2) == []
 
 
+RSA = tlv(0x30, tlv(2, b"\0") + b"".join(tlv(2, random.Random(i).randbytes(64)) for i in range(8)))
+DSA = tlv(0x30, tlv(2, b"\0") + tlv(2, bytes([9]) * 128) + b"".join(tlv(2, bytes([i]) * 20) for i in range(1, 5)))
+
+
+def test_keys_end_where_they_say():
+    rng = random.Random(4)
+    for i in range(60):
+        raw = tlv(0x30, tlv(2, b"\0") + b"".join(tlv(2, rng.randbytes(rng.randint(30, 70))) for _ in range(8)))
+        for encode in (base64.b64encode, base64.urlsafe_b64encode):
+            key = encode(raw).decode().rstrip("=")
+            for before, after in (("", ""), ("/v1/", ""), ("/v1/", "/tail"), ("", "/tail/of/path"), ("some-long-name_", "-x" * 20)):
+                if encode is base64.b64encode or (set("-_") & set(key) and "/" not in before + after):
+                    assert (len(before), len(before) + len(key), "key") in S.secret_spans(before + key + after), (i, before, after)
+    for raw, kind in ((PKCS8, "key"), (SEC1, "key"), (DSA, "key"), (SSH, "ssh"), (container(), "ssh")):
+        for code in (base64.b64encode(raw).decode().rstrip("="), raw.hex()):
+            assert (4, 4 + len(code), kind) in S.secret_spans(f"/v1/{code}/tail")
+    assert kinds(f"/v1/{base64.b64encode(RSA[:-9]).decode()}/tail") == []  # what follows can stand for three bytes, not for nine
+    two = base64.b64encode(RSA).decode().rstrip("=")
+    assert [k for k in kinds(f"{two}/{two}-{two}") if k == "key"] == ["key"] * 3
+
+
+def test_encoded_secrets_against_a_search_of_all_ends():
+    """From each start, some end gives text with a base secret: then, and only then, there is a span from that start, unless one before covers it."""
+    rng = random.Random(9)
+    pieces = [base64.b64encode(x).decode().rstrip("=") for x in (b"the password=hunter2hunter2", b"token: 1234567890", b"nothing to see here at all", rng.randbytes(20), b"secret=abcdefgh\xff\xfe")]
+    for _ in range(150):
+        text = rng.choice("/_+-").join(rng.choices([*pieces, "tail", "v1", "a" * 7], k=rng.randint(1, 4)))
+        starts = [0, *(m.end() for m in S.JOINTS.finditer(text))]
+        can = {a for a in starts for b in range(a + S.LEAST_RUN, len(text) + 1) if S.confirmed(S.decoded(text[a:b])) == "encoded"}
+        got = [s for s in S.secret_spans(text) if s[2] == "encoded"]
+        assert {a for a, _, _ in got} <= can, text
+        assert all(any(a <= c < b for a, b, _ in got) for c in can), text
+
+
+def test_long_runs_take_linear_time():
+    rng = random.Random(2)
+    noise = base64.b64encode(rng.randbytes(1_500_000)).decode()
+    plain = base64.b64encode(b"?~?>o??~ plain words, and no more than that ?>" * 12_000).decode()
+    began = time.perf_counter()
+    assert "key" not in kinds(noise) and kinds(plain) == []
+    key = base64.b64encode(RSA).decode().rstrip("=")
+    assert (4 + 400_000, 4 + 400_000 + len(key), "key") in S.secret_spans("/v1/" + "ab1/" * 100_000 + key + "/" + noise)
+    assert time.perf_counter() - began < 60
+
+
+def test_enciphered_pem_blocks():
+    head = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    body = base64.encodebytes(bytes(range(160))).decode()
+    assert kinds(f"{head}{body}-----END RSA PRIVATE KEY-----") == ["pem"]
+    assert "pem" not in kinds(f"{head}{base64.encodebytes(bytes(150)).decode()}-----END RSA PRIVATE KEY-----")
+    assert "pem" not in kinds(f"{head.replace('4,ENCRYPTED', '4,CLEAR')}{body}-----END RSA PRIVATE KEY-----")
+
+
 def test_secret_scan(spark):
     docs = [(10, "token: abcdefgh"), *EDGES]
     rows = S.secret_scan(spark.createDataFrame([(*d, 0) for d in docs], f"{DOCS}, spans int")).collect()
