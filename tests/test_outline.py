@@ -137,3 +137,25 @@ def test_reading_pages(spark):
     read = spark.createDataFrame([("d", 1, "read"), ("s", 1, None)], "document_id string, page int, markdown string")
     got = {(r.document_id, r.page): (r.markdown[:4], r.source, r.confidence) for r in merge_read(pages, read).collect()}
     assert got == {("d", 1): ("read", "ocr", 1.0), ("d", 2): ("yyyy", "text", 1.0), ("s", 1): ("", "text", 0.0)}
+
+
+def test_rules_are_those_of_a_plain_search(spark):
+    """Kinds that count, and which stand apart, by trying all stretches of random sequences of headings."""
+    import random
+
+    from lodestone.operators.headings import rules
+
+    rng = random.Random(3)
+    docs = [(f"d{i}", [(rng.choice("abcd"), rng.random() < 0.6, rng.random() < 0.5) for _ in range(rng.randint(0, 14))], rng.random() < 0.8) for i in range(80)]
+    docs += [(f"nested{i}", [(k, True, True) for k in text], True) for i, text in enumerate(("abbabb", "abbabbcc", "abcbcabcbc", "aabbab", "abbabbcbcc", "bbaabbaa"))]
+    rows = [(d, any_md, place, k, md and any_md, dot) for d, hs, any_md in docs for place, (k, md, dot) in enumerate(hs)]
+    got = {r.d: (set(r.rules.kinds), set(r.rules.dotted), {tuple(p) for p in r.rules.apart}) for r in rules(spark.createDataFrame(rows, "d string, any_markdown boolean, place int, kind string, markdown boolean, dotted boolean").repartition(3), "d").collect()}
+    for d, hs, any_md in docs:
+        at = {k: [i for i, h in enumerate(hs) if h[0] == k] for k in "abcd"}
+        core = {k for k, p in at.items() if len(p) > 1 and (not any_md or any(hs[i][1] for i in p))}
+        kinds = core | {k for k, p in at.items() if core and len(p) > 1 and p[0] > max(at[c][-1] for c in core)}
+        splits = {(a, b) for a in kinds for b in kinds - {a} if any(sum(p < i < q for i in at[a]) > 1 for p, q in zip(at[b], at[b][1:], strict=False))}
+        divided = {(a, b) for a in kinds for b in kinds - {a} if (b, a) in splits and ((a, b) not in splits or at[a][0] < at[b][0])}
+        over = {(a, b) for a in kinds for b in kinds - {a} if at[a][0] > at[b][-1] and all(at[c][-1] < at[a][0] for c in kinds - {a, b} if (c, b) in splits)}
+        dotted = {k for k in kinds if sum(hs[i][2] for i in at[k]) * 2 > len(at[k])}
+        assert got.get(d, (set(), set(), set())) == (kinds, dotted, divided | over), (d, hs)
