@@ -128,7 +128,9 @@ class Engine:
         return I.list_documents(self.documents, limit, offset, where, (F.desc("created_at"), "document_id"))
 
     def document(self, document_id: str) -> DataFrame:
-        return self.documents.where(F.col("document_id") == document_id)
+        """The row of one document, from its bucket alone."""
+        bucket = self.spark.range(1).select(bucket_of(F.lit(document_id))).first()[0]
+        return self._read(DOCUMENTS, [self._newest("documents")[1].get(bucket, "")]).where(F.col("document_id") == document_id)
 
     def delete_document(self, document_id: str, tables: dict[str, str] | None = None) -> bool:
         """Whether there was such a document; its rows in ``tables`` (name to schema) go with it, raw files stay."""

@@ -39,6 +39,18 @@ def overlay(under: DataFrame, over: DataFrame, keys: Sequence[str], columns: Seq
     return joined.select(*(F.coalesce(f"_over_{c}", c).alias(c) if c in columns else F.col(c) for c in under.columns))
 
 
+#: Ids that are written into a filter; more are joined as a table.
+MAX_LISTED = 1_000
+
+
+def by_ids(rows: DataFrame, ids: Sequence[str | int], key: str = "document_id") -> DataFrame:
+    """The rows of some ids: none is read for an empty list, a short list is a filter that reaches the scan."""
+    some = sorted(set(ids))
+    if len(some) <= MAX_LISTED:
+        return rows.where(F.col(key).isin(some)) if some else rows.limit(0)
+    return rows.join(rows.sparkSession.createDataFrame([(i,) for i in some], f"{key} {rows.schema[key].dataType.simpleString()}"), key, "left_semi")
+
+
 def pending(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What is still to do: a stage that was cut short takes up there."""
     return wanted.join(done.select(*keys).distinct(), list(keys), "left_anti")

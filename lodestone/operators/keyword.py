@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.scratch import written
 from lodestone.sources.tables import spread
 
 K1, B = 1.2, 0.75
@@ -101,19 +102,20 @@ def _searcher(asked: Asked, top: int, part: Part):
     return search
 
 
-def _passes(questions: DataFrame) -> Iterator[Asked]:
-    """The questions, about ``BLOCK`` at a time; one pass at least."""
+def _passes(questions: DataFrame, passes: int) -> Iterator[Asked]:
+    """The questions, dealt to ``passes`` passes."""
     rows = query_terms(questions.select(F.col("q_id").cast("long").alias("q_id"), "text"))
-    passes = max(1, math.ceil(questions.count() / BLOCK))
     for n in range(passes):
         yield Asked.of([tuple(r) for r in (rows.where(F.pmod(F.xxhash64("q_id"), F.lit(passes)) == n) if passes > 1 else rows).collect()])
 
 
 def _ranked(docs: DataFrame, questions: DataFrame, top: int, part_for: Callable[[Asked], Part]) -> DataFrame:
     """Terms are counted and scored where a document is read, and only the ``top`` of a question and task are shuffled."""
-    found = None
-    for asked in _passes(questions):
+    found, passes = None, max(1, math.ceil(questions.count() / BLOCK))
+    for asked in _passes(questions, passes):
         more = _split(docs).mapInArrow(_searcher(asked, top, part_for(asked)), "q_id long, doc_id long, score double")
+        if passes > 1:  # a pass is done, and its questions forgotten, before the next is asked
+            more, _ = written(more, "keyword-pass")
         found = more if found is None else found.unionByName(more)
     order = Window.partitionBy("q_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)

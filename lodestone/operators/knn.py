@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.vectors import inner
+from lodestone.sources.scratch import written
 
 OVER_FETCH, TOP_K = 50, 10
 #: Scores are compared to this many places, so that the order of a sum doesn't decide a tie.
@@ -60,6 +61,8 @@ def knn_batch(questions: DataFrame, corpus: DataFrame, k: int = TOP_K, block: in
     for part in range(passes):
         rows = asked.where(F.pmod(F.xxhash64("q_id"), F.lit(passes)) == part).collect()
         more = corpus.where("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_searcher([r[0] for r in rows], [r[1] for r in rows], k), "q_id long, vec_id long, score double")
+        if passes > 1:  # a pass is done, and its questions forgotten, before the next is asked
+            more, _ = written(more, "knn-pass")
         found = more if found is None else found.unionByName(more)
     best = Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("q_id", "vec_id", "rank", "score")

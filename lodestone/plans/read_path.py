@@ -20,6 +20,7 @@ from lodestone.functions.text import cited_ordinals, strip
 from lodestone.functions.vectors import normalized
 from lodestone.operators.candidates import BUDGET, build_context, collapse_to_parents, expand_parents, fuse
 from lodestone.operators.knn import OVER_FETCH, TOP_K, knn_batch
+from lodestone.sources.scratch import drop, written
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,15 @@ class Trace:
     nodes: list[dict] = field(default_factory=list)
     iterations: int = 0
     citations: DataFrame | None = None  # (q_id, citation_count) of the answers
+    tables: list[tuple[DataFrame, str]] = field(default_factory=list)  # what stages returned, as written, and where
+
+    def drop_tables(self, *but: DataFrame | None) -> None:
+        """Delete what was written, except the tables that are named."""
+        kept = [(df, path) for df, path in self.tables if any(df is b for b in but)]
+        for df, path in self.tables:
+            if not any(path == p for _, p in kept):
+                drop(df.sparkSession, path)
+        self.tables = kept
 
     def record(self, node: str, started: float, **detail: Any) -> None:
         self.nodes.append({"node": node, "ms": int((time.perf_counter() - started) * 1000), **detail})
@@ -59,13 +69,13 @@ def enough(*_: Any) -> Verdict:
 EMPTY = {"rewrite": keep, "plan": keep, "fuse": cut, "gate": enough, "reflect": keep}
 
 
-def settled(out: Any) -> Any:
-    """``out`` with the rows of its table computed and held, on disk where they don't fit; a lost executor's are made again."""
+def settled(out: Any, trace: Trace) -> Any:
+    """``out`` with its table written to the shared folder: a lost executor costs no second call of a provider."""
     if isinstance(out, DataFrame):
-        out = out.persist()
-        out.write.format("noop").mode("overwrite").save()
+        out, path = written(out, "stage")
+        trace.tables.append((out, path))
     elif isinstance(out, Verdict) and out.refined is not None:
-        settled(out.refined)
+        out = replace(out, refined=settled(out.refined, trace))
     return out
 
 
@@ -84,12 +94,12 @@ class Stages:
     def run(self, name: str, trace: Trace, *args: Any) -> Any:
         started = time.perf_counter()
         try:
-            out = settled(getattr(self, name)(*args))
+            out = settled(getattr(self, name)(*args), trace)
         except Exception as e:
             if name not in EMPTY:
                 trace.record(name, started, error=f"{type(e).__name__}: {e}")
                 raise
-            out = settled(EMPTY[name](*args))
+            out = settled(EMPTY[name](*args), trace)
             trace.record(name, started, fallback=str(e))
         else:
             trace.record(name, started)
@@ -97,7 +107,11 @@ class Stages:
 
 
 def ask(questions: DataFrame, stages: Stages, max_iterations: int = 1, trace: Trace | None = None) -> tuple[DataFrame, DataFrame, Trace]:
-    """(answers, context, trace) of ``questions(q_id, text, ...)``. Out of iterations it answers with what it has."""
+    """(answers, context, trace) of ``questions(q_id, text, ...)``. Out of iterations it answers with what it has.
+
+    Stages' tables are deleted at the end, but for those that are returned; ``trace.drop_tables()`` deletes these when
+    they have been read.
+    """
     trace = Trace() if trace is None else trace
     context: DataFrame | None = None
     questions = stages.run("rewrite", trace, questions)
@@ -112,6 +126,7 @@ def ask(questions: DataFrame, stages: Stages, max_iterations: int = 1, trace: Tr
         questions = verdict.refined if verdict.refined is not None else questions
     answers = stages.run("reflect", trace, stages.run("generate", trace, questions, context), context)
     trace.citations = citation_counts(answers, context)
+    trace.drop_tables(answers, context)
     return answers, context, trace
 
 

@@ -20,7 +20,7 @@ from lodestone.operators.chunking import batches, chunk_document, kept_counted,
 from lodestone.operators.keyword import browse, title_search
 from lodestone.operators.keyword import keyword_bm25 as bm25
 from lodestone.operators.keyword import keyword_tf as tf_rank
-from lodestone.operators.knn import knn, knn_batch, merge_subqueries, vector_of
+from lodestone.operators.knn import OVER_FETCH, knn_batch, merge_subqueries
 from lodestone.operators.typography import is_scanned
 from lodestone.sources.objects import parse_enrichment, split_key
 from lodestone.sources.tables import spread
@@ -55,32 +55,26 @@ INNER = "round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]),
 # -- Vector search ----------------------------------------------------------------------------------------------------
 
 
-def _ranked_hits(rows: DataFrame) -> DataFrame:
-    return rows.select("vec_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).cast("long").alias("rank"))
-
-
-@query(f"SELECT vec_id, score, {ranked('score DESC, vec_id')} AS rank FROM (SELECT e.vec_id, {INNER} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 10)")
-def knn_topk(spark, sf_dir):
-    """The ten nearest of one question."""
-    corpus = table(spark, sf_dir, "embeddings")
-    return _ranked_hits(knn(corpus, vector_of(corpus, 0), 10))
+BATCH_SQL = f"""SELECT q_id, vec_id, score, rank FROM (
+  SELECT q.vec_id AS q_id, e.vec_id, {INNER} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {INNER} DESC, e.vec_id) AS rank
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 10"""
 
 
-@query(f"SELECT vec_id, score, {ranked('score DESC, vec_id')} AS rank FROM (SELECT e.vec_id, {INNER} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 3 ORDER BY score DESC, vec_id LIMIT 10)")
-def knn_filtered(spark, sf_dir):
-    """The filter is under the limit and reaches the scan."""
+def _batch(spark, sf_dir, k: int = 10, where: str = "true") -> DataFrame:
     corpus = table(spark, sf_dir, "embeddings")
-    return _ranked_hits(knn(corpus, vector_of(corpus, 0), 10, F.col("label") == 3))
+    return knn_batch(corpus.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "embedding"), corpus.where(where), k)
 
 
-BATCH_SQL = f"""SELECT q_id, vec_id, score, rank FROM (
-  SELECT q.vec_id AS q_id, e.vec_id, {INNER} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {INNER} DESC, e.vec_id) AS rank
-  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q) WHERE rank <= 10"""
+@query(BATCH_SQL.replace("rank <= 10", "rank <= 50"))
+def knn_topk(spark, sf_dir):
+    """The over-fetched nearest of every 50th vector."""
+    return _batch(spark, sf_dir, OVER_FETCH)
 
 
-def _batch(spark, sf_dir, k: int = 10) -> DataFrame:
-    corpus = table(spark, sf_dir, "embeddings")
-    return knn_batch(corpus.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "embedding"), corpus, k)
+@query(BATCH_SQL.replace("FROM embeddings e,", "FROM (SELECT * FROM embeddings WHERE label = 3) e,"))
+def knn_filtered(spark, sf_dir):
+    """The filter is under the limit and reaches the scan."""
+    return _batch(spark, sf_dir, 10, "label = 3")
 
 
 @query(BATCH_SQL)

@@ -178,3 +178,14 @@ def test_the_rest_stands_without_the_optional_parts(tmp_path):
 
 def test_documents_schema(spark):
     assert spark.createDataFrame([], DOCUMENTS).columns[0] == "document_id"
+
+
+def test_one_document_is_read_from_its_bucket(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    payloads = spark.createDataFrame([(f"{i:064x}", f"f{i}", f"raw/{i:064x}.pdf", 9) for i in range(200)], "sha256 string, filename string, object_key string, size_bytes long")
+    accepted, _ = engine.register(payloads, payloads.select("object_key"))
+    one = accepted.first().document_id
+    found = engine.document(one)
+    assert [r.document_id for r in found.collect()] == [one]
+    assert len({f.rpartition("/")[0] for f in found.inputFiles()}) == 1
+    assert engine.document("none").count() == 0

@@ -144,3 +144,15 @@ def test_token_bucket(spark):
 def test_outages(spark):
     events = spark.createDataFrame([("k", i, t, ok) for i, (t, ok) in enumerate([(0, True), (10, False), (2000, False), (2001, True), (2002, False)])], "key string, seq int, at_s long, ok boolean")
     assert sorted((r.began, r.failures, r.failed) for r in S.outages(events).collect()) == [(10, 2, True), (2002, 1, False)]
+
+
+def test_rows_of_listed_ids(spark, tmp_path):
+    from lodestone.operators.ingest import by_ids
+
+    spark.range(3000).withColumnRenamed("id", "document_id").write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    assert by_ids(rows, []).count() == 0
+    assert "FileScan" not in by_ids(rows, [])._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r[0] for r in by_ids(rows, [5, 5, 9000, 7]).collect()) == [5, 7]
+    assert "In(document_id, [5,7])" in by_ids(rows, [5, 7])._jdf.queryExecution().executedPlan().toString()
+    assert by_ids(rows, range(1500)).count() == 1500

@@ -40,6 +40,12 @@ def test_runs(spark, name):
 
 
 def test_topk_plan(spark):
-    plan = QUERIES["knn_filtered"](spark, SF)._jdf.queryExecution().toString()
+    from pyspark.sql import functions as F
+
+    from lodestone.operators.knn import knn, vector_of
+
+    corpus = spark.read.parquet(f"{SF}/embeddings.parquet")
+    plan = knn(corpus, vector_of(corpus, 0), 10, F.col("label") == 3)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan
     assert "EqualTo(label,3)" in plan
+    assert "EqualTo(label,3)" in QUERIES["knn_filtered"](spark, SF)._jdf.queryExecution().toString()
