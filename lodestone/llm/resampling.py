@@ -58,10 +58,16 @@ def _count(texts: DataFrame, buckets: int) -> np.ndarray:
     """Counts of the buckets over all of ``texts(text)``: one row per task and bucket, added up by Spark."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = Hasher(buckets), np.zeros(buckets, np.int64)
+        hasher, counts, held, n = Hasher(buckets), np.zeros(buckets, np.int64), [], 0
         for batch in batches:
             for text in batch.column(0):
-                counts += np.bincount(hasher.grams((text.as_py() or "").encode()), minlength=buckets)
+                held.append(hasher.grams((text.as_py() or "").encode()))
+                n += len(held[-1])
+                if n >= buckets:  # so a text costs what its words cost, however many buckets there are
+                    counts += np.bincount(np.concatenate(held), minlength=buckets)
+                    held, n = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=buckets)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["bucket", "n"])
 
