@@ -6,12 +6,12 @@ import random
 import re
 
 import pytest
-import xxhash
 
 import __spark_entry__
 import corpus_pipeline
 from lodestone.llm.decontaminate import ERROR_RATE, normal
 from lodestone.llm.line_dedup import MIN_LINES, MIN_WORDS
+from test_jaccard import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"{a}{b}" for a in ("ran", "tel", "mor", "sib", "cal", "dun", "fes", "gol") for b in ("ta", "no", "ri", "le", "mu", "so")]
@@ -49,14 +49,6 @@ def world(spark, tmp_path_factory):
     return folder, toxic, leaks, items
 
 
-def fingerprint(text):
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 3]), 42) for i in range(max(1, len(words) - 2))]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 def near(pattern, text, budget):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(pattern, 1):
@@ -103,14 +95,11 @@ def test_stages(spark, world):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.values())
     assert any(r.text == "" and i not in (None, 2001) for i, r in got.items())
 
-    before, after = steps["simhash_near_dedup"]
-    groups = []  # of fingerprints, grown until none links to two
-    for r in before:
-        f = fingerprint(r.text)
-        linked = [g for g in groups if any((f ^ x).bit_count() <= 2 for x, _ in g)]
-        groups = [g for g in groups if g not in linked] + [[(f, r.doc_id), *(x for g in linked for x in g)]]
-    first = lambda g: min((i for _, i in g), key=lambda i: (i is not None, i or 0))
-    assert {r.doc_id for r in after.collect()} == {first(g) for g in groups}
+    before, after = steps["near_dedup"]
+    rows = [((r.doc_id is not None, r.doc_id or 0), r.text) for r in before]
+    kept = brute(rows)
+    assert {(r.doc_id is not None, r.doc_id or 0) for r in after.collect()} == kept
+    assert len(kept) < len(rows)
 
     before, after = steps["benchmark_decontamination"]
     held = {r.doc_id for r in before if any(near(normal(t), normal(r.text), int(len(normal(t)) * ERROR_RATE)) for _, t in items)}
@@ -131,9 +120,9 @@ def test_stages(spark, world):
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.piece, r.ids_crc32) for r in ran.collect()) == sorted((r.doc_id is not None, r.doc_id or 0, r.piece, r.ids_crc32) for r in pieces)
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = __spark_entry__.queries()
-    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
     assert "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 

@@ -385,8 +385,6 @@ def test_near_duplicates_edges(spark):
     assert next(r.component_id for r in rows if r.doc_id is None) is None
     assert [r.component_id for r in rows if r.doc_id == 3] == [3, 3]
     assert H.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
-    kept = H.keep_one_of_each(spark.createDataFrame([(1, "a b c", 1), (2, "a b c", 2), (None, "q", 3), (2, "other text", 4)], f"{DOCS}, kept_doc_id int"))
-    assert sorted(r.kept_doc_id for r in kept.collect()) == [1, 3, 4]
 
 
 # -- decontamination --------------------------------------------------------------------------------------------------
