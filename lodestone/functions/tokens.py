@@ -7,6 +7,7 @@ batch of texts, pieces are found by binary search in the running sums, so no tex
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+WORD = re.compile(r"\S+")
 PIECES = "array<struct<content: string, token_count: int>>"
 #: Words a worker keeps the costs of; longer ones than ``LONG`` characters are costed each time.
 KEPT, LONG = 200_000, 64
@@ -89,6 +91,26 @@ def token_packer(maker: Callable[[], Counter]) -> Callable[[Column, int, int], C
     return lambda text, least, most: pieces(text, F.lit(least), F.lit(most))
 
 
+PLACED = "array<struct<content: string, token_count: int, start: int, end: int>>"
+
+
+def placed_packer(maker: Callable[[], Counter] | None = None) -> Callable[[Column, int, int], Column]:
+    """``token_packer`` whose pieces know where they stand in the text: ``start`` and ``end`` in code points, end exclusive. Without a tokenizer a word is a token."""
+
+    @F.pandas_udf(PLACED)
+    def pieces(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        costs = WordCosts(maker() if maker else lambda words: [1] * len(words))
+        for texts, least, most in batches:
+            out = []
+            for text, a, b in zip(texts, least, most, strict=True):
+                words = list(WORD.finditer(text or ""))
+                cuts = cut_points(*costs([w[0] for w in words]), a, b) if words else []
+                out.append([{"content": " ".join(w[0] for w in words[i:j]), "token_count": n, "start": words[i].start(), "end": words[j - 1].end()} for i, j, n in cuts])
+            yield pd.Series(out, index=texts.index, dtype=object)
+
+    return lambda text, least, most: pieces(text, F.lit(least), F.lit(most))
+
+
 def token_count(maker: Callable[[], Counter]) -> Callable[[Column], Column]:
     """The tokens of a whole text, as a context's budget counts them; a null text has none."""
 

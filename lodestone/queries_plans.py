@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.language import STOP_WORDS, detect_language
 from lodestone.functions.language_model import LanguageModel
-from lodestone.functions.tokens import bpe_counter, token_packer
-from lodestone.operators.chunking import CHILD, kept_counted
+from lodestone.functions.tokens import bpe_counter, placed_packer, token_packer
+from lodestone.operators.chunking import CHILD, DROP_BELOW, kept_counted
 from lodestone.operators.keyword import terms
 from lodestone.operators.knn import knn_batch
+from lodestone.operators.rectangles import rectangles
 from lodestone.operators.text_index import TextIndex
 from lodestone.operators.vector_index import MAX_CELLS, VectorIndex, recall
 from lodestone.plans.chain import Chain, Stage
-from lodestone.queries import BATCH_SQL, CHUNKS_SQL, _chunks, query, table
+from lodestone.queries import BATCH_SQL, CHUNKS_SQL, _chunks, pieces_sql, query, table
 from lodestone.sources.scratch import fresh
 from lodestone.sources.tables import spread
 
@@ -139,3 +140,29 @@ def language_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = LanguageModel.learn(docs.where(~held_out))
     return spread(docs).select("doc_id", "lang", held_out.alias("held_out"), model.detect(F.col("text")).alias("by_trigrams"), detect_language(F.col("text"), tuple(STOP_WORDS)).alias("by_words"))
+
+
+# -- Rectangles -------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {pieces_sql("documents", "text", "doc_id", 100, 200)},
+split AS (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS w, regexp_extract_all(text, '\\s+') AS g, CASE WHEN regexp_matches(text, '^\\s') THEN 1 ELSE 0 END AS first FROM documents),
+each AS (SELECT doc_id, first, g, unnest(w) AS word, unnest(range(len(w))) AS i FROM split),
+placed AS (SELECT doc_id, i, (coalesce(sum(length(word)) OVER before, 0) + sum(CASE WHEN i + first > 0 THEN length(g[i + first]) ELSE 0 END) OVER upto)::BIGINT AS start, length(word) AS n FROM each WINDOW before AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), upto AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, (i * 200)::BIGINT AS first_word, (i * 200 + len(p) - 1)::BIGINT AS last_word FROM pieces WHERE len(p) >= 20),
+chunks AS (SELECT c.doc_id, c.chunk_index, a.start, z.start + z.n AS stop FROM numbered c JOIN placed a ON a.doc_id = c.doc_id AND a.i = c.first_word JOIN placed z ON z.doc_id = c.doc_id AND z.i = c.last_word),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+spans AS (SELECT doc_id, k, length(line) AS n, (coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM lines)
+SELECT doc_id::VARCHAR AS document_id, chunk_index, (k // 40)::INT AS page, (k // 10)::INT AS block, 0 AS x0, min(k % 40 * 12)::INT AS y0, max(6 * s.n)::INT AS x1, max(k % 40 * 12 + 10)::INT AS y1, count(*) AS spans
+FROM chunks c JOIN spans s USING (doc_id) WHERE c.start < s.start + s.n AND s.start < c.stop GROUP BY ALL""")
+def chunk_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every chunk, where each line of a document is a span of a page of 40 lines and blocks of 10."""
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text"))
+    pieces = F.filter(placed_packer()(F.col("text"), *CHILD), lambda p: p["token_count"] >= DROP_BELOW)
+    chunks = docs.select("document_id", F.posexplode(pieces).alias("chunk_index", "piece")).select("document_id", F.col("chunk_index").cast("long").alias("chunk_index"), "piece.start", "piece.end")
+    lines = F.transform(F.split("text", "\n", -1), lambda x, k: F.struct(F.length(x).alias("n"), k.alias("k")))
+    upto = Window.partitionBy("document_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = docs.select("document_id", F.inline(lines)).withColumn("start", F.coalesce(F.sum(F.col("n") + 1).over(upto), F.lit(0)))
+    row = F.pmod("k", F.lit(40))
+    spans = placed.select("document_id", F.floor(F.col("k") / 40).cast("int").alias("page"), F.floor(F.col("k") / 10).cast("int").alias("block"), "start", (F.col("start") + F.col("n")).alias("end"), F.lit(0).alias("x0"), (row * 12).alias("y0"), (F.col("n") * 6).alias("x1"), (row * 12 + 10).alias("y1"))
+    return rectangles(chunks, spans)
