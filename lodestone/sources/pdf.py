@@ -5,11 +5,16 @@ A document that can't be read is a row with an ``error_code``, not an error: mal
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from typing import Protocol
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
+from pyspark.sql.types import StructType
 
 from lodestone.functions.text import nfc, strip
 
@@ -79,3 +84,99 @@ def read_pdf_spans(objects: DataFrame, reader: Reader = pymupdf_reader) -> DataF
                     yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPANS.split(", ")])
 
     return objects.select("path", "content").mapInPandas(parse, SPANS)
+
+
+# -- Pages as a data source -------------------------------------------------------------------------------------------
+
+#: Bytes of a file that a task reads the pages of, about: a file of ten times as many is ten tasks.
+RANGE_BYTES = 4 << 20
+
+
+class PagedDocument(Protocol):
+    """An open document; pages count from 0."""
+
+    page_count: int
+
+    def spans(self, page: int) -> Iterator[tuple[int, int, str, float, bool]]:
+        """(line, block, text, size, bold) of each span of a page in order."""
+
+
+@dataclass
+class PageRange(InputPartition):
+    """The ``part``-th of ``parts`` equal shares of a file's pages, however many it turns out to have."""
+
+    path: str
+    part: int
+    parts: int
+
+
+class PdfPagesReader(DataSourceReader):
+    def __init__(self, uri: str, opener: Callable[[bytes], PagedDocument], range_bytes: int, max_pages: int):
+        self.uri, self.opener, self.range_bytes, self.max_pages = uri, opener, range_bytes, max_pages
+        self.only: set[str] | None = None
+        self.prefixes: list[str] = []
+
+    def partitions(self) -> list[PageRange]:
+        """Shares of files by their sizes; no file is opened for it."""
+        system, folder = fs.FileSystem.from_uri(self.uri)
+        found = system.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
+        named = sorted((f"{self.uri.rstrip('/')}/{i.path[len(folder) :].lstrip('/')}", i.size) for i in found if i.type == fs.FileType.File and i.extension.lower() == "pdf")
+        wanted = [(p, n) for p, n in named if (self.only is None or p in self.only) and all(p.startswith(x) for x in self.prefixes)]
+        out = [PageRange(p, k, parts) for p, n in wanted for parts in (max(1, -(-n // self.range_bytes)),) for k in range(parts)]
+        return out or [PageRange("", 0, 1)]
+
+    def read(self, partition: PageRange) -> Iterator[tuple]:
+        if not partition.path:
+            return
+        system, path = fs.FileSystem.from_uri(partition.path)
+        with system.open_input_file(path) as file:
+            content = file.read()
+        try:
+            document = self.opener(content)
+            if document.page_count > self.max_pages:
+                raise PdfError("PDF_TOO_MANY_PAGES")
+        except PdfError as e:
+            if partition.part == 0:  # one row a file
+                yield (partition.path, *[None] * 6, e.code, None)
+            return
+        first, last = (document.page_count * k // partition.parts for k in (partition.part, partition.part + 1))
+        for page in range(first, last):
+            for number, (line, block, text, size, bold) in enumerate(document.spans(page)):
+                yield partition.path, page + 1, line, block, text, float(size), bool(bold), None, number
+
+
+class FilteredPdfPagesReader(PdfPagesReader):
+    """The reader where Spark pushes filters; it refuses one that could take them where it doesn't."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Filters on the path decide which files are planned; others are left to Spark."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("path",):
+                named = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.only = named if self.only is None else self.only & named
+            elif isinstance(f, StringStartsWith) and f.attribute == ("path",):
+                self.prefixes.append(f.value)
+            else:
+                yield f
+
+
+def pdf_pages(opener: Callable[[bytes], PagedDocument], name: str = "pdf_pages") -> type[DataSource]:
+    """A data source to register: ``spark.read.format(name).load(folder)`` gives ``SPANS`` of the folder's files.
+
+    Options: range_bytes, max_pages, and pushdown, ``true`` where ``spark.sql.python.filterPushdown.enabled`` is: filters on
+    the path then choose the files that are planned.
+    """
+
+    class PdfPages(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return SPANS
+
+        def reader(self, schema: StructType) -> PdfPagesReader:
+            kind = FilteredPdfPagesReader if self.options.get("pushdown", "false") == "true" else PdfPagesReader
+            return kind(self.options["path"], opener, int(self.options.get("range_bytes", RANGE_BYTES)), int(self.options.get("max_pages", MAX_PAGES)))
+
+    return PdfPages
