@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import cited_ordinals, strip
 from lodestone.functions.vectors import normalized
 from lodestone.operators.candidates import BUDGET, build_context, collapse_to_parents, expand_parents, fuse
+from lodestone.operators.feedback import LEAST_SPREAD, feedback_terms, rewritten, score_spread
 from lodestone.operators.knn import OVER_FETCH, TOP_K, knn_batch
 from lodestone.sources.scratch import drop, written
 
@@ -139,6 +140,23 @@ def citation_counts(answers: DataFrame, context: DataFrame) -> DataFrame | None:
     return answers.join(there, "q_id", "left").select(F.col("q_id").cast("string").alias("q_id"), F.coalesce("n", F.lit(0)).cast("int").alias("citation_count"))
 
 
+def rewrite_by_feedback(search: Callable[[DataFrame], DataFrame], docs: DataFrame, frequencies: DataFrame, total: int, **sizes: int) -> Callable[[DataFrame], DataFrame]:
+    """A rewrite stage: the words that a first ``search`` of the questions suggests are added to them. See ``feedback_terms``."""
+    return lambda questions: rewritten(questions, feedback_terms(search(questions), docs, questions, frequencies, total, **sizes))
+
+
+def gate_by_spread(search: Callable[[DataFrame], DataFrame], rewrite: Callable[[DataFrame], DataFrame], least: float = LEAST_SPREAD) -> Callable[[DataFrame, DataFrame], Verdict]:
+    """A gate stage: questions whose scores hardly differ are asked again as ``rewrite`` has them, the others as they are."""
+
+    def gate(questions: DataFrame, _: DataFrame) -> Verdict:
+        weak = questions.join(score_spread(search(questions), least).where("sufficient"), "q_id", "left_anti")
+        if weak.isEmpty():
+            return Verdict()
+        return Verdict(False, questions.join(weak.select("q_id"), "q_id", "left_anti").unionByName(rewrite(weak)))
+
+    return gate
+
+
 #: A retriever gives (q_id, child_id, rank, score, source) for questions.
 Retriever = Callable[[DataFrame], DataFrame]
 

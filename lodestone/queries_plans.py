@@ -9,14 +9,15 @@ from lodestone.functions.language import STOP_WORDS, detect_language
 from lodestone.functions.language_model import LanguageModel
 from lodestone.functions.tokens import bpe_counter, placed_packer, token_packer
 from lodestone.operators.chunking import CHILD, DROP_BELOW, kept_counted
-from lodestone.operators.keyword import terms
+from lodestone.operators.feedback import feedback_terms, rewritten, score_spread
+from lodestone.operators.keyword import keyword_bm25, terms
 from lodestone.operators.knn import knn_batch
 from lodestone.operators.rectangles import rectangles
 from lodestone.operators.text_index import TextIndex
 from lodestone.operators.vector_index import MAX_CELLS, VectorIndex, recall
 from lodestone.plans.chain import Chain, Stage
-from lodestone.queries import BATCH_SQL, CHUNKS_SQL, _chunks, pieces_sql, query, table
-from lodestone.sources.scratch import fresh
+from lodestone.queries import BATCH_SQL, BM25_SQL, CHUNKS_SQL, TOP10, _asked, _chunks, pieces_sql, query, table
+from lodestone.sources.scratch import fresh, written
 from lodestone.sources.tables import spread
 
 # -- The stage chain --------------------------------------------------------------------------------------------------
@@ -166,3 +167,43 @@ def chunk_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.pmod("k", F.lit(40))
     spans = placed.select("document_id", F.floor(F.col("k") / 40).cast("int").alias("page"), F.floor(F.col("k") / 10).cast("int").alias("block"), "start", (F.col("start") + F.col("n")).alias("end"), F.lit(0).alias("x0"), (row * 12).alias("y0"), (F.col("n") * 6).alias("x1"), (row * 12 + 10).alias("y1"))
     return rectangles(chunks, spans)
+
+
+# -- Feedback ---------------------------------------------------------------------------------------------------------
+
+FEEDBACK_SQL = f"""{BM25_SQL}, hits AS ({TOP10}), first AS (SELECT q_id, doc_id, score / sum(score) OVER (PARTITION BY q_id) AS share FROM hits WHERE rank <= 5),
+mass AS (SELECT q_id, term, sum(share * tf / doc_length) AS mass FROM first JOIN postings USING (doc_id) GROUP BY q_id, term),
+weighed AS (SELECT m.q_id, m.term, round(mass * ln(1 + n / df), 6) AS weight FROM mass m JOIN df USING (term), corpus WHERE (m.q_id, m.term) NOT IN (SELECT (q_id, term) FROM asked))"""
+
+
+def _first_search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = TextIndex.build(docs.withColumn("language", F.lit(None).cast("string")), fresh(spark, "text-index"))
+    frequencies = index.vocabulary().groupBy("term").agg(F.sum("df").alias("df"))
+    questions = _asked(spark, sf_dir)
+    hits, _ = written(keyword_bm25(docs, questions), "first-hits")
+    return docs, questions, hits, frequencies, docs.count()
+
+
+@query(f"WITH {FEEDBACK_SQL} SELECT q_id, term, weight, row_number() OVER (PARTITION BY q_id ORDER BY weight DESC, term) AS nth FROM weighed QUALIFY nth <= 10")
+def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5, rewrite: what the first documents of each benchmark question add to it."""
+    docs, questions, hits, frequencies, total = _first_search(spark, sf_dir)
+    return feedback_terms(hits, docs, questions, frequencies, total).select("q_id", "term", "weight", "nth")
+
+
+@query(f"WITH {BM25_SQL}, hits AS ({TOP10}) SELECT q_id, round(coalesce(stddev_pop(score) / abs(nullif(avg(score), 0)), 0), 6) AS spread, round(coalesce(stddev_pop(score) / abs(nullif(avg(score), 0)), 0), 6) >= 0.15 AS sufficient FROM hits GROUP BY q_id")
+def score_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D5, gate: whether the scores of a question's hits differ enough to go on with them."""
+    return score_spread(keyword_bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), _asked(spark, sf_dir)))
+
+
+@query()
+def feedback_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every 50th document three words are asked; its place among the first ten by BM25, before and after feedback, null where it is not among them. SQL has the parts."""
+    docs, _, _, frequencies, total = _first_search(spark, sf_dir)
+    questions = _quoted(spark, sf_dir)
+    hits, _ = written(keyword_bm25(docs, questions), "first-hits")
+    again = keyword_bm25(docs, rewritten(questions, feedback_terms(hits, docs, questions, frequencies, total)))
+    place = lambda rows, name: rows.where("q_id = doc_id").select("q_id", F.col("rank").alias(name))
+    return questions.select("q_id").join(place(hits, "before"), "q_id", "left").join(place(again, "after"), "q_id", "left")
