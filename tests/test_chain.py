@@ -163,10 +163,10 @@ def test_ingestion_with_a_limited_provider(spark, tmp_path):
             (log / uuid.uuid4().hex).write_text(c["content"][:40])
         return [{"id": c["id"], "context": "about", "category": "LEGAL"} for c in chunks]
 
-    text = lambda d: "\n\n".join(f"# H{i}\n" + " ".join(f"{d}w{i}x{k}" for k in range(700)) for i in range(4))
+    text = lambda d: "\n\n".join(f"# H{i}\n" + " ".join(f"{d}w{i}x{k}" for k in range(700)) for i in range(3))
     parsed = spark.createDataFrame([(d, d, f"title {d}", [(1, "" if d == "empty" else text(d))]) for d in ("a", "b", "empty")], f"{DOCS}, title string, pages array<struct<page: int, markdown: string>>").repartition(1)
     chain = ingest_chain(spark, f"{tmp_path}/t", 8, provider)
-    for run, most in enumerate((0, 5, 1000), 1):
+    for run, most in enumerate((5, 1000), 1):
         (tmp_path / "most").write_text(str(most))
         assert chain.advance(parsed) == run
         short = {r.document_id for r in chain.outcomes().where("state = 'PARTIAL'").collect()}
@@ -182,4 +182,4 @@ def test_ingestion_with_a_limited_provider(spark, tmp_path):
     stored = chain.rows("stored")
     orphans = stored.where("kind = 'child'").join(stored.where("kind = 'parent'").select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
     assert orphans.isEmpty()
-    assert chain.advance(parsed) == 0
+    assert chain.behind(parsed).isEmpty()
