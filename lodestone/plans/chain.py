@@ -8,6 +8,9 @@ has to be deleted first. Rows count from when they are written, whatever becomes
 An entry says how many units of the document there were and how many have a row. A stage that was cut short, as by a
 provider's rate limit, leaves a document PARTIAL, and its next run is given the units without a row alone. A document of
 which nothing came is EMPTY, which is as final as DONE until its input changes.
+
+With ``step_units`` a stage that works by units takes about so many at a time. Each step's rows stand when it ends, and how
+far its documents have come can be read while the stage still runs: ``progress``.
 """
 
 from __future__ import annotations
@@ -17,10 +20,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lodestone.operators.state import clear_progress, report_progress
 from lodestone.sources.objects import delete, list_names
 
 LEDGER = "document_id string, input_fp string, output_fp string, units long, made long, state string, stage string, run int"
+REPORT = "document_id string, made long, total long, at double, run int, place int, step int"
+PROGRESS = "document_id string, stage string, done long, total long, at double"
 DONE, EMPTY, PARTIAL = "DONE", "EMPTY", "PARTIAL"
 
 
@@ -52,13 +59,13 @@ def row_fingerprint(columns: Sequence[str]) -> Column:
 class Chain:
     """``stages`` in order, with tables under ``root``. One run at a time is assumed."""
 
-    def __init__(self, spark: SparkSession, root: str, stages: Sequence[Stage]):
+    def __init__(self, spark: SparkSession, root: str, stages: Sequence[Stage], step_units: int | None = None):
         names = ["documents"]
         for stage in stages:
             if missing := set(stage.reads) - set(names):
                 raise ValueError(f"stage {stage.name} reads {sorted(missing)}, which no stage before it makes")
             names.append(stage.name)
-        self.spark, self.root, self.stages = spark, root.rstrip("/"), list(stages)
+        self.spark, self.root, self.stages, self.step_units = spark, root.rstrip("/"), list(stages), step_units
 
     # -- tables
 
@@ -70,7 +77,7 @@ class Chain:
         return 1 + max((int(n.partition("=")[2]) for n in names if n.startswith("run=")), default=0)
 
     def _all_rows(self, stage: Stage) -> DataFrame:
-        schema = f"{stage.schema}, input_fp string, run int"
+        schema = f"{stage.schema}, input_fp string, run int, step int"
         if not list_names(self.spark, self._rows_path(stage)):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self._rows_path(stage))
@@ -86,7 +93,7 @@ class Chain:
     def rows(self, name: str) -> DataFrame:
         """What counts of a stage's rows, with ``input_fp`` and the ``run`` that made them: those of each document's last input."""
         current = self._last().select("document_id", F.col(f"{name}.input_fp").alias("input_fp")).where("input_fp IS NOT NULL")
-        return self._all_rows(next(s for s in self.stages if s.name == name)).join(current, ["document_id", "input_fp"], "left_semi")
+        return self._all_rows(next(s for s in self.stages if s.name == name)).join(current, ["document_id", "input_fp"], "left_semi").drop("step")
 
     def outcomes(self) -> DataFrame:
         """``(stage, document_id, state, units, made, run)``: how far each document has come."""
@@ -137,8 +144,10 @@ class Chain:
             delete(self.spark, f"{self.root}/_slices/run={run:06d}")
             return 0
         docs = documents.join(state.select("document_id"), "document_id", "left_semi")
+        self._forget_reports()
         for stage in self.stages:
             state = self._run_stage(stage, docs, state, run)
+        self._forget_reports()
         return run
 
     def _kept(self, state: DataFrame, run: int, after: str) -> DataFrame:
@@ -147,6 +156,53 @@ class Chain:
         state.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(state.schema).parquet(path)
 
+    # -- progress
+
+    def _forget_reports(self) -> None:
+        """Of this run, or of one that was killed before."""
+        for folder in ("_progress", "_steps"):
+            delete(self.spark, f"{self.root}/{folder}")
+
+    def _steps(self, stage: Stage, units: DataFrame, todo: DataFrame, run: int) -> list[tuple[int, DataFrame]]:
+        """``todo`` in steps of about ``step_units``, dealt by hash of the unit, so that a long document is in many; and a first report of what was there."""
+        if not stage.key or not self.step_units:
+            return [(0, todo)]
+        key = ["document_id", *stage.key]
+        steps = max(1, -(-todo.count() // self.step_units))
+        place = F.pmod(F.xxhash64(*key), F.lit(steps)).cast("int")
+        task = F.pmod(F.hash(*key), F.lit(self.spark.sparkContext.defaultParallelism))
+        path = f"{self.root}/_steps/run={run:06d}/{stage.name}"
+        todo.withColumn("step", place).repartition(F.col("step"), task).write.mode("overwrite").partitionBy("step").parquet(path)
+        dealt = self.spark.read.schema(T.StructType([*todo.schema, T.StructField("step", T.IntegerType())])).parquet(path) if list_names(self.spark, path) else todo.withColumn("step", place)
+        all_units = units.select(key).distinct().groupBy("document_id").agg(F.count("*").alias("total"))
+        open_units = todo.select(key).distinct().groupBy("document_id").agg(F.count("*").alias("open"))
+        begun = all_units.join(open_units, "document_id", "left").select("document_id", (F.col("total") - F.coalesce("open", F.lit(0))).alias("made"), "total")
+        self._report(stage, begun, run, -1)
+        return [(n, dealt.where(F.col("step") == n).drop("step")) for n in range(steps)]
+
+    def _report(self, stage: Stage, counts: DataFrame, run: int, step: int) -> None:
+        """Add to the reports of a run; one that comes after the first has only what its step made."""
+        total = F.col("total") if "total" in counts.columns else F.lit(None)
+        rows = counts.select("document_id", F.col("made").cast("long"), total.cast("long").alias("total"), (F.unix_micros(F.current_timestamp()) / 1e6).alias("at"))
+        rows.write.mode("overwrite").parquet(f"{self.root}/_progress/run={run:06d}/place={self.stages.index(stage)}/step={step}")
+
+    def progress(self) -> DataFrame:
+        """``PROGRESS`` of the documents in a run that goes on, or that was killed: where they are, in units done and in all, and when that was told in seconds.
+
+        Documents that all stages are through with are not shown, and a run that ends takes its reports with it.
+        """
+        if not list_names(self.spark, f"{self.root}/_progress"):
+            return self.spark.createDataFrame([], PROGRESS)
+        reports = self.spark.read.schema(REPORT).parquet(f"{self.root}/_progress")
+        names = F.array(*(F.lit(s.name) for s in self.stages))
+        summed = reports.groupBy("document_id", "run", "place").agg(F.sum("made").alias("done"), F.max("total").alias("total"), F.max("at").alias("at"))
+        told = summed.select("document_id", F.get(names, F.col("place")).alias("stage"), "done", "total", "at")
+        ended = self.outcomes().where((F.col("stage") == self.stages[-1].name) & (F.col("state") != PARTIAL)).select("document_id", "run")
+        last_run = reports.groupBy("document_id").agg(F.max("run").alias("run"))
+        return clear_progress(report_progress(self.spark.createDataFrame([], PROGRESS), told), ended.join(last_run, ["document_id", "run"], "left_semi"))
+
+    # -- a stage
+
     def _run_stage(self, stage: Stage, docs: DataFrame, state: DataFrame, run: int) -> DataFrame:
         expected = self._expected()[stage.name]
         due = state.where(expected.isNotNull() & ~self._complete(stage, expected)).withColumn("input_fp", expected)
@@ -157,16 +213,22 @@ class Chain:
             if name == "documents":
                 return docs.join(ids, "document_id", "left_semi")
             wanted = due.select("document_id", F.col(f"{name}.input_fp").alias("input_fp"))
-            return self._all_rows(of[name]).join(wanted, ["document_id", "input_fp"], "left_semi").drop("input_fp", "run")
+            return self._all_rows(of[name]).join(wanted, ["document_id", "input_fp"], "left_semi").drop("input_fp", "run", "step")
 
         inputs = {name: given(name) for name in stage.reads}
         units = inputs[stage.reads[0]]
         had = self._all_rows(stage).join(ids, ["document_id", "input_fp"], "left_semi").select(key)
         todo = units.join(had, key, "left_anti")
-        columns = [c for c in self._all_rows(stage).columns if c not in ("input_fp", "run")]
-        made = stage.run({**inputs, stage.reads[0]: todo}).select(columns)
-        asked_for = made.join(todo.select(key), key, "left_semi") if stage.key else made  # a document that was not given is no part of ids
-        asked_for.join(ids, "document_id").write.mode("overwrite").parquet(f"{self._rows_path(stage)}/run={run:06d}")
+        columns = [c for c in self._all_rows(stage).columns if c not in ("input_fp", "run", "step")]
+        for step, part in self._steps(stage, units, todo, run):
+            made = stage.run({**inputs, stage.reads[0]: part}).select(columns)
+            asked_for = made.join(part.select(key), key, "left_semi") if stage.key else made  # a document that was not given is no part of ids
+            rows = asked_for.join(ids, "document_id")
+            path = f"{self._rows_path(stage)}/run={run:06d}/step={step}"
+            rows.write.mode("overwrite").parquet(path)
+            if stage.key and self.step_units:
+                came = self.spark.read.schema(rows.schema).parquet(path).select(key).distinct()
+                self._report(stage, came.groupBy("document_id").agg(F.count("*").alias("made")), run, step)
 
         now = self._all_rows(stage).join(ids, ["document_id", "input_fp"], "left_semi")
         count = F.count_distinct(*stage.key) if stage.key else F.lit(1).cast("long")

@@ -124,7 +124,7 @@ def stored(parents: DataFrame, children: DataFrame, documents: DataFrame, refusa
     return rows.unionByName(fill(state, "document", status=status)).select(names)
 
 
-def ingest_chain(spark: SparkSession, root: str, dim: int, enricher: Enricher = stub_enricher, embedder: Embedder | None = None, max_chunks: int = MAX_CHUNKS, packing: Packing = pack_counted) -> Chain:
+def ingest_chain(spark: SparkSession, root: str, dim: int, enricher: Enricher = stub_enricher, embedder: Embedder | None = None, max_chunks: int = MAX_CHUNKS, packing: Packing = pack_counted, step_units: int | None = None) -> Chain:
     """From ``documents(document_id, content_fp, title, pages)`` to stored rows, in stages that can each be cut short.
 
     Chunks are enriched and embedded one by one as far as their providers let; a document is stored once both are whole.
@@ -147,7 +147,7 @@ def ingest_chain(spark: SparkSession, root: str, dim: int, enricher: Enricher =
         Stage("enriched", lambda t: enrich(t["children"], None, enricher), "document_id string, chunk_index long, context string, category string", ("children",), chunk),
         Stage("vectors", vectors, "document_id string, chunk_index long, embedding array<float>", ("children", "enriched", "documents"), chunk),
         Stage("stored", store, STORED, ("documents", "parents", "children", "enriched", "vectors")),
-    ])
+    ], step_units)
 
 
 __all__ = ["DROP_BELOW", "Stage", "accepted", "child_rows", "children_of", "contextualized", "ingest_chain", "parent_chunks", "parents_of", "persist", "refused", "row_id", "stored", "structure", "to_run", "too_many_chunks", "without_text"]

@@ -183,3 +183,33 @@ def test_ingestion_with_a_limited_provider(spark, tmp_path):
     orphans = stored.where("kind = 'child'").join(stored.where("kind = 'parent'").select(F.col("id").alias("parent_id")), "parent_id", "left_anti")
     assert orphans.isEmpty()
     assert chain.behind(parsed).isEmpty()
+
+
+def test_progress_is_seen_while_a_stage_runs(spark, tmp_path):
+    seen, stop = [], {"at": 2}
+
+    def answer(t):
+        seen.append({r.document_id: (r.stage, r.done, r.total) for r in chain.progress().collect()})
+        if len(seen) > stop["at"]:
+            raise OSError("the machine is gone")
+        return t["chunks"].select("document_id", "chunk_index", F.lit(len(seen)).alias("step_no"))
+
+    stages = [chunks_stage({"a": 30, "b": 9}), Stage("answers", answer, "document_id string, chunk_index long, step_no int", ("chunks",), CHUNK), Stage("after", lambda t: t["answers"].groupBy("document_id").agg(F.count("*").alias("n")), "document_id string, n long", ("answers",))]
+    chain = Chain(spark, str(tmp_path), stages, step_units=10)
+    docs = docs_of(spark, a="1", b="1")
+    assert chain.progress().isEmpty()
+    with pytest.raises(OSError, match="gone"):
+        chain.advance(docs)
+    assert seen[0] == {"a": ("answers", 0, 30), "b": ("answers", 0, 9)}
+    done = [sum(d for _, d, _ in s.values()) for s in seen]
+    assert done[0] < done[1] < done[2] < 39 and all(s["a"][2] == 30 and s["b"][2] == 9 for s in seen)
+    left = {r.document_id: (r.stage, r.done, r.total) for r in chain.progress().collect()}
+    assert left == seen[2]  # of a run that was killed the last reports stay
+    n_before = len(seen)
+    stop["at"] = 1000
+    chain.advance(docs)
+    assert seen[n_before] == {d: ("answers", n, total) for d, (_, n, total) in left.items()}  # goes on where the steps before ended
+    assert {r.document_id: r.n for r in chain.rows("after").collect()} == {"a": 30, "b": 9}
+    assert chain.rows("answers").count() == 39
+    assert chain.progress().isEmpty()
+    assert "step" not in chain.rows("answers").columns
