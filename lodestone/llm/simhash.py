@@ -1,11 +1,12 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Anchors are pairs of codewords of the binary Golay code [23,12], which is perfect: every 23-bit word lies within 3
-bits of exactly one codeword. The first 46 of a fingerprint's 64 bits are two such words; the other 18 bits only take
-part in the comparison. A fingerprint's home is its nearest anchor. It is replicated to every anchor within covering
-radius plus threshold: codewords at 3 + a and 3 + b bits, a + b at most the threshold. Of two fingerprints that
+Anchors are triples of codewords of the binary Golay code [23,12], which is perfect: every 23-bit word lies within 3
+bits of exactly one codeword. A fingerprint's 64 bits are three such words, the last with five zeros before its 18
+bits. A fingerprint's home is its nearest anchor. It is replicated to every anchor within covering radius plus
+threshold: codewords at 3 + a, 3 + b and 3 + c bits, a + b + c at most the threshold. Of two fingerprints that
 differ in at most that many bits, each so has a copy at the other's home, and they are compared there. No link is
-missed, and the join's output is links alone.
+missed, and the join's output is links alone. A codeword goes by its 12 message bits, so an anchor is 36 bits: a
+billion fingerprints leave most of them with one home or none.
 """
 
 from __future__ import annotations
@@ -69,42 +70,50 @@ def _syndromes(words: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def _patterns(excess: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each syndrome the words within covering radius plus ``excess`` that have it, and their excess.
+def _patterns(excess: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each syndrome a row of the words within covering radius plus ``excess`` that have it, and one of their excess.
 
-    A word xor these gives the codewords around it. The first has excess 0 and is the only one of it.
+    A word xor these gives the codewords around it. The first of a row has excess 0 and is the only one of it; rows are
+    filled up with an excess that is too large.
     """
     words = np.array([sum(1 << b for b in bits) for n in range(GOLAY_RADIUS + excess + 1) for bits in combinations(range(GOLAY_LENGTH), n)], dtype=np.int64)
-    over = np.maximum(np.bitwise_count(words).astype(np.int64) - GOLAY_RADIUS, 0)
+    over = np.maximum(np.bitwise_count(words).astype(np.int8) - GOLAY_RADIUS, 0).astype(np.int8)
     syndromes = _syndromes(words)
     order = np.lexsort((over, syndromes))
-    cuts = np.searchsorted(syndromes[order], np.arange(1, 2048))
-    return np.split(words[order], cuts), np.split(over[order], cuts)
+    row = syndromes[order]
+    column = np.arange(len(row)) - np.searchsorted(row, row)
+    found = np.zeros((2048, column.max() + 1), dtype=np.int64)
+    spent = np.full(found.shape, excess + 1, dtype=np.int8)
+    found[row, column], spent[row, column] = words[order], over[order]
+    return found, spent
 
 
-def _halves(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = (1 << GOLAY_LENGTH) - 1
-    return fps & mask, fps >> GOLAY_LENGTH & mask
+def _words(fps: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The three words of each fingerprint."""
+    return tuple(fps >> n * GOLAY_LENGTH & (1 << min(GOLAY_LENGTH, 64 - n * GOLAY_LENGTH)) - 1 for n in range(3))
+
+
+def _anchor(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The number of three codewords: each is told by what stands before its 11 check bits."""
+    return a >> 11 << 24 | b >> 11 << 12 | c >> 11
 
 
 def homes(fps: np.ndarray) -> np.ndarray:
     """The nearest anchor of each fingerprint."""
-    words, _ = _patterns(0)
-    leader = np.array([w[0] for w in words])
-    a, b = (half ^ leader[_syndromes(half)] for half in _halves(fps))
-    return a << GOLAY_LENGTH | b
+    leader = _patterns(0)[0][:, 0]
+    return _anchor(*(word ^ leader[_syndromes(word)] for word in _words(fps)))
 
 
 def anchors(fps: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ``fps`` and anchors: every anchor within covering radius plus ``bits`` of each."""
     words, over = _patterns(bits)
-    (a, b), at, out = _halves(fps), [], []
-    for k, (x, y, sx, sy) in enumerate(zip(a.tolist(), b.tolist(), _syndromes(a).tolist(), _syndromes(b).tolist(), strict=True)):
-        near = over[sx][:, None] + over[sy][None, :] <= bits
-        i, j = np.nonzero(near)
-        out.append((words[sx][i] ^ x) << GOLAY_LENGTH | (words[sy][j] ^ y))
-        at.append(np.full(len(i), k))
-    return (np.concatenate(at), np.concatenate(out)) if at else (np.empty(0, np.int64), np.empty(0, np.int64))
+    parts = _words(fps)
+    at = [_syndromes(p) for p in parts]
+    first, second, third = (over[r] for r in at)
+    k, i, j = np.nonzero(first[:, :, None] + second[:, None, :] <= bits)
+    pair, l = np.nonzero((first[k, i] + second[k, j])[:, None] + third[k] <= bits)
+    k, i, j = k[pair], i[pair], j[pair]
+    return k, _anchor(*(words[r[k], n] ^ p[k] for r, n, p in zip(at, (i, j, l), parts, strict=True)))
 
 
 def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:

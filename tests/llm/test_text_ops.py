@@ -327,9 +327,26 @@ def test_links_lose_nothing(spark):
 
 def test_every_word_is_near_one_anchor():
     words = np.arange(0, 1 << 23, 997)
-    home = H.homes(words) >> H.GOLAY_LENGTH
-    assert (np.bitwise_count(words ^ home) <= 3).all()
-    assert (H._syndromes(home) == 0).all()
+    for place, bits in ((0, 23), (23, 23), (46, 18)):
+        some = words & (1 << bits) - 1
+        message = H.homes(some << place) >> 24 - 12 * (place // 23) & 4095
+        home = message << 11 | H._syndromes(message << 11)
+        assert (H._syndromes(home) == 0).all()
+        assert (np.bitwise_count(some ^ home) <= 3).all()
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_a_copy_lies_at_each_home_within_the_threshold(bits):
+    rng = np.random.default_rng(5)
+    fps = rng.integers(-(2**63), 2**63 - 1, 300)
+    near = fps.copy()
+    for k in range(len(near)):
+        for b in rng.choice(64, bits, replace=False):
+            near[k] ^= np.array(1 << int(b), dtype=np.uint64).astype(np.int64)
+    at, found = H.anchors(fps, bits)
+    pairs = set(zip(at.tolist(), found.tolist(), strict=True))
+    assert len(pairs) == len(at)
+    assert pairs >= {*enumerate(H.homes(fps).tolist()), *enumerate(H.homes(near).tolist())}
 
 
 def brute_components(nodes, edges):
