@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.functions.language import coerced, detect_language
+from lodestone.functions.language import STOP_WORDS, coerced, detect_language
 from lodestone.functions.outline import sections
 from lodestone.functions.vectors import inner, is_finite, is_normalized, stub_embedding
 from lodestone.operators import candidates as C
@@ -552,7 +552,14 @@ def page_outline(spark, sf_dir):
     return sections(docs, F.col("pages")).withColumn("page", F.col("page").cast("long")).withColumn("section", F.col("section").cast("long"))
 
 
-@query()
+_STOPS = ", ".join(f"('{code}', {list(stops)})" for code, stops in STOP_WORDS.items())
+_WORD_CHARS = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, list_transform(regexp_split_to_array(lower(text), '[\s\p{{Z}}]+'), lambda w: regexp_replace(w, '^[^{_WORD_CHARS}]+|[^{_WORD_CHARS}]+$', '', 'g')) AS words FROM documents),
+n AS (SELECT doc_id, code, coalesce(len(list_filter(words, lambda w: list_contains(stops, w))), 0) AS n FROM t, (VALUES {_STOPS}) s(code, stops)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) AS r FROM n)
+SELECT doc_id, CASE WHEN n > 0 AND code <> 'vi' THEN code ELSE 'other' END AS language FROM best WHERE r = 1""")
 def language_ident(spark, sf_dir):
     """language by function words, all four languages of the table allowed."""
     return table(spark, sf_dir, "documents").select("doc_id", detect_language(F.col("text"), ("de", "en", "es", "fr")).alias("language"))
