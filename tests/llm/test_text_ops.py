@@ -52,6 +52,37 @@ def test_media_columns(spark):
     assert M.media_columns(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_stored_form_by_brute_force(spark):
+    """Sizes, hashes and features are those of the members that lie in the archives, which zipfile and a plain decoder read."""
+    import zipfile
+
+    uri = fresh_path(spark, "media-test")
+    M.write_media(spark.createDataFrame(EDGES, DOCS).repartition(2), uri)
+    system, path = M.files.opened(uri)
+    want = []
+    for info in system.get_file_info(M.fs.FileSelector(path)):
+        if not info.path.endswith(".zip"):
+            continue
+        with zipfile.ZipFile(system.open_input_file(info.path)) as archive:
+            for name in archive.namelist():
+                stored = archive.read(name)
+                at, data = 8, b""
+                while at < len(stored):
+                    size, kind = int.from_bytes(stored[at : at + 4], "big"), stored[at + 4 : at + 8]
+                    data += stored[at + 8 : at + 8 + size] if kind == b"IDAT" else b""
+                    at += size + 12
+                lines = zlib.decompress(data)
+                rows = [lines[k + 1 : k + 65] for k in range(0, len(lines), 65)]
+                assert all(lines[k] == 0 for k in range(0, len(lines), 65))
+                total, columns = sum(map(sum, rows)), [sum(r[c] for r in rows) for c in range(64)]
+                bright = "".join("1" if c / len(rows) > total / (64 * len(rows)) else "0" for c in columns)
+                mark = f"{int(bright, 2):016x}:{total * 1000 // (64 * len(rows))}"
+                want.append((hashlib.sha256(b"".join(rows)).hexdigest(), len(stored), hashlib.sha256(stored).hexdigest(), mark))
+    assert len(want) == len(EDGES)
+    got = M.media_features(M.read_media(spark, uri)).select("payload_sha256", "media_bytes", "media_sha256", "feature").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_byte_ranges_cover_all_members_once(spark):
     uri = fresh_path(spark, "media-test")
     docs = spark.createDataFrame([(i, hashlib.sha256(str(i).encode()).hexdigest() * 9) for i in range(200)], DOCS)
