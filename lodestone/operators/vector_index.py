@@ -23,6 +23,8 @@ from lodestone.sources.scratch import drop, written
 MAX_CELLS, SAMPLE_PER_CELL, ROUNDS = 4_096, 256, 10
 #: Components are added up as integers of this fineness, so that a sum doesn't depend on its order.
 FINE = 1 << 24
+#: Questions whose cells are sorted at a time.
+PROBED = 256
 ROW = "vec_id long, embedding array<double>"
 
 
@@ -138,20 +140,20 @@ class VectorIndex:
         """``(q_id, vec_id, rank, score)``: the ``k`` best rows of each question in the ``probes`` cells nearest to it.
 
         Questions go to the tasks in blocks; each block reads the cells that one of its questions probes. Where there
-        are several blocks, each one's results are written before the next is asked.
+        are several blocks, each one's results are written before the next is asked. Of a block the driver holds the
+        vectors, and a bit for each question and cell unless all cells are probed.
         """
         asked = questions.where("embedding IS NOT NULL").select(F.col("q_id").cast("long").alias("q_id"), F.col("embedding").cast("array<double>").alias("embedding"))
         passes = max(1, math.ceil(asked.count() / block))
+        centroids = self.centroids()
         found = None
         for n in range(passes):
-            part = asked.where(F.pmod(F.xxhash64("q_id"), F.lit(passes)) == n)
-            vectors = {r[0]: r[1] for r in part.collect()}
+            vectors = {r[0]: r[1] for r in asked.where(F.pmod(F.xxhash64("q_id"), F.lit(passes)) == n).collect()}
             q_ids = sorted(vectors)
-            at = {q: i for i, q in enumerate(q_ids)}
-            of_cell: dict[int, list[int]] = {}
-            for q, cell, _ in self.probed(part, probes).collect():
-                of_cell.setdefault(cell, []).append(at[q])
-            more = self.rows(sorted(of_cell)).mapInArrow(_cell_searcher(q_ids, np.array([vectors[q] for q in q_ids]), {c: np.array(qs) for c, qs in of_cell.items()}, k), "q_id long, vec_id long, score double")
+            matrix = np.array([vectors[q] for q in q_ids], dtype=np.float64)
+            probing = _probing(matrix, centroids, probes) if q_ids and probes < len(centroids) else None
+            cells = None if probing is None else np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(probing, axis=0), count=len(centroids))).tolist()
+            more = self.rows(cells).mapInArrow(_cell_searcher(q_ids, matrix, probing, k), "q_id long, vec_id long, score double")
             if passes > 1:
                 more, _ = written(more, "vector-pass")
             found = more if found is None else found.unionByName(more)
@@ -176,18 +178,40 @@ class VectorIndex:
         return max(1, cells)
 
 
-def _cell_searcher(q_ids: list[int], matrix: np.ndarray, of_cell: dict[int, np.ndarray], k: int):
+def _probing(matrix: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    """A row of packed bits for each row of ``matrix``: which cells it probes, the ``probes`` nearest."""
+    out = []
+    for at in range(0, len(matrix), PROBED):
+        near = np.argsort(-_affinity(matrix[at : at + PROBED], centroids), axis=1, kind="stable")[:, :probes]
+        held = np.zeros((len(near), len(centroids)), bool)
+        np.put_along_axis(held, near, True, axis=1)
+        out.append(np.packbits(held, axis=1))
+    return np.concatenate(out)
+
+
+def _cell_searcher(q_ids: list[int], matrix: np.ndarray, probing: np.ndarray | None, k: int):
+    """Searches rows for the questions that probe their cell; for all where ``probing`` is None."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not q_ids:
+            return
         best = [(np.empty(0, np.int64), np.empty(0))] * len(q_ids)
+        least = np.full(len(q_ids), -np.inf)  # the k-th best score so far; a row below it is in no result
+        everyone = np.arange(len(q_ids))
         for batch in _batches(batches):
             ids, rows, cells = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy()
-            for cell in np.unique(cells):
-                mine, asking = cells == cell, of_cell[int(cell)]
+            for cell in np.unique(cells) if probing is not None else (None,):
+                mine = slice(None) if cell is None else cells == cell
+                asking = everyone if cell is None else np.flatnonzero(probing[:, cell >> 3] >> (7 - (cell & 7)) & 1)
                 scores = np.round(matrix[asking] @ rows[mine].T, PLACES)
-                for q, each in zip(asking, scores, strict=True):
-                    all_ids, all_scores = np.concatenate([best[q][0], ids[mine]]), np.concatenate([best[q][1], each])
+                near, some = scores >= least[asking, None], ids[mine]
+                for i in np.flatnonzero(near.any(axis=1)):
+                    q, new = asking[i], near[i]
+                    all_ids, all_scores = np.concatenate([best[q][0], some[new]]), np.concatenate([best[q][1], scores[i, new]])
                     keep = _local_best(all_ids, all_scores, k)
                     best[q] = (all_ids[keep], all_scores[keep])
+                    if len(keep) == k:
+                        least[q] = best[q][1].min()
         lengths = [len(ids) for ids, _ in best]
         if sum(lengths):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, lengths), pa.int64()), pa.array(np.concatenate([b[0] for b in best]), pa.int64()), pa.array(np.concatenate([b[1] for b in best]), pa.float64())], ["q_id", "vec_id", "score"])

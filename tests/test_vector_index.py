@@ -58,3 +58,21 @@ def test_no_vectors(spark, tmp_path):
     none = spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")
     index = VectorIndex.build(none, f"{tmp_path}/index")
     assert index.search(none.withColumnRenamed("vec_id", "q_id")).count() == 0
+
+
+def test_what_the_driver_gets_does_not_grow_with_questions_times_cells(spark, tmp_path, corpus, monkeypatch):
+    table, questions = corpus
+    index = VectorIndex.build(table, f"{tmp_path}/index", cells=24)
+    collected, collect = [], type(table).collect
+    monkeypatch.setattr(type(table), "collect", lambda self: collected.append(len(rows := collect(self))) or rows)
+    found = {probes: index.search(questions, 10, probes) for probes in (6, 24)}
+    assert sum(collected) <= 2 * (18 + 24)  # questions and centroids of each search, not 18 * (6 + 24) pairs
+    monkeypatch.undo()
+    near = index.probed(questions, 6).join(index.rows().select("vec_id", "cell"), "cell").select("q_id", "vec_id")
+    every = knn_batch(questions, table, 900).join(near, ["q_id", "vec_id"])
+    want = {}
+    for r in sorted(every.collect(), key=lambda r: (r.q_id, -r.score, r.vec_id)):
+        want.setdefault(r.q_id, []).append((r.vec_id, r.score))
+    got = [(r.q_id, r.rank, r.vec_id, r.score) for r in found[6].collect()]
+    assert sorted(got) == sorted((q, i, *x) for q, rows in want.items() for i, x in enumerate(rows[:10], 1))
+    assert ranked(found[24]) == ranked(knn_batch(questions, table, 10))
