@@ -24,6 +24,11 @@ def normalized(v: Column) -> Column:
     return let(v, lambda w: let(norm(w), lambda n: F.transform(w, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """As SQL engines round doubles: a half goes away from zero, and what is rounded to zero keeps its sign (``F.round`` loses it)."""
+    return F.round(F.abs(x) * 10.0**places) * F.signum(x) / 10.0**places
+
+
 def is_normalized(v: Column, tolerance: float = TOLERANCE) -> Column:
     return F.abs(norm(v) - 1) < tolerance
 

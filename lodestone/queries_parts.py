@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.functions.outline import ENUMERATED, line_of, without_markup
 from lodestone.functions.titles import title
-from lodestone.functions.vectors import normalized
+from lodestone.functions.vectors import normalized, rounded
 from lodestone.operators import evaluation as E
 from lodestone.operators import state as S
 from lodestone.operators import typography as Y
@@ -180,7 +180,7 @@ def list_items(spark, sf_dir):
 def question_vectors(spark, sf_dir):
     """M6: a question's vector brought to length one."""
     scaled = F.transform("embedding", lambda x: x.cast("double") * 3)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(normalized(scaled), lambda x: F.round(x, 6)).alias("unit"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(normalized(scaled), lambda x: rounded(x, 6)).alias("unit"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN 'H ' || p_brand ELSE left(p_type, 200) END AS title FROM part")

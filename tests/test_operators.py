@@ -156,3 +156,19 @@ def test_rows_of_listed_ids(spark, tmp_path):
     assert sorted(r[0] for r in by_ids(rows, [5, 5, 9000, 7]).collect()) == [5, 7]
     assert "In(document_id, [5,7])" in by_ids(rows, [5, 7])._jdf.queryExecution().executedPlan().toString()
     assert by_ids(rows, range(1500)).count() == 1500
+
+
+def test_question_vectors_keep_the_sign_of_zero_as_sql_does(spark, tmp_path):
+    import duckdb
+    import numpy as np
+
+    import __spark_entry__
+
+    rows = [(0, [1.0, -1e-8, 1e-8, 0.0]), (1, [-0.6, 0.8, -0.0, -4.9e-7]), (2, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = dict(con.sql(__spark_entry__.oracle_sql()["question_vectors"]).fetchall())
+    got = {r.vec_id: r.unit for r in __spark_entry__.queries()["question_vectors"](spark, str(tmp_path)).collect()}
+    assert np.signbit(want[0][1]) and got[2] is None
+    assert {i: np.array(v).tobytes() for i, v in got.items() if v} == {i: np.array(v).tobytes() for i, v in want.items() if v}
