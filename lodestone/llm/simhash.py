@@ -132,7 +132,7 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
 
     here = distinct.select("fp").mapInArrow(home, "anchor long, fp long")
     there = distinct.select("fp").mapInArrow(around, "anchor long, other long")
-    near = here.join(there, "anchor").where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= bits))
+    near = here.hint("merge").join(there, "anchor").where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= bits))
     return near.select(F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v")).distinct()
 
 
@@ -140,13 +140,14 @@ def _grouped(docs: DataFrame, bits: int, shingle: int, seed: int) -> DataFrame:
     """``(doc_id, text_hash, fp, root, component_id)`` for each row; root is the group's fingerprint."""
     hashed = materialize(fingerprints(docs, shingle, seed), "fingerprints")
     nodes = materialize(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    rooted = components(links(nodes, bits)).select(F.col("node").alias("fp"), "root")
+    # What is joined grows with the input: never broadcast, whatever its size.
+    rooted = components(links(nodes, bits)).select(F.col("node").alias("fp"), "root").hint("merge")
     placed = nodes.join(rooted, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     placed = materialize(placed, "placed")
     least = materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    named = materialize(placed.join(least, "root").select("fp", "root", "component_id"), "named")
+    named = materialize(placed.join(least.hint("merge"), "root").select("fp", "root", "component_id"), "named")
     discard(nodes, placed, least)
-    return hashed.join(named, "fp")
+    return hashed.join(named.hint("merge"), "fp")
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:

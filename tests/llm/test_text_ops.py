@@ -731,3 +731,22 @@ def test_resampling_edges(spark):
     assert all(r.log_weight == 0 for r in rows)
     kept = R.resample(spark.createDataFrame(EDGES, DOCS), none, share=0.5).collect()
     assert sum(r.doc_id == 3 for r in kept) in (0, 2)
+
+
+def test_simhash_broadcasts_nothing_through_the_driver(spark, monkeypatch):
+    from lodestone.llm import graph, shared, simhash
+
+    plans = []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared.materialize(df, name)
+
+    monkeypatch.setattr(simhash, "materialize", seen)
+    monkeypatch.setattr(graph, "materialize", seen)
+    rows = [(i, " ".join(f"w{i * j % 97}" for j in range(1, 30))) for i in range(40)] + [(100 + i, "one text that is copied") for i in range(5)] + [(200, None), (201, "")]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {r.component_id for r in found.collect() if 100 <= r.doc_id < 200} == {100}
+    assert sum("SortMergeJoin" in p for p in plans) >= 6
+    assert not any("Broadcast" in p for p in plans)
