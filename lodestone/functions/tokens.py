@@ -19,6 +19,8 @@ WORD = re.compile(r"\S+")
 PIECES = "array<struct<content: string, token_count: int>>"
 #: Words a worker keeps the costs of; longer ones than ``LONG`` characters are costed each time.
 KEPT, LONG = 200_000, 64
+#: Texts whose pieces a worker holds at a time, however many a batch has.
+TEXTS = 128
 
 #: The tokens of each of some strings, each encoded by itself.
 Counter = Callable[[Sequence[str]], list[int]]
@@ -74,13 +76,18 @@ def cut_points(behind: np.ndarray, alone: np.ndarray, least: int, most: int) ->
     return pieces
 
 
+def _some(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[tuple[pd.Series, ...]]:
+    """The rows of all batches, ``TEXTS`` at a time."""
+    return (tuple(c.iloc[at : at + TEXTS] for c in columns) for columns in batches for at in range(0, len(columns[0]), TEXTS))
+
+
 def token_packer(maker: Callable[[], Counter]) -> Callable[[Column, int, int], Column]:
     """``pack_counted`` by tokens: pieces as (content, token_count). White space between words becomes one space."""
 
     @F.pandas_udf(PIECES)
     def pieces(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         costs = WordCosts(maker())
-        for texts, least, most in batches:
+        for texts, least, most in _some(batches):
             out = []
             for text, a, b in zip(texts, least, most, strict=True):
                 words = (text or "").split()
@@ -100,7 +107,7 @@ def placed_packer(maker: Callable[[], Counter] | None = None) -> Callable[[Colum
     @F.pandas_udf(PLACED)
     def pieces(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         costs = WordCosts(maker() if maker else lambda words: [1] * len(words))
-        for texts, least, most in batches:
+        for texts, least, most in _some(batches):
             out = []
             for text, a, b in zip(texts, least, most, strict=True):
                 words = list(WORD.finditer(text or ""))

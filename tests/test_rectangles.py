@@ -38,3 +38,17 @@ def test_pieces_know_their_place(spark):
             assert " ".join(held[r.i][p.start : p.end].split()) == p.content
             assert p.token_count == len(p.content.split())
     assert [len(r.p) for r in sorted(rows)] == [2, 0, 5]
+
+
+def test_a_worker_holds_the_pieces_of_few_texts_at_a_time(spark):
+    import inspect
+
+    import pandas as pd
+
+    from lodestone.functions.tokens import TEXTS, placed_packer
+
+    pieces = inspect.getclosurevars(placed_packer()).nonlocals["pieces"].func
+    texts = pd.Series([f"one two {i} three" for i in range(1000)])
+    found = list(pieces(iter([(texts, pd.Series([1] * 1000), pd.Series([2] * 1000))])))
+    assert max(map(len, found)) <= TEXTS < 1000
+    assert [[p["content"] for p in row] for row in pd.concat(found)] == [["one two", f"{i} three"] for i in range(1000)]
