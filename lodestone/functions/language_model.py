@@ -21,6 +21,8 @@ from lodestone.sources.tables import spread
 BUCKETS, SMOOTH = 1 << 15, 0.5
 #: More languages than this are an error: the model is on the driver and in every task.
 MAX_LANGUAGES = 200
+#: Texts that a worker makes Python objects of at a time, however many a batch has.
+TEXTS = 128
 
 
 def letters(text: Column) -> Column:
@@ -35,6 +37,12 @@ def trigrams(text: str, buckets: int = BUCKETS) -> np.ndarray:
     return ((mixed ^ mixed >> np.uint64(15)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[str, str]]:
+    for at in range(0, batch.num_rows, TEXTS):
+        some = batch.slice(at, TEXTS)
+        yield from zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
@@ -47,7 +55,7 @@ class LanguageModel:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts: dict[str, np.ndarray] = {}
             for batch in batches:
-                for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for lang, text in _pairs(batch):
                     held = counts.setdefault(lang, np.zeros(buckets, np.int64))
                     np.add.at(held, trigrams(text, buckets), 1)
                     if len(counts) > MAX_LANGUAGES:
@@ -73,7 +81,7 @@ class LanguageModel:
 
         @F.pandas_udf("string")
         def likeliest(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in batches:
+            for texts in (b.iloc[at : at + TEXTS] for b in batches for at in range(0, len(b), TEXTS)):
                 found = []
                 for t in texts:
                     at = trigrams(t, weights.shape[1]) if t.strip() else ()

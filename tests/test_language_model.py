@@ -31,3 +31,18 @@ def test_learning_and_odd_texts(spark):
     assert len(trigrams(" a ")) == 1 and len(trigrams("  ")) == 0
     none = LanguageModel.learn(spark.createDataFrame([], "text string, lang string"))
     assert [r[0] for r in asked.where("i = 1").select(none.detect(F.col("t"))).collect()] == ["other"]
+
+
+def test_a_worker_makes_objects_of_few_texts_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from lodestone.functions import language_model as L
+
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de"] * 1000, "text": [f" t{i} " * 1000 for i in range(2000)]})
+    tracemalloc.start()
+    read = sum(len(text) for _, text in L._pairs(batch))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert read == sum(map(len, batch.column(1).to_pylist())) and peak < read / 4
