@@ -159,3 +159,19 @@ def test_rules_are_those_of_a_plain_search(spark):
         over = {(a, b) for a in kinds for b in kinds - {a} if at[a][0] > at[b][-1] and all(at[c][-1] < at[a][0] for c in kinds - {a, b} if (c, b) in splits)}
         dotted = {k for k in kinds if sum(hs[i][2] for i in at[k]) * 2 > len(at[k])}
         assert got.get(d, (set(), set(), set())) == (kinds, dotted, divided | over), (d, hs)
+
+
+def test_a_worker_holds_the_lines_of_few_documents_at_a_time(spark, monkeypatch):
+    import pyspark.sql.functions as F
+
+    from lodestone.functions import outline as O
+
+    docs = spark.createDataFrame([(i, f"# Part {i}\nbody {i}") for i in range(50)], "document_id long, text string").coalesce(1)
+    split = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: split.append(f) or self)
+    told = O.sections(docs.select("document_id", F.array("text").alias("pages")), F.col("pages"))
+    monkeypatch.undo()
+    batch = told.toArrow().combine_chunks().to_batches()[0]
+    found = [b.column(0).to_pylist() for b in split[0](iter([batch]))]
+    assert batch.num_rows == 50 and max(len(set(ids)) for ids in found) <= 16
+    assert sorted({i for ids in found for i in ids}) == list(range(50))
