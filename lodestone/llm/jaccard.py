@@ -2,8 +2,9 @@
 
 A document is the set of its runs of five words. Signatures of 32 bands of 5 minima find candidates: two sets of
 similarity 0.8 share a band with probability 1 - (1 - 0.8^5)^32, all but 3 in a million, and more similar ones more
-surely. (Anchors around SimHashes would need 870,000 copies of each fingerprint to cover the 11 bits by which such
-texts differ, and miss those that differ in more.) Every link is then verified on the whole sets.
+surely. Pairs of fingerprints that link by SimHash (``lodestone.llm.simhash``, anchor points) are candidates, too: those
+of near copies, whichever bands they share. (For the 11 bits by which texts of similarity 0.8 differ, anchors would need
+870,000 copies of each fingerprint, so bands find those.) Every link is then verified on the whole sets.
 
 Members of a band's bucket are compared with its hub first, the member with the least share of shingles of its own.
 A second pass compares the pairs of members that this leaves in different components, found by prefixes: sets of the
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.graph import components
 from lodestone.llm.shared import discard, materialize, spare
+from lodestone.llm.simhash import fingerprints
+from lodestone.llm.simhash import links as simhash_links
 
 SHINGLE, TENTHS, SEED = 5, 8, 42
 BANDS, ROWS = 32, 5
@@ -108,12 +111,32 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
+def simhash_pairs(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(u, v)``, u < v: candidates by SimHash among ``nodes(node, first)``, whose fingerprint is that of their first text.
+
+    The least node of a fingerprint stands for it: the others are paired with it, and it with those of the fingerprints
+    that link to its own.
+    """
+    texts = nodes.select("node", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash")).hint("merge")
+    of_text = fingerprints(docs).join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash").eqNullSafe(F.col("hash"))))
+    nodes = materialize(of_text.select("node", "fp").distinct(), "node-fingerprints")
+    hubs = materialize(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "simhash-hubs")
+    same = nodes.join(hubs.hint("merge"), "fp").where("node <> hub").select(*_ordered("node", "hub"))
+    of = lambda fp, hub: hubs.select(F.col("fp").alias(fp), F.col("hub").alias(hub)).hint("merge")
+    near = simhash_links(hubs).join(of("u", "a"), "u").join(of("v", "b"), "v").select(*_ordered("a", "b"))
+    out = materialize(same.unionByName(near).distinct(), "simhash-pairs")
+    discard(hubs, nodes)
+    return out
+
+
 def _roots(docs: DataFrame, nodes: DataFrame, keyed: DataFrame, tenths: int) -> DataFrame:
     """``(node, root)`` of the nodes that have links."""
     spread = materialize(keyed.where("size > 0").select("node", "size", F.explode("keys").alias("key")).distinct(), "bands")
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     together = materialize(spread.join(shared.hint("merge"), "key"), "buckets")
-    sets = materialize(_sets(docs, nodes, together), "sets")
+    by_simhash = simhash_pairs(docs, nodes)
+    members = together.select("node").unionByName(by_simhash.select(F.explode(F.array("u", "v")).alias("node")))
+    sets = materialize(_sets(docs, nodes, members), "sets")
     # Shingles that no other member has are in no intersection: what a set can share is the rest.
     single = sets.distinct().select("node", F.explode("set").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
     alone = single.groupBy("node").agg(F.count("*").alias("alone"))
@@ -125,8 +148,9 @@ def _roots(docs: DataFrame, nodes: DataFrame, keyed: DataFrame, tenths: int) ->
     def may_link(size: str, common: str) -> Column:
         return (10 + tenths) * F.least("common", common) >= tenths * (F.col("size") + F.col(size))
 
-    tried = members.where((F.col("node") != F.col("hub.node")) & may_link("hub.size", "hub.common")).select(*_ordered("node", "hub.node")).distinct()
-    tried = materialize(tried, "hub-pairs")
+    tried = members.where((F.col("node") != F.col("hub.node")) & may_link("hub.size", "hub.common")).select(*_ordered("node", "hub.node"))
+    tried = materialize(tried.unionByName(by_simhash).distinct(), "hub-pairs")
+    discard(by_simhash)
     first = materialize(_links(sets, tried, tenths), "hub-links")
 
     # Members' shingles with the rarest first: of a pair that has the similarity, the first one in both lies so early in

@@ -70,3 +70,21 @@ def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
         docs += [(i, " ".join(body)), (100 + i, " ".join([*body[:-1], "end"]))]
     out = keep_one_of_similar(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r.doc_id for r in out.collect()} == brute(docs) == set(range(12))
+
+
+def test_candidates_come_from_simhash_too(spark, monkeypatch):
+    from lodestone.llm.simhash import fingerprint
+    from lodestone.llm import jaccard
+
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, text, "en"), (2, text + " more", "en"), (3, "something else in a few words", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fps = [fingerprint(t) for _, t, _ in rows]
+    assert (fps[0] ^ fps[1]).bit_count() <= 2 < (fps[0] ^ fps[2]).bit_count()
+    keyed = jaccard._keyed(docs)
+    node = {r.doc_id: r.node for r in keyed.collect()}
+    pairs = jaccard.simhash_pairs(docs, keyed.selectExpr("node", "struct(doc_id, text_hash) AS first"))
+    assert [tuple(r) for r in pairs.collect()] == [tuple(sorted((node[1], node[2])))]
+    asked = []
+    monkeypatch.setattr(jaccard, "simhash_pairs", lambda *a, f=jaccard.simhash_pairs: asked.append(1) or f(*a))
+    assert {r.doc_id for r in jaccard.keep_one_of_similar(docs).collect()} == {1, 3} and asked
