@@ -21,6 +21,8 @@ from lodestone.llm.shared import materialize
 from lodestone.llm.tokens import ID, encoder
 
 CAPACITY, END_ID = 2048, 0
+#: Words a task keeps the ids of.
+WORDS = 300_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BIN = "used int, pieces array<struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
 
@@ -29,17 +31,20 @@ def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None
     """The pieces of each document: its ids and the end id, cut every ``capacity`` ids. A null text is empty."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, step = encoder(tokenizer), np.array([end_id], dtype=ID).tobytes(), capacity * ID.itemsize
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = []
-                for doc_id, raw in zip(batch.column(0).slice(at, 200).to_pylist(), enc.encode(batch.column(1).slice(at, 200).to_pylist()), strict=True):
-                    raw += end
-                    for k, cut_at in enumerate(range(0, len(raw), step)):
-                        piece = raw[cut_at : cut_at + step]
-                        rows.append((doc_id, k, k * capacity, len(piece) // ID.itemsize, zlib.crc32(piece)))
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc, end, step = encoder(tokenizer, WORDS), np.array([end_id], dtype=ID).tobytes(), capacity * ID.itemsize
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 200):
+                    rows = []
+                    for doc_id, raw in zip(batch.column(0).slice(at, 200).to_pylist(), enc.encode(batch.column(1).slice(at, 200).to_pylist()), strict=True):
+                        raw += end
+                        for k, cut_at in enumerate(range(0, len(raw), step)):
+                            piece = raw[cut_at : cut_at + step]
+                            rows.append((doc_id, k, k * capacity, len(piece) // ID.itemsize, zlib.crc32(piece)))
+                    columns = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        finally:  # Spark deals tasks to all its idle workers in turn: each would hold as many words
+            enc.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE)
 

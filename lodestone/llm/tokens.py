@@ -42,9 +42,8 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
-        # For stems, which are normalized here and are one pre-token each: the same model without the slower steps.
-        self.plain = Tokenizer.from_file(tokenizer_path(path))
-        self.plain.normalizer = None
+        # For stems, which are normalized here and are one pre-token each: the same model, held once, without the slower steps.
+        self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.vocab_size = max(vocab.values()) + 1
@@ -71,6 +70,10 @@ class WordEncoder:
                 self.stems.clear()
         return out
 
+    def forget(self) -> None:
+        """Drop the words kept."""
+        self.words, self.stems = {}, {}
+
     def _learn(self, unknown: set[bytes]) -> None:
         words, stems, odd, later, new = self.words, self.stems, [], [], set()
         for word in unknown:
@@ -119,11 +122,11 @@ class WordEncoder:
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-_ENCODERS: dict[str | None, WordEncoder] = {}
+_ENCODERS: dict[tuple[str | None, int], WordEncoder] = {}
 
 
-def encoder(path: str | None = None) -> WordEncoder:
-    """One encoder for each tokenizer in a worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str | None = None, limit: int = 600_000) -> WordEncoder:
+    """One encoder for each tokenizer and limit in a worker process."""
+    if (path, limit) not in _ENCODERS:
+        _ENCODERS[path, limit] = WordEncoder(path, limit)
+    return _ENCODERS[path, limit]

@@ -153,3 +153,25 @@ def test_packing_edges(spark):
     # Items of which no two fit one bin end the rounds with more than one task's items left.
     big = spark.createDataFrame([(i, "a " * 70) for i in range(300)], DOCS)
     assert best_fit_packing(big, capacity=128, limit=50, fan_in=2).select("sequence_id").distinct().count() == 300
+
+
+def test_workers_keep_no_words_after_packing(spark):
+    path = tokenizer_path()  # an encoder that no other test's tasks use
+    docs = spark.createDataFrame([(i, f"word{i} letters {'x' * (i % 20)}y") for i in range(400)], DOCS).repartition(8)
+    assert best_fit_packing(docs, tokenizer=path).count() == 400
+
+    def held(batches):
+        import time
+
+        import pyarrow as pa
+
+        from lodestone.llm.tokens import _ENCODERS
+
+        for _ in batches:
+            time.sleep(0.2)  # so that each worker gets some
+            used = [e for key, e in _ENCODERS.items() if path in str(key)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(used)]), pa.array([sum(len(e.words) + len(e.stems) for e in used)])], ["encoders", "words"])
+
+    seen = spark.range(16, numPartitions=16).mapInArrow(held, "encoders long, words long").collect()
+    assert any(r.encoders for r in seen)
+    assert all(r.words == 0 for r in seen)
