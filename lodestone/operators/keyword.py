@@ -71,6 +71,29 @@ class Asked:
 Part = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """Documents split once for many passes: ``split(doc_id, terms)`` and ``frequencies(term, df)``, both written, how many there are and their mean length."""
+
+    split: DataFrame
+    frequencies: DataFrame
+    total: int
+    mean: float
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> Corpus:
+        split, _ = written(_split(docs), "split-texts")
+        frequencies, _ = written(split.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+        total, texts, words = split.agg(F.count("*"), F.count("terms"), F.sum(F.when(F.col("terms").isNotNull(), F.size("terms")))).first()
+        return cls(split, frequencies, total, (words or 0) / max(1, texts))
+
+    def having(self, asked: Asked) -> np.ndarray:
+        """For each asked term how many documents have it; the asked terms alone come to the driver."""
+        words = self.split.sparkSession.createDataFrame([(t,) for t in asked.terms], "term string")
+        found = {r.term: r.df for r in self.frequencies.join(words, "term").collect()}
+        return np.array([found.get(t, 0) for t in asked.terms], np.float64)
+
+
 def _split(docs: DataFrame) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", terms(F.col("text")).alias("terms"))
 
@@ -109,11 +132,11 @@ def _passes(questions: DataFrame, passes: int) -> Iterator[Asked]:
         yield Asked.of([tuple(r) for r in (rows.where(F.pmod(F.xxhash64("q_id"), F.lit(passes)) == n) if passes > 1 else rows).collect()])
 
 
-def _ranked(docs: DataFrame, questions: DataFrame, top: int, part_for: Callable[[Asked], Part]) -> DataFrame:
-    """Terms are counted and scored where a document is read, and only the ``top`` of a question and task are shuffled."""
+def _ranked(split: DataFrame, questions: DataFrame, top: int, part_for: Callable[[Asked], Part]) -> DataFrame:
+    """Terms of ``split(doc_id, terms)`` are counted and scored where a document is read, and only the ``top`` of a question and task are shuffled."""
     found, passes = None, max(1, math.ceil(questions.count() / BLOCK))
     for asked in _passes(questions, passes):
-        more = _split(docs).mapInArrow(_searcher(asked, top, part_for(asked)), "q_id long, doc_id long, score double")
+        more = split.mapInArrow(_searcher(asked, top, part_for(asked)), "q_id long, doc_id long, score double")
         if passes > 1:  # a pass is done, and its questions forgotten, before the next is asked
             more, _ = written(more, "keyword-pass")
         found = more if found is None else found.unionByName(more)
@@ -123,7 +146,7 @@ def _ranked(docs: DataFrame, questions: DataFrame, top: int, part_for: Callable[
 
 def keyword_tf(docs: DataFrame, questions: DataFrame, top: int = 10) -> DataFrame:
     """Documents by the sum of the asked terms' share of their words."""
-    return _ranked(docs, questions, top, lambda _: lambda term, times, length: times / length)
+    return _ranked(_split(docs), questions, top, lambda _: lambda term, times, length: times / length)
 
 
 def document_frequency(docs: DataFrame, asked: Asked) -> tuple[int, float, np.ndarray]:
@@ -144,15 +167,18 @@ def document_frequency(docs: DataFrame, asked: Asked) -> tuple[int, float, np.nd
     return docs.count(), rows.get(-2, 0) / max(1, rows.get(-1, 0)), np.array([rows.get(t, 0) for t in range(len(asked.terms))], np.float64)
 
 
-def keyword_bm25(docs: DataFrame, questions: DataFrame, top: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """Documents by BM25: a pass over the texts for the corpus counts of the asked terms, and one for the scores."""
+def keyword_bm25(docs: DataFrame | Corpus, questions: DataFrame, top: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """Documents by BM25: a pass over the texts for the corpus counts of the asked terms, and one for the scores.
+
+    Of a ``Corpus`` the counts are known, and no text is split again: for questions of many passes, or of many searches.
+    """
 
     def part_for(asked: Asked) -> Part:
-        n, mean, having = document_frequency(docs, asked)
+        n, mean, having = (docs.total, docs.mean, docs.having(asked)) if isinstance(docs, Corpus) else document_frequency(docs, asked)
         idf = np.log(1 + (n - having + 0.5) / (having + 0.5))
         return lambda term, times, length: idf[term] * times * (k1 + 1) / (times + k1 * (1 - b + b * length / mean))
 
-    return _ranked(docs, questions, top, part_for)
+    return _ranked(docs.split if isinstance(docs, Corpus) else _split(docs), questions, top, part_for)
 
 
 def browse(chunks: DataFrame, heading: str) -> DataFrame:

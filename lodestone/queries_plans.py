@@ -10,7 +10,7 @@ from lodestone.functions.language_model import LanguageModel
 from lodestone.functions.tokens import bpe_counter, placed_packer, token_packer
 from lodestone.operators.chunking import CHILD, DROP_BELOW, kept_counted
 from lodestone.operators.feedback import feedback_terms, rewritten, score_spread
-from lodestone.operators.keyword import keyword_bm25, terms
+from lodestone.operators.keyword import Corpus, keyword_bm25, terms
 from lodestone.operators.knn import knn_batch
 from lodestone.operators.rectangles import rectangles
 from lodestone.operators.text_index import TextIndex
@@ -201,9 +201,11 @@ def score_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def feedback_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every 50th document three words are asked; its place among the first ten by BM25, before and after feedback, null where it is not among them. SQL has the parts."""
-    docs, _, _, frequencies, total = _first_search(spark, sf_dir)
-    questions = _quoted(spark, sf_dir)
-    hits, _ = written(keyword_bm25(docs, questions), "first-hits")
-    again = keyword_bm25(docs, rewritten(questions, feedback_terms(hits, docs, questions, frequencies, total)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    corpus = Corpus.of(docs)
+    questions, _ = written(_quoted(spark, sf_dir), "questions")
+    hits, _ = written(keyword_bm25(corpus, questions), "first-hits")
+    asked, _ = written(rewritten(questions, feedback_terms(hits, docs, questions, corpus.frequencies, corpus.total)), "asked-again")
+    again = keyword_bm25(corpus, asked)
     place = lambda rows, name: rows.where("q_id = doc_id").select("q_id", F.col("rank").alias(name))
     return questions.select("q_id").join(place(hits, "before"), "q_id", "left").join(place(again, "after"), "q_id", "left")

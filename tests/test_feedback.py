@@ -7,7 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from lodestone.operators.feedback import feedback_terms, rewritten, score_spread
-from lodestone.operators.keyword import keyword_bm25
+from lodestone.operators import keyword
+from lodestone.operators.keyword import Corpus, keyword_bm25
 from lodestone.plans import read_path as R
 
 
@@ -55,3 +56,17 @@ def test_stages_with_content(spark):
     stages = R.Stages(retrieve, lambda c: c, lambda held, c: c.select("q_id", F.col("rank").cast("int").alias("ordinal")), lambda q, c: q.select("q_id", F.lit("[1]").alias("answer")), rewrite=lambda q: q, gate=R.gate_by_spread(search, rewrite, 0.01), fuse=lambda q, c: c)
     _, _, trace = R.ask(questions, stages, 2)
     assert trace.iterations == 2 and asked[0] == ["apple", "tart"] and asked[1] != asked[0]
+
+
+def test_a_corpus_is_split_once_for_all_passes(spark, monkeypatch):
+    _, docs, frequencies = world(spark)
+    questions = spark.createDataFrame([(1, "Apple pie"), (2, "engine oil"), (3, "nothing"), (4, "green tart apple"), (5, "")], "q_id long, text string")
+    want = sorted(map(tuple, keyword_bm25(docs, questions).collect()))
+    corpus = Corpus.of(docs)
+    assert sorted(map(tuple, corpus.frequencies.collect())) == sorted(map(tuple, frequencies.collect()))
+    assert corpus.total == 7
+    monkeypatch.setattr(keyword, "_split", None)  # no text is read again
+    monkeypatch.setattr(keyword, "document_frequency", None)
+    assert sorted(map(tuple, keyword_bm25(corpus, questions).collect())) == want
+    monkeypatch.setattr(keyword, "BLOCK", 2)
+    assert sorted(map(tuple, keyword_bm25(corpus, questions).collect())) == want
