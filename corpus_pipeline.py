@@ -17,8 +17,23 @@ from lodestone.llm.shared import materialize, table
 from lodestone.llm.toxicity import fit, keep_clean
 
 
+#: Rows of a batch that goes to a Python worker and back. Batches of whole texts are held twice there and twice in the JVM.
+BATCH_ROWS = 2_000
+#: Words a packing task keeps the ids of: the other stages have filled the executors' heaps before.
+PACKING_WORDS = 100_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_ROWS``: what a stage returns runs when its caller writes it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
+    _small_batches(spark)
     return keep_clean(fit(docs, table(spark, sf_dir, "labels")), docs)
 
 
@@ -30,17 +45,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays whose five-word shingles are similar by 0.8 or more."""
+    _small_batches(spark)
     return keep_one_of_similar(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    _small_batches(spark)
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left is packed into sequences."""
-    return best_fit_packing(docs)
+    _small_batches(spark)
+    return best_fit_packing(docs, words=PACKING_WORDS)
 
 
 STAGES = [

@@ -17,6 +17,7 @@ Those that don't lie in their left neighbour's are the maximal repeated runs. La
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +46,9 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, int]:
     for number, n, _ in ranges:
         bases.append((number, before))
         before += n
-    base = docs.sparkSession.createDataFrame(bases, "range long, base long")
+    # From a list of rows Spark would start Python workers of another kind on each executor, which stay there.
+    columns = {c: pa.array([b[i] for b in bases], pa.int64()) for i, c in enumerate(("range", "base"))}
+    base = docs.sparkSession.createDataFrame(pa.table(columns))
     # As many rows as the sort has ranges: of a known size.
     placed = ordered.withColumn("range", F.shiftright("id", 33)).join(F.broadcast(base), "range")
     start = (F.col("base") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))) * F.lit(room).cast("long")

@@ -27,11 +27,14 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BIN = "used int, pieces array<struct<doc_id: bigint, piece: int, start: bigint, length: bigint, ids_crc32: bigint>>"
 
 
-def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """The pieces of each document: its ids and the end id, cut every ``capacity`` ids. A null text is empty."""
+def cut_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, words: int = WORDS) -> DataFrame:
+    """The pieces of each document: its ids and the end id, cut every ``capacity`` ids. A null text is empty.
+
+    ``words``: as many a task keeps the ids of; fewer take less memory and more time.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, step = encoder(tokenizer, WORDS), np.array([end_id], dtype=ID).tobytes(), capacity * ID.itemsize
+        enc, end, step = encoder(tokenizer, words), np.array([end_id], dtype=ID).tobytes(), capacity * ID.itemsize
         try:
             for batch in batches:
                 for at in range(0, batch.num_rows, 200):
@@ -120,10 +123,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, nearly: float = 0.9
     return bins.withColumn("sequence_id", F.monotonically_increasing_id()).select("sequence_id", "pieces", laid).select("p.*", "sequence_id", before.alias("offset"))
 
 
-def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, **kw) -> DataFrame:
+def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, words: int = WORDS, **kw) -> DataFrame:
     """Pack ``docs(doc_id, text)``; return doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null ids and repeated rows are packed like any others; an empty text is its end id alone; an empty table gives no
     rows; other columns are ignored.
     """
-    return pack_pieces(materialize(cut_pieces(docs, capacity, tokenizer, end_id), "pieces"), capacity, **kw)
+    return pack_pieces(materialize(cut_pieces(docs, capacity, tokenizer, end_id, words), "pieces"), capacity, **kw)

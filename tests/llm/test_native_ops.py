@@ -7,7 +7,7 @@ import zlib
 
 import pytest
 
-from lodestone.llm import histogram
+from lodestone.llm import histogram, line_dedup
 from lodestone.llm.histogram import kth_boundary, splitters
 from lodestone.llm.line_dedup import _numbered, dedup_lines, repeated_runs, suffix_ranks
 from lodestone.llm.sharding import shard_by_bytes
@@ -149,3 +149,12 @@ def test_rows_that_are_equal_are_cut(spark, row):
         sizes = [sum(r["size"] for r in rows if r.shard == s) for s in range(8)]
         assert max(sizes) - min(sizes) <= 0.03 * sum(sizes) / 8 + 2 * max(r["size"] for r in rows)
         check_shards(rows, 8)
+
+
+def test_numbering_starts_no_python_workers(spark, monkeypatch):
+    joined = []
+    plain = line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name: joined.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df, name))
+    _numbered(spark.createDataFrame([(1, "a"), (2, "b\nc")], "doc_id long, text string"))
+    assert "LogicalRDD" not in joined[-1]
+    assert "LocalRelation" in joined[-1]

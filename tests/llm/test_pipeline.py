@@ -136,3 +136,16 @@ def test_line_dedup_matches_sql(spark):
     want = con.sql(__spark_entry__.oracle_sql()["op2_line_dedup"]).fetchall()
     got = __spark_entry__.queries()["op2_line_dedup"](spark, sf).select("doc_id", "text", "n_lines", "n_removed")
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_stages_send_small_batches_to_workers(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, "some words", "en", "s", 10) for i in range(3)], SCHEMA)
+    before = spark.conf.get(key)
+    try:
+        for given, held in ((10_000, corpus_pipeline.BATCH_ROWS), (0, corpus_pipeline.BATCH_ROWS), (500, 500)):
+            spark.conf.set(key, given)
+            corpus_pipeline.near_dedup_stage(spark, docs, str(tmp_path))
+            assert int(spark.conf.get(key)) == held
+    finally:
+        spark.conf.set(key, before)

@@ -175,3 +175,9 @@ def test_workers_keep_no_words_after_packing(spark):
     seen = spark.range(16, numPartitions=16).mapInArrow(held, "encoders long, words long").collect()
     assert any(r.encoders for r in seen)
     assert all(r.words == 0 for r in seen)
+
+
+def test_packing_that_keeps_few_words(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(50 + i))) for i in range(40)], "doc_id long, text string")
+    pieces = lambda **kw: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in best_fit_packing(docs, **kw).collect())
+    assert pieces(words=10) == pieces()
