@@ -21,8 +21,8 @@ from lodestone.sources.tables import spread
 
 K1, B = 1.2, 0.75
 PLACES = 6
-#: Questions of a pass, and documents that are scored at a time: a worker holds BLOCK * SLICE scores.
-BLOCK, SLICE = 4_096, 256
+#: Questions of a pass; documents that are read at a time, at first, when nothing is ruled out, and at most; sums that are made at a time.
+BLOCK, FIRST, SLICE, CELLS = 32_768, 32, 2_048, 1_000_000
 
 
 def terms(text: Column) -> Column:
@@ -98,29 +98,110 @@ def _split(docs: DataFrame) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", terms(F.col("text")).alias("terms"))
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start, as many as its size says."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+class _Best:
+    """The ``top`` documents of each of ``n`` questions so far, ties by id; where there are fewer, -inf stands for the rest."""
+
+    def __init__(self, n: int, top: int) -> None:
+        self.top, self.ids, self.scores = top, np.full((n, top), np.iinfo(np.int64).max), np.full((n, top), -np.inf)
+
+    def least(self) -> np.ndarray:
+        return self.scores[:, -1]
+
+    def take(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        some = np.unique(q)
+        q = np.concatenate([np.repeat(some, self.top), q])
+        ids, scores = np.concatenate([self.ids[some].ravel(), ids]), np.concatenate([self.scores[some].ravel(), scores])
+        order = np.lexsort((ids, -scores, q))
+        q = q[order]
+        kept = order[np.arange(len(q)) - np.searchsorted(q, q) < self.top]
+        self.ids[some], self.scores[some] = ids[kept].reshape(-1, self.top), scores[kept].reshape(-1, self.top)
+
+
 def _searcher(asked: Asked, top: int, part: Part):
+    """A document is scored for a question only if it has a term without which it can't be among the question's best so far.
+
+    What a term adds at most is known for each slice of documents. The terms that add least, and together less than the
+    last of a question's best has, don't make a candidate; a candidate that the others make good enough is scored by all.
+    """
+    n, n_terms = len(asked.q_ids), len(asked.terms)
+    order = np.argsort(asked.asking, kind="stable")
+    of, term_of = asked.asking[order], np.repeat(np.arange(n_terms), np.diff(asked.starts))[order]  # question and term, in this order
+    begin, fan = np.searchsorted(of, np.arange(n)), np.bincount(of, minlength=n)
+
+    def candidates(bound: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which of the questions' terms make candidates."""
+        most = bound[term_of]
+        some = np.flatnonzero((most > 0) & (np.bincount(of, most, n) >= least)[of])
+        some = some[np.lexsort((most[some], of[some]))]
+        upto = np.cumsum(most[some])
+        first = np.searchsorted(of[some], of[some])
+        return np.sort(some[upto - upto[first] + most[some][first] >= least[of[some]]])
+
+    def score(best: _Best, ids: np.ndarray, row: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
+        by_term = np.argsort(term, kind="stable")
+        key, value, rows = (term * len(ids) + row)[by_term], value[by_term], row[by_term]
+        opens = np.flatnonzero(np.diff(term[by_term], prepend=-1))
+        bound, start, size = np.zeros(n_terms), np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64)
+        here = term[by_term][opens]
+        bound[here], start[here], size[here] = np.maximum.reduceat(value, opens), opens, np.diff(np.append(opens, len(key)))
+        least = best.least() - 10.0**-PLACES
+        some = candidates(bound, least)
+        load, all_load = np.bincount(of[some], size[term_of[some]], n), np.bincount(of, size[term_of], n)
+        wide = load * fan * 2 > all_load + len(ids) / 4  # to add all terms is cheaper than to look them up
+        some = np.union1d(some, np.flatnonzero(wide[of] & (size[term_of] > 0)))
+        rest = np.bincount(of, bound[term_of], n) - np.bincount(of[some], bound[term_of[some]], n)  # what the other terms add at most
+        load = np.bincount(of[some], size[term_of[some]], n)
+        whole = np.bincount(of[some], minlength=n) == np.bincount(of, size[term_of] > 0, n)  # no other term is here
+        dense = load > len(ids) / 16
+        for full in (True, False):
+            each = some[dense[of[some]] == full]
+            work = np.cumsum(np.where(np.diff(of[each], prepend=-1), load[of[each]] + full * len(ids), 0)) // CELLS
+            cuts = [*np.flatnonzero(np.diff(work, prepend=-1)).tolist(), len(each)]  # a question's terms stay together
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                mine, t = of[each[x:y]], term_of[each[x:y]]
+                asks, nth = np.unique(mine, return_inverse=True)
+                posting = ranges(start[t], size[t])
+                cell = np.repeat(nth * len(ids), size[t]) + rows[posting]
+                if full:
+                    sums = np.bincount(cell, value[posting], len(asks) * len(ids)).reshape(len(asks), len(ids))
+                    cell = np.flatnonzero((sums > 0) & (sums >= (least - rest)[asks][:, None]))
+                    sums = sums.ravel()[cell]
+                else:
+                    cell, at = np.unique(cell, return_inverse=True)
+                    sums = np.bincount(at, value[posting], len(cell))
+                    kept = sums >= (least - rest)[asks[cell // len(ids)]]
+                    cell, sums = cell[kept], sums[kept]
+                q, d = asks[cell // len(ids)], cell % len(ids)
+                part_of = np.flatnonzero(~whole[q])
+                sums[part_of] = all_terms(q[part_of], d[part_of], key, value, len(ids))
+                scores = np.floor(sums * 10.0**PLACES + 0.5) / 10.0**PLACES  # halves go up, as in SQL
+                more = scores >= best.least()[q]
+                best.take(q[more], ids[d[more]], scores[more])
+
+    def all_terms(q: np.ndarray, d: np.ndarray, key: np.ndarray, value: np.ndarray, docs: int) -> np.ndarray:
+        """The sums of pairs over all terms of the question."""
+        wanted = term_of[ranges(begin[q], fan[q])] * docs + np.repeat(d, fan[q])
+        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        return np.bincount(np.repeat(np.arange(len(q)), fan[q]), np.where(key[at] == wanted, value[at], 0.0), len(q))
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(asked.q_ids)
-        best_ids, best = np.full((n, top), np.iinfo(np.int64).max), np.full((n, top), -np.inf)
-        fan = np.diff(asked.starts)
+        best, rows = _Best(n, top), FIRST
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                ids, split = (batch.column(c).slice(at, SLICE) for c in (0, 1))
+            at = 0
+            while at < batch.num_rows:
+                ids, split = (batch.column(c).slice(at, rows) for c in (0, 1))
                 row, term, times = asked.counts(split)
                 lengths = pc.fill_null(pc.list_value_length(split), 0).to_numpy()
-                value = part(term, times, lengths[row])
-                each = fan[term]  # a term's part goes to every question that has it
-                nth = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                question = asked.asking[np.repeat(asked.starts[term], each) + nth]
-                sums = np.bincount(question * len(ids) + np.repeat(row, each), np.repeat(value, each), n * len(ids)).reshape(n, len(ids))
-                scores = np.where(sums > 0, np.floor(sums * 10.0**PLACES + 0.5) / 10.0**PLACES, -np.inf)  # halves go up, as in SQL
-                some = np.flatnonzero(scores.max(axis=1, initial=-np.inf) >= best[:, -1])
-                all_ids = np.concatenate([best_ids[some], np.broadcast_to(ids.to_numpy(), (len(some), len(ids)))], axis=1)
-                all_scores = np.concatenate([best[some], scores[some]], axis=1)
-                order = np.lexsort((all_ids, -all_scores), axis=1)[:, :top]
-                best_ids[some], best[some] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
-        question, place = np.nonzero(best > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(asked.q_ids, np.int64)[question]), pa.array(best_ids[question, place]), pa.array(best[question, place])], ["q_id", "doc_id", "score"])
+                if len(row):
+                    score(best, ids.to_numpy(), row, term, part(term, times, lengths[row]))
+                at, rows = at + rows, min(2 * rows, SLICE)
+        question, place = np.nonzero(best.scores > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(asked.q_ids, np.int64)[question]), pa.array(best.ids[question, place]), pa.array(best.scores[question, place])], ["q_id", "doc_id", "score"])
 
     return search
 

@@ -70,3 +70,42 @@ def test_a_corpus_is_split_once_for_all_passes(spark, monkeypatch):
     assert sorted(map(tuple, keyword_bm25(corpus, questions).collect())) == want
     monkeypatch.setattr(keyword, "BLOCK", 2)
     assert sorted(map(tuple, keyword_bm25(corpus, questions).collect())) == want
+
+
+def test_search_rules_out_documents_and_is_brute_force(monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    split = [[w for w in rng.choices(words, weights=[1 / (i + 1) for i in range(300)], k=rng.choice([3, 40, 200]))] for _ in range(3000)] + [[], None]
+    rows = [(q, t) for q in range(40) for t in rng.sample(words[: 20 if q % 2 else 300], 1 + q % 7)]
+    asked = keyword.Asked.of(rows)
+    weight = {t: 1 / (1 + sum(t in (s or []) for s in split)) for t in asked.terms}
+    weights = np.array([weight[t] for t in asked.terms])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3002)), pa.array(split, pa.list_(pa.string()))], ["doc_id", "terms"])
+    want, pairs = [], 0
+    for q in range(40):
+        mine = sorted(t for p, t in rows if p == q)
+        scored = [(-math.floor(sum(weight[t] * s.count(t) / (s.count(t) + 1 + len(s) / 50) for t in mine) * 1e6 + 0.5) / 1e6, i) for i, s in enumerate(split) if s and set(mine) & set(s)]
+        pairs += len(scored)
+        want += [(q, i, -score) for score, i in sorted(scored)[:5]]
+    part = lambda term, times, length: weights[term] * times / (times + 1 + length / 50)
+    taken, before = [], keyword._Best.take
+    monkeypatch.setattr(keyword._Best, "take", lambda self, q, *a: (taken.append(len(q)), before(self, q, *a))[1])
+    for cells, most in ((1_000_000, 64), (500, 256), (1_000_000, 2_048)):
+        monkeypatch.setattr(keyword, "CELLS", cells)
+        monkeypatch.setattr(keyword, "SLICE", most)
+        taken.clear()
+        got = [tuple(r.values()) for b in keyword._searcher(asked, 5, part)(iter([batch])) for r in b.to_pylist()]
+        assert sorted(got) == sorted(want)
+        assert most > 64 or sum(taken) < pairs / 5
+
+
+def test_questions_of_a_pass_are_many(spark):
+    _, docs, _ = world(spark)
+    corpus, asked = Corpus.of(docs), spark.range(5000).selectExpr("id AS q_id", "'red apple' AS text")
+    plan = keyword_bm25(corpus, asked)._jdf.queryExecution().analyzed().toString()
+    assert "Union" not in plan
